@@ -112,6 +112,7 @@ def frame(
     row: str | None = None,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
     inclusive: bool = False,
 ) -> DataFrame:
@@ -120,9 +121,10 @@ def frame(
     ``row``     1-based position in the order
     ``sums``    running sums over the rows before (with ``inclusive``: up to) this one
     ``lasts``   last non-null value before (with ``inclusive``: up to) this row
+    ``maxes``   largest value before (with ``inclusive``: up to) this row
     ``totals``  sums over the whole group
     """
-    sums, lasts, totals = sums or {}, lasts or {}, totals or {}
+    sums, lasts, maxes, totals = sums or {}, lasts or {}, maxes or {}, totals or {}
     slices = _find_slices(df, group, order)
     columns = df.columns
     end = 0 if inclusive else -1
@@ -135,6 +137,7 @@ def frame(
             *([F.row_number().over(ordered).cast("long").alias(row)] if row else []),
             *[F.coalesce(F.sum(e).over(running), F.lit(0)).alias(n) for n, e in sums.items()],
             *[F.last(e, ignorenulls=True).over(running).alias(n) for n, e in lasts.items()],
+            *[F.max(e).over(running).alias(n) for n, e in maxes.items()],
             *[F.sum(e).over(base).alias(n) for n, e in totals.items()],
         )
 
@@ -148,6 +151,7 @@ def frame(
         *([F.row_number().over(ordered).cast("long").alias("__r")] if row else []),
         *[F.coalesce(F.sum(e).over(running), F.lit(0)).alias(f"__s_{n}") for n, e in sums.items()],
         *[F.last(e, ignorenulls=True).over(running).alias(f"__l_{n}") for n, e in lasts.items()],
+        *[F.max(e).over(running).alias(f"__m_{n}") for n, e in maxes.items()],
         *[F.sum(e).over(base).alias(f"__t_{n}") for n, e in totals.items()],
     )
     per_slice = (
@@ -158,6 +162,7 @@ def frame(
             *[F.sum(e).alias(f"__ps_{n}") for n, e in sums.items()],
             *[F.max(F.when(e.isNotNull(), F.struct(F.col("__o"), e.alias("v")))).alias(f"__pl_{n}")
               for n, e in lasts.items()],
+            *[F.max(e).alias(f"__pm_{n}") for n, e in maxes.items()],
             *[F.sum(e).alias(f"__pt_{n}") for n, e in totals.items()],
         )
     )
@@ -169,6 +174,7 @@ def frame(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__on"),
         *[F.coalesce(F.sum(f"__ps_{n}").over(before), F.lit(0)).alias(f"__os_{n}") for n in sums],
         *[F.max(f"__pl_{n}").over(before)["v"].alias(f"__ol_{n}") for n in lasts],
+        *[F.max(f"__pm_{n}").over(before).alias(f"__om_{n}") for n in maxes],
         *[F.sum(f"__pt_{n}").over(whole).alias(f"__ot_{n}") for n in totals],
     )
     joined = inner.join(F.broadcast(offsets), [*group, "__slice"], "left")
@@ -178,6 +184,7 @@ def frame(
         *([(F.col("__r") + F.coalesce("__on", zero)).alias(row)] if row else []),
         *[(F.col(f"__s_{n}") + F.coalesce(f"__os_{n}", zero)).alias(n) for n in sums],
         *[F.coalesce(f"__l_{n}", f"__ol_{n}").alias(n) for n in lasts],
+        *[F.greatest(f"__m_{n}", f"__om_{n}").alias(n) for n in maxes],
         *[F.coalesce(f"__ot_{n}", f"__t_{n}").alias(n) for n in totals],
     )
 
