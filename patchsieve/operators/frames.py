@@ -34,11 +34,11 @@ def _setting(df: DataFrame, key: str, default: int) -> int:
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of all tables the plan reads, from Catalyst statistics."""
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         return sum(
-            int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())
+            int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
         )
-    except Exception:  # no JVM plan at hand (Spark Connect): measure instead
+    except AttributeError:  # no JVM plan at hand (Spark Connect): measure instead
         return None
 
 
@@ -193,6 +193,29 @@ def number_rows(df, group, order, name="row"):
     return frame(df, group, order, row=name)
 
 
+def with_previous(
+    df: DataFrame, group: list[str], order: list[Column], n: int, entry: Column, name: str
+) -> DataFrame:
+    """Add the entries of the last n rows up to this one, oldest first, as an array.
+
+    In a large group the rows are numbered and cut into blocks; the last n - 1
+    rows of a block are copied to the next one, so that no block looks back.
+    """
+    columns = df.columns
+    if _find_slices(df, group, order) is None:
+        w = Window.partitionBy(*_group_columns(group)).orderBy(*order).rowsBetween(-(n - 1), 0)
+        return df.select(*columns, F.collect_list(entry).over(w).alias(name))
+    block = max(_setting(df, HOT_ROWS, _DEFAULT_HOT_ROWS), n)
+    numbered = number_rows(df.withColumn("__e", entry), group, order, "__r").withColumn(
+        "__block", F.floor((F.col("__r") - 1) / block)
+    )
+    reach = F.when((F.col("__r") - 1) % block > block - n, F.array("__block", F.col("__block") + 1))
+    spread = numbered.withColumn("__at", F.explode(F.coalesce(reach, F.array("__block"))))
+    w = Window.partitionBy(*_group_columns(group), "__at").orderBy("__r").rowsBetween(-(n - 1), 0)
+    out = spread.select("*", F.collect_list("__e").over(w).alias(name))
+    return out.where(F.col("__at") == F.col("__block")).select(*columns, name)
+
+
 def first_rows(df: DataFrame, group: list[str], order: list[Column], k: int, name="row") -> DataFrame:
     """First k rows per group; Spark keeps only k rows per group before the shuffle."""
     w = Window.partitionBy(*_group_columns(group)).orderBy(*order)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.operators.diffs import NO_FILE
-from patchsieve.operators.frames import frame, number_rows
+from patchsieve.operators.frames import frame, with_previous
 
 DAY = 86400
 
@@ -96,48 +96,35 @@ def recent_history(
 
     First the n newest touches at an earlier position whose ``committed`` time is
     not after the candidate's ``ts``; then, of these, only the ones whose ``ts``
-    is strictly before. Positions follow the committed time, so both limits of
-    the first step are prefixes of one order and the shorter prefix counts. A
-    candidate then meets its n touches by their running number.
+    is strictly before. Positions follow the committed time, so the first step is
+    one prefix of that order: up to the earlier of the candidate's two times, and
+    within equal times up to its position. Every touch carries its last n touches
+    as a small array; one ordered pass hands the array on to the candidates.
     """
     nothing = F.lit(None)
-    numbered = number_rows(
-        touches.select(*keys, *pos, "ts", "committed", "loose_fix"), keys, [F.col(c) for c in pos], "__r"
+    entry = "array<struct<ts:timestamp,loose_fix:boolean>>"
+    seen = with_previous(
+        touches.select(*keys, *pos, "ts", "committed", "loose_fix"),
+        keys, [F.col("committed"), *map(F.col, pos)], n,
+        F.struct(F.col("ts").cast("timestamp").alias("ts"), "loose_fix"), "__past",
+    ).select(
+        *keys, *pos, F.col("committed").cast("timestamp").alias("__at"), F.lit(1).alias("__touch"),
+        nothing.cast("timestamp").alias("ts"), F.col("__past").cast(entry).alias("__past"),
     )
-    asked = candidates.select(*keys, *pos, "ts").distinct()
-
-    def before(order, column, last):
-        marks = numbered.select(
-            *keys, *pos, F.lit(1 - last).alias("__touch"), nothing.cast("timestamp").alias("ts"), column.alias("__at"))
-        probes = asked.select(*keys, *pos, F.lit(last).alias("__touch"), "ts", F.col("ts").alias("__at"))
-        counted = frame(
-            marks.unionByName(probes), keys, order,
-            sums={"__n": (F.col("__touch") == 1 - last).cast("long")},
-        )
-        return counted.where(F.col("__touch") == last).select(*keys, *pos, "ts", "__n")
-
-    # by position a candidate sorts before touches of its own change (strict);
-    # by committed time it sorts after equal times (inclusive)
-    by_pos = before([*map(F.col, pos), F.col("__touch")], F.col("committed"), 0)
-    by_time = before([F.col("__at"), F.col("__touch"), *map(F.col, pos)], F.col("committed"), 1)
-    limit = by_pos.withColumnRenamed("__n", "__a").join(
-        by_time.withColumnRenamed("__n", "__b").drop("ts"), [*keys, *pos]
-    ).select(*keys, *pos, "ts", F.least("__a", "__b").alias("__n"))
-    wanted = limit.where(F.col("__n") > 0).select(
-        *keys, *pos, "ts",
-        F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("__n") - (n - 1)), F.col("__n"))).alias("__r"),
+    asked = candidates.select(*keys, *pos, "ts", "committed").distinct().select(
+        *keys, *pos, F.least("ts", "committed").cast("timestamp").alias("__at"), F.lit(0).alias("__touch"),
+        F.col("ts").cast("timestamp").alias("ts"), nothing.cast(entry).alias("__past"),
     )
-    found = wanted.join(
-        numbered.select(*keys, "__r", F.col("ts").alias("__ts"), "loose_fix"), [*keys, "__r"]
-    ).where(F.col("__ts") < F.col("ts"))
-    per = found.groupBy(*keys, *pos).agg(
-        F.count(F.lit(1)).alias("recent"), F.count_if("loose_fix").alias("recent_fixes"),
-        F.max_by("__ts", "__r").alias("__newest"),
-    )
-    return limit.join(per, [*keys, *pos], "left").select(
-        *keys, *pos,
-        F.coalesce("recent", F.lit(0).cast("long")).alias("recent_commits"),
-        F.coalesce("recent_fixes", F.lit(0).cast("long")).alias("recent_bug_fixes"),
-        F.when(F.col("__newest").isNotNull(), whole_days(F.col("ts"), F.col("__newest"))).alias("days_since_last_change"),
-        F.col("recent").isNull().alias("history_unavailable"),
+    met = frame(
+        seen.unionByName(asked), keys, [F.col("__at"), *map(F.col, pos), F.col("__touch")],
+        lasts={"__found": F.col("__past")},
+    ).where(F.col("__touch") == 0)
+    earlier = F.filter(F.coalesce("__found", F.array().cast(entry)), lambda x: x["ts"] < F.col("ts"))
+    met = met.withColumn("__found", earlier)
+    newest = F.try_element_at(F.col("__found"), F.lit(-1))["ts"]
+    return met.select(
+        *keys, *pos, F.size("__found").cast("long").alias("recent_commits"),
+        F.size(F.filter("__found", lambda x: x["loose_fix"])).cast("long").alias("recent_bug_fixes"),
+        F.when(newest.isNotNull(), whole_days(F.col("ts"), newest)).alias("days_since_last_change"),
+        (F.size("__found") == 0).alias("history_unavailable"),
     )

@@ -66,36 +66,37 @@ def per_budget(counts: DataFrame, group: list[str], budgets=BUDGETS) -> DataFram
 
 
 def aggregate_group_metrics(counts: DataFrame, by: list[str] | None = None, budgets=BUDGETS) -> DataFrame:
-    """Macro means over groups with positives; sizes and coverage over all groups."""
+    """Macro means over groups with positives; sizes and coverage over all groups.
+
+    The groups are first folded per first positive rank. A rank r needs a group of
+    at least r rows, so N rows have at most sqrt(2 N) different ranks; the exact
+    medians of the second step are weighted by the folded counts and small.
+    """
     by = by or []
-    with_positive = F.col("n_positive") > 0
-    only = lambda c: F.when(with_positive, c)
-    aggs = [
-        F.count(F.lit(1)).alias("groups"),
-        F.count_if(with_positive).alias("groups_with_positive"),
-        F.coalesce(F.avg(with_positive.cast("double")), F.lit(0.0)).alias("coverage"),
-        F.coalesce(F.avg("n_files"), F.lit(0.0)).alias("mean_files"),
-        F.coalesce(F.avg(only(F.col("reciprocal_rank"))), F.lit(0.0)).alias("mrr"),
-        F.coalesce(F.avg(only(F.col("first_rank"))), F.lit(0.0)).alias("mean_first_rank"),
-    ]
+    some = F.col("n_positive") > 0
+    only = lambda c: F.sum(F.when(some, c))
+    parts, means = [], []
     for k in budgets:
         recall, enrichment, captured = budget_values(k)
-        aggs += [
-            F.coalesce(F.avg(only(recall)), F.lit(0.0)).alias(f"recall_{k}"),
-            F.coalesce(F.avg(only(enrichment)), F.lit(0.0)).alias(f"enrichment_{k}"),
-            F.coalesce(F.avg(only(captured.cast("double"))), F.lit(0.0)).alias(f"captured_{k}"),
-        ]
-    means = counts.groupBy(*by).agg(*aggs)
-    # the two medians come from the reciprocal ranks of groups with positives; the
-    # first rank is a small integer, so its distinct values are few
-    found = counts.where(with_positive)
-    medians = percentiles(found, by, "first_rank", {"median_first_rank": 0.5}), percentiles(
-        found, by, "reciprocal_rank", {"median_reciprocal_rank": 0.5}
+        for name, value in (("recall", recall), ("enrichment", enrichment), ("captured", captured.cast("long"))):
+            parts.append(only(value).alias(f"{name}_{k}"))
+            means.append(f"{name}_{k}")
+    folded = counts.groupBy(*by, "first_rank").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(some).alias("p"), F.sum("n_files").alias("files"), *parts
+    )
+    n, p = F.sum("n"), F.sum("p")
+    per_group = lambda c: F.coalesce(F.sum(c) / F.nullif(p, F.lit(0)), F.lit(0.0))
+    rank = F.col("first_rank")
+    weight = F.when(F.col("p") > 0, F.col("p")).otherwise(F.lit(0))
+    middle = lambda c: F.coalesce(F.percentile(c, F.lit(0.5), weight), F.lit(0.0))
+    return folded.groupBy(*by).agg(
+        n.alias("groups"), p.alias("groups_with_positive"),
+        F.coalesce(p / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("coverage"),
+        F.coalesce(F.sum("files") / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("mean_files"),
+        per_group(F.col("p") / rank).alias("mrr"), per_group(F.col("p") * rank).alias("mean_first_rank"),
+        *[per_group(F.col(c)).alias(c) for c in means],
+        middle(rank).alias("median_first_rank"), middle(F.lit(1.0) / rank).alias("median_reciprocal_rank"),
     )
-    out = means
-    for m in medians:
-        out = out.join(m, by, "left") if by else out.join(F.broadcast(m), F.lit(True), "left")
-    return out.fillna(0.0, ["median_first_rank", "median_reciprocal_rank"])
 
 
 def per_commit_precision(
