@@ -59,13 +59,10 @@ def mentioned_words(message: Column) -> Column:
 
 
 def size_bucket(files: Column) -> Column:
-    out = None
-    for top, name in SIZE_BUCKETS:
-        if top is None:
-            out = out.otherwise(name)
-        else:
-            out = F.when(files <= top, name) if out is None else out.when(files <= top, name)
-    return out
+    out = F.when(files == SIZE_BUCKETS[0][0], SIZE_BUCKETS[0][1])
+    for top, name in SIZE_BUCKETS[1:-1]:
+        out = out.when(files <= top, name)
+    return out.otherwise(SIZE_BUCKETS[-1][1])
 
 
 def short_sha(sha: Column, length: int = 8) -> Column:

@@ -97,11 +97,11 @@ def _with_slice(df: DataFrame, group: list[str], order: list[Column], slices: _S
     else:
         keyed = keyed.join(F.broadcast(slices.table), F.lit(True), "left")
     below = lambda values: F.size(F.filter(values, lambda s: s <= F.col("__o")))
-    keyed = keyed.withColumn("__c", F.coalesce(below(F.col("__coarse")), F.lit(0)))
-    fine = below(F.slice("__splits", F.col("__c") * _STEP + 1, F.lit(_STEP)))
+    keyed = keyed.withColumn("__coarse_n", F.coalesce(below(F.col("__coarse")), F.lit(0)))
+    fine = below(F.slice("__splits", F.col("__coarse_n") * _STEP + 1, F.lit(_STEP)))
     return keyed.withColumn(
-        "__slice", F.when(F.col("__splits").isNotNull(), F.col("__c") * _STEP + fine)
-    ).drop("__splits", "__coarse", "__c")
+        "__slice", F.when(F.col("__splits").isNotNull(), F.col("__coarse_n") * _STEP + fine)
+    ).drop("__splits", "__coarse", "__coarse_n")
 
 
 def frame(

@@ -140,7 +140,7 @@ def normalize_line(t):
 
 
 @query("commit_size_bucket", """WITH c AS (SELECT o_orderkey AS cid, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
-SELECT cid, n * 3 AS files, CASE WHEN n * 3 <= 1 THEN '1' WHEN n * 3 <= 3 THEN '2-3' WHEN n * 3 <= 5 THEN '4-5' WHEN n * 3 <= 10 THEN '6-10'
+SELECT cid, n * 3 AS files, CASE WHEN n * 3 = 1 THEN '1' WHEN n * 3 <= 3 THEN '2-3' WHEN n * 3 <= 5 THEN '4-5' WHEN n * 3 <= 10 THEN '6-10'
  WHEN n * 3 <= 20 THEN '11-20' ELSE '>20' END AS bucket FROM c""")
 def commit_size_bucket(t):
     n = t.lineitem.groupBy(F.col("l_orderkey").alias("cid")).agg(F.count(F.lit(1)).alias("n"))
