@@ -235,7 +235,9 @@ ELIGIBILITY = (
     ("commit_timestamp", "NO_LEAKAGE", "FEATURE"), ("file_path", "NO_LEAKAGE", "FEATURE"),
     ("repo_name", "NO_LEAKAGE", "FEATURE"), ("label_source", "LEAKAGE/outcome_metadata", "EXCLUDED"),
     ("corrective_sha", "LEAKAGE", "LABEL"), ("content_correspondence", "LEAKAGE", "LABEL"),
-    ("content_restoration", "LEAKAGE", "LABEL"),
+    ("content_restoration", "LEAKAGE", "LABEL"), ("region_overlap", "LEAKAGE", "LABEL"),
+    ("function_analysis", "LEAKAGE", "LABEL"), ("evidence_types", "LEAKAGE", "LABEL"),
+    ("file_evidence_level", "LEAKAGE", "LABEL"),
 )
 
 

@@ -1,11 +1,12 @@
-"""Session settings shared by the tests, the bench and the entry points."""
+"""Session settings and shared folders for the tests, the bench and the entry points."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", app: str = "patchsieve") -> SparkSession:
@@ -27,18 +28,28 @@ def local_session(cpus: str = "8", app: str = "patchsieve") -> SparkSession:
     return spark
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only on a local session where none is named.
+    Only a local session that names none gets a temporary folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="patchsieve-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables, reachable by all executors."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("name a shared folder in spark.checkpoint.dir")
-            named = tempfile.mkdtemp(prefix="patchsieve-checkpoint-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
