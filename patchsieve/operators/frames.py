@@ -48,6 +48,17 @@ def reads_little(df: DataFrame) -> bool:
     return size is not None and size <= _setting(df, SMALL_INPUT_BYTES, _DEFAULT_SMALL_BYTES)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Hand the rows of a small input to all cores before heavy work per row.
+
+    A small table often is a single row group, which one task would read and
+    work off alone. Large inputs come in many splits and are left as they are.
+    """
+    if not reads_little(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 @dataclass
 class _Slices:
     table: DataFrame  # group columns, __splits (array of order structs), __coarse

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from patchsieve.functions import paths as P
 from patchsieve.operators import diffs as D
 from patchsieve.operators import features as X
+from patchsieve.operators.frames import spread
 from patchsieve.plans.bindings import SEQ, files
 from patchsieve.plans.registry import query, rounded
 
@@ -19,7 +20,9 @@ KEYS = ["doc_id", "file_seq"]
 
 def diff_table(t):
     c = F.col
-    base = t.documents.select("doc_id", "lang", "source", F.split("text", "\n", -1).alias("ls"))
+    base = spread(t.documents.select("doc_id", "lang", "source", "text")).select(
+        "doc_id", "lang", "source", F.split("text", "\n", -1).alias("ls")
+    )
     prefix = lambda i: (
         F.when(i % 5 == 0, "").when(i % 5 == 1, "    def ").when(i % 5 == 2, "  class ")
         .when(i % 5 == 3, "import ").otherwise("func ")
