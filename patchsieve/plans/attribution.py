@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchsieve.operators import attribution as A
-from patchsieve.operators.frames import beside
+from patchsieve.operators.frames import beside, number_rows
 from patchsieve.plans.registry import query, rounded
 
 
@@ -165,14 +165,19 @@ sets AS (SELECT conv_id, turn, CASE WHEN a IS NULL THEN [] ELSE list_sort(list_f
   CASE WHEN a IS NULL OR l IS NULL THEN [] ELSE list_sort(list_filter(a, lambda x: NOT list_contains(l, x))) END AS undone FROM arr)"""
 
 
-def turns(t):
-    from pyspark.sql import Window
+def numbered_turns(t):
+    return number_rows(t.conversations.select("conv_id", "turn", "text"), ["conv_id"], [F.col("turn")], "n")
+
+
+def turn_after(t, k, name):
+    """Text of the k-th next turn, to be joined on conversation and number."""
+    return numbered_turns(t).select("conv_id", (F.col("n") - k).alias("n"), F.col("text").alias(name))
+
 
-    w = Window.partitionBy("conv_id").orderBy("turn")  # a conversation is short
+def turns(t):
     cut = lambda c: F.replace(c, F.lit(". "), F.lit("\n"))
-    base = t.conversations.select(
-        "conv_id", "turn", "text", F.lead("text").over(w).alias("after"), F.lead("text", 2).over(w).alias("later")
-    )
+    key = ["conv_id", "n"]
+    base = numbered_turns(t).join(turn_after(t, 1, "after"), key, "left").join(turn_after(t, 2, "later"), key, "left")
     return base.select(
         "conv_id", "turn", cut(F.col("text")).alias("before"), cut(F.col("after")).alias("after"),
         cut(F.concat(F.col("later"), F.lit("\n"), F.col("text"))).alias("later"),
@@ -211,11 +216,7 @@ m AS (SELECT *, len(list_filter(list_zip(x, y), lambda z: z[1] = z[2])) AS same,
 SELECT conv_id, turn, coalesce(x = y, false) AS restored, CASE WHEN y IS NULL THEN -1 ELSE most - same END AS line_diff_count,
   CASE WHEN y IS NULL THEN 0 ELSE round(same / most, 4) END AS similarity_ratio FROM m""")
 def content_restoration(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    cur = F.lead("text", 2).over(w)
-    base = t.conversations.select("conv_id", "turn", "text", cur.alias("c")).withColumn(
+    base = numbered_turns(t).join(turn_after(t, 2, "c"), ["conv_id", "n"], "left").withColumn(
         "cur", F.when((F.col("turn") % 3 == 0) & F.col("c").isNotNull(), F.col("text")).otherwise(F.col("c"))
     )
     return A.content_restoration(base, "text", "cur").select("conv_id", "turn", "restored", "line_diff_count", "similarity_ratio")
