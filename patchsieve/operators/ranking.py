@@ -26,14 +26,14 @@ def _one_minus_share(position: Column, n: Column) -> Column:
 def rank_priority(
     df: DataFrame, group: list[str], value: str, seq: list[str], excluded: str
 ) -> DataFrame:
-    """Order a group by size, excluded rows last; score 1 .. 0 by rank.
+    """Order a group by size, excluded rows last in input order; score 1 .. 0 by rank.
 
     Adds ``position`` (0-based), ``n_ranked`` and ``score``.
     """
     out = frame(
         df,
         group,
-        [F.col(excluded), -F.col(value), *map(F.col, seq)],
+        [F.col(excluded), F.when(~F.col(excluded), -F.col(value)), *map(F.col, seq)],
         row="__row",
         totals={"n_ranked": F.when(F.col(excluded), 0).otherwise(1).cast("long")},
     )

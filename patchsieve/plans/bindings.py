@@ -21,7 +21,7 @@ REPO_FILES_SQL = FILES_SQL + """, repo_files AS (
 
 # scores of the flagship ranking
 RANKED_SQL = FILES_SQL + """, numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY excluded, total DESC, line, part, supp) - 1 AS position,
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY excluded, CASE WHEN NOT excluded THEN total END DESC, line, part, supp) - 1 AS position,
          count(*) FILTER (NOT excluded) OVER (PARTITION BY cid) AS n_ranked FROM files),
 ranked AS (
   SELECT *, CASE WHEN excluded THEN 0.0 ELSE 1.0 - position / greatest(n_ranked - 1, 1)::DOUBLE END AS score

@@ -76,7 +76,7 @@ def recent_history(t):
 _LANGS = "[" + ", ".join(f"'{x}'" for x in LANGUAGES) + "]"
 FACTS_SQL = f"""{PART_FILES_SQL}, {change_sql('pf', 'cid', 'line, part, supp')},
 ranked AS (SELECT pf.*, status = 'binary' AS is_binary, lines_added + lines_deleted AS total,
-  row_number() OVER (PARTITION BY cid ORDER BY status = 'binary', lines_added + lines_deleted DESC, line, part, supp) - 1 AS position,
+  row_number() OVER (PARTITION BY cid ORDER BY status = 'binary', CASE WHEN status <> 'binary' THEN lines_added + lines_deleted END DESC, line, part, supp) - 1 AS position,
   count(*) FILTER (status <> 'binary') OVER (PARTITION BY cid) AS n_ranked FROM pf),
 facts AS (SELECT r.*, (list_position({_LANGS}, r.language_name) - 1) / 23 AS language, hunk_count * 1.5 AS avg_hunk_size,
   CASE WHEN indent_lines > 0 THEN indent_sum / indent_lines ELSE 0 END AS avg_indent,

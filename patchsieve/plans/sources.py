@@ -202,7 +202,7 @@ def audit_sample(t):
 
 # the stored vectors of the test split, scored and evaluated end to end
 POPULATION_SQL = f"""{EXAMPLES_SQL}, te AS (SELECT commit_sha, file_path, defect_label = 1 AS positive, h = 0 AS binary_, q + round(x) AS total FROM ex WHERE split = 'test' AND supp % 97 <> 3 AND defect_label <> -1),
-ra AS (SELECT *, row_number() OVER (PARTITION BY commit_sha ORDER BY binary_, total DESC, file_path) - 1 AS position, count(*) FILTER (NOT binary_) OVER (PARTITION BY commit_sha) AS n FROM te),
+ra AS (SELECT *, row_number() OVER (PARTITION BY commit_sha ORDER BY binary_, CASE WHEN NOT binary_ THEN total END DESC, file_path) - 1 AS position, count(*) FILTER (NOT binary_) OVER (PARTITION BY commit_sha) AS n FROM te),
 sc AS (SELECT *, CASE WHEN binary_ THEN 0 ELSE 1 - position / greatest(n - 1, 1) END AS score FROM ra),
 {counts_sql('sc', 'score', 'commit_sha', 'file_path')}"""
 
