@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchsieve.session import cut_lineage
+
 HOT_ROWS = "patchsieve.hotGroupRows"
 SMALL_INPUT_BYTES = "patchsieve.smallInputBytes"
 _DEFAULT_HOT_ROWS = 2_000_000
@@ -59,6 +61,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """A compact table that several passes read.
+
+    With large inputs it is written once (a reliable checkpoint in the shared
+    folder); small inputs are simply worked through again.
+    """
+    return df if reads_little(df) else cut_lineage(df)
+
+
 @dataclass
 class _Slices:
     table: DataFrame  # group columns, __splits (array of order structs), __coarse
@@ -234,25 +245,43 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column], k: int, nam
 
 
 def percentiles(df: DataFrame, group: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group.
+    """Exact percentiles with linear interpolation, one row per group, nulls left out."""
+    return summary(df, group, value, points, {})
+
+
+def summary(
+    df: DataFrame, group: list[str], value: str, points: dict[str, float], moments: dict[str, str]
+) -> DataFrame:
+    """Exact percentiles and moments of a column in one pass, one row per group.
 
-    Equal values are counted before anything is ordered; the position of a
-    percentile is then found in the running count, so no task and no hash map
-    holds the values of a whole group. Nulls are left out.
+    ``moments`` names count, mean, std (population), min, max. Equal values are
+    counted before anything is ordered; the position of a percentile is then found
+    in the running count, so no task and no hash map holds the values of a whole
+    group. Nulls are left out.
     """
     known = df.where(F.col(value).isNotNull())
     if reads_little(df):
+        simple = {
+            "count": F.count(value), "mean": F.avg(value), "std": F.stddev_pop(value),
+            "min": F.min(value).cast("double"), "max": F.max(value).cast("double"),
+        }
         return known.groupBy(*group).agg(
-            *[F.percentile(value, F.lit(p)).alias(n) for n, p in points.items()]
+            *[simple[kind].alias(n) for n, kind in moments.items()],
+            *[F.percentile(value, F.lit(p)).alias(n) for n, p in points.items()],
         )
     counted = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+    v, c = F.col(value).cast("double"), F.col("__c")
     placed = frame(
-        counted, group, [F.col(value)],
-        sums={"__cum": F.col("__c")}, totals={"__all": F.col("__c")}, inclusive=True,
+        counted, group, [F.col(value)], sums={"__cum": c}, totals={"__all": c, "__sum": v * c}, inclusive=True,
     )
+    off = v - F.col("__sum") / F.col("__all")
+    weighted = {
+        "count": F.max("__all"), "mean": F.max(F.col("__sum") / F.col("__all")),
+        "std": F.sqrt(F.sum(c * off * off) / F.max("__all")), "min": F.min(v), "max": F.max(v),
+    }
     def at(index: Column) -> Column:
         return F.min(F.when(F.col("__cum") > index, F.col(value)))
-    out = []
+    out = [weighted[kind].alias(n) for n, kind in moments.items()]
     for name, p in points.items():
         position = (F.col("__all") - 1) * F.lit(float(p))
         low, high = at(F.floor(position)), at(F.ceil(position))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.functions import messages as M
-from patchsieve.operators.frames import beside, frame, number_rows
+from patchsieve.operators.frames import beside, frame, number_rows, reused
 from patchsieve.operators.history import DAY, micros
 
 # fixed values: thresholds of the label rules
@@ -37,9 +37,9 @@ def resolve_refs(messages: DataFrame, known: DataFrame, repo: list[str], exclude
     by their first 7 characters, so a run that everybody quotes costs one lookup.
     With ``exclude_self`` a change does not find itself, except by 12 characters.
     """
-    tokens = messages.select(
+    tokens = reused(messages.select(
         *repo, "sha", F.explode(F.array_distinct(M.hex_refs(F.col("message")))).alias("token")
-    )
+    ))
     ids = known.select(*repo, F.col("sha").alias("id"), "pos", F.substring("sha", 1, _BUCKET).alias("__b"))
     asked = tokens.select(*repo, "token").distinct().withColumn("__b", F.substring("token", 1, _BUCKET))
     found = (
@@ -205,7 +205,7 @@ def ambiguous_evidence(
     )
     probes = first.join(timed.select(*repo, "pos", "__us"), [*repo, "pos"]).join(at_fix, [*repo, "fix"])
     cut = F.col("__us") + F.lit((days + 1) * DAY * 1_000_000).cast("long")
-    probes = probes.withColumn("__cut", cut)
+    probes = reused(probes.withColumn("__cut", cut))
     reached = F.col("__cut").isNull() | F.col("__fix_latest").isNull() | (F.col("__fix_latest") < F.col("__cut"))
     past = F.col("__fix_us") >= F.col("__cut")
     sure = probes.where(reached).select(*repo, "pos")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchsieve.operators.attribution import COMMIT_ONLY, MODERATE, PARTIAL, STRONG, UNKNOWN, WEAK
 from patchsieve.operators.diffs import NO_FILE
-from patchsieve.operators.frames import beside, first_rows
+from patchsieve.operators.frames import beside, first_rows, frame, reused
 from patchsieve.operators.history import DAY, micros
 from patchsieve.operators.metrics import share
 from patchsieve.operators.stats import distribution
@@ -145,8 +145,6 @@ def aligned_pairs(files: DataFrame, group: list[str], seq: list[str], strong=STR
     Linear in the files: file i of the larger side meets file i mod m of the
     smaller one. Used to fit on differences, where the product would be needed.
     """
-    from patchsieve.operators.frames import frame
-
     sided = files.where(F.col("identity") & F.col("level").isin(strong, weak))
     place = F.struct(*seq)
     ranked = frame(
@@ -199,9 +197,9 @@ def observation_time(changes: DataFrame, positive_files: DataFrame) -> DataFrame
         "repo", "sha", ((F.col("__end") - micros(F.col("ts"))) / (DAY * 1_000_000.0)).alias("days")
     )
     positive = positive_files.select("repo", "sha").join(aged, ["repo", "sha"])
-    both = aged.select(F.lit("all").alias("population"), "days").unionByName(
+    both = reused(aged.select(F.lit("all").alias("population"), "days").unionByName(
         positive.select(F.lit("positive").alias("population"), "days")
-    )
+    ))
     dist = distribution(both, "days", ["population"])
     median = dist.where(F.col("population") == "all").agg(F.max("median").alias("__median"))
     counts = beside(both, median).agg(

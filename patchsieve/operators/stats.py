@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.functions.messages import SIZE_BUCKETS, size_bucket
-from patchsieve.operators.frames import beside, frame, number_rows, percentiles, reads_little
+from patchsieve.operators.frames import beside, frame, number_rows, percentiles, reads_little, reused, summary
 from patchsieve.operators.metrics import BUDGETS, budget_values, score_steps, share
 from patchsieve.operators.ranking import hashed_int
 
@@ -43,7 +43,8 @@ def _draws(numbered: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 
 def _number_groups(groups: DataFrame, key: list[str]) -> DataFrame:
-    return number_rows(groups, [], [F.col(c) for c in key], "__i").withColumn("idx", F.col("__i") - 1).drop("__i")
+    numbered = number_rows(reused(groups), [], [F.col(c) for c in key], "__i")
+    return reused(numbered.withColumn("idx", F.col("__i") - 1).drop("__i"))
 
 
 def _meet(draws: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -162,15 +163,9 @@ _POINTS = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
 
 def distribution(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Count, mean, exact percentiles, population deviation, IQR, ends; zeros when empty."""
-    by = by or []
-    simple = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-        F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"),
-    )
-    cuts = percentiles(df, by, value, _POINTS)
-    joined = simple.join(cuts, by) if by else beside(simple, cuts)
-    out = joined.withColumn("iqr", F.col("p75") - F.col("p25"))
-    return out.fillna(0.0)
+    moments = {m: m for m in ("count", "mean", "std", "min", "max")}
+    out = summary(df, by or [], value, _POINTS, moments)
+    return out.withColumn("iqr", F.col("p75") - F.col("p25")).fillna(0.0)
 
 
 def unpivoted(df: DataFrame, keys: list[str], columns: list[str], name="feature", value="value") -> DataFrame:
@@ -232,7 +227,7 @@ def observed_positive_ranking(
 ) -> DataFrame:
     """Recall and enrichment at K over the whole table, by the first rank of each positive key."""
     ranked = number_rows(df, [], [-F.col(score), *map(F.col, seq)], "rank")
-    first = ranked.where(F.col(positive)).groupBy(*key).agg(F.min("rank").alias("rank"))
+    first = reused(ranked.where(F.col(positive)).groupBy(*key).agg(F.min("rank").alias("rank")))
     n = df.agg(F.count(F.lit(1)).alias("n_total"))
     hits = first.agg(
         F.count(F.lit(1)).alias("n_positive"), F.avg("rank").alias("mean_rank"), F.count_if(F.col("rank") <= 10).alias("top_10"),
@@ -283,6 +278,7 @@ def pairwise_accuracy(df: DataFrame, group: list[str], score: str, level: str, s
 
 def concentration(counts: DataFrame, name: str, n: str) -> DataFrame:
     """Top shares, Gini (zero counts included), Herfindahl and scaled entropy of counts per name."""
+    counts = reused(counts)
     totals = counts.agg(F.sum(n).alias("__all"), F.count(F.lit(1)).alias("__m"))
     ranked = number_rows(counts.select(name, F.col(n).alias("__v")), [], [F.col("__v"), F.col(name)], "__i")
     row = beside(ranked, totals)
@@ -308,7 +304,7 @@ def gini_variants(counts: DataFrame, name: str, n: str) -> DataFrame:
 
     The sum over all pairs is 2 * sum((2 i - m - 1) x_i) in rank order, so no pair is built.
     """
-    some = counts.where(F.col(n) > 0)
+    some = reused(counts.where(F.col(n) > 0))
     totals = some.agg(F.sum(n).alias("__all"), F.count(F.lit(1)).alias("__m"))
     row = beside(number_rows(some, [], [F.col(n), F.col(name)], "__i"), totals)
     weight = 2 * F.col("__i") - F.col("__m") - 1

@@ -84,3 +84,12 @@ def test_previous_rows_cross_block_ends(spark, sliced):
     got = run_previous()
     spark.conf.set(frames.SMALL_INPUT_BYTES, str(1 << 63))
     assert got == run_previous()
+
+
+def test_summary_equals_builtin(spark, sliced):
+    df = rows(spark).withColumn("x", F.col("v") * F.col("seq"))
+    moments = {m: m for m in ("count", "mean", "std", "min", "max")}
+    got = {r["g"]: tuple(r)[1:] for r in frames.summary(df, ["g"], "x", {"p": 0.3}, moments).collect()}
+    spark.conf.set(frames.SMALL_INPUT_BYTES, str(1 << 63))
+    for r in frames.summary(df, ["g"], "x", {"p": 0.3}, moments).collect():
+        assert got[r["g"]] == pytest.approx(tuple(r)[1:])
