@@ -91,11 +91,14 @@ def paired_bootstrap(
     def sides(df, mark):
         metrics = metric_columns(budgets)
         return df.select(*key, *[metrics[n].alias(f"{mark}_{n}") for n in names])
-    both = _number_groups(sides(counts, "a").join(sides(other, "b"), key), key).drop(*key)
-    drawn = _draws(both, replicates, seed).distinct()
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    per = _meet(drawn, both).groupBy("replicate").agg(
-        *[(mean(f"a_{n}") - mean(f"b_{n}")).alias(n) for n in names]
+    joined = sides(counts, "a").join(sides(other, "b"), key)
+    # the same groups have positives in both rankings, so the difference of the means
+    # is the mean of the differences
+    gaps = joined.select(*key, *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names])
+    numbered = _number_groups(gaps, key).drop(*key)
+    drawn = _draws(numbered, replicates, seed).distinct()
+    per = _meet(drawn, numbered).groupBy("replicate").agg(
+        *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names]
     )
     return _interval(per, names)
 
