@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from patchsieve.llm.common import table, written
 from patchsieve.llm.near_dups import near_duplicates
+from patchsieve.llm.quality import train, with_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+QUALITY_CUT = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the quality network does not reject."""
+    network, prior = train(docs, table(spark, sf_dir, "labels"))
+    return with_scores(docs.select(*COLUMNS), network, prior).where(f"score >= {QUALITY_CUT}").select(*COLUMNS)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least id of every group of near duplicates, once."""
     found = near_duplicates(docs).where("kept").select("doc_id", "n_shingles").distinct()
@@ -18,6 +27,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 STAGES = [
+    ("quality", quality_stage),
     ("near_duplicates", near_duplicate_stage),
 ]
 # no stage can be said in SQL: a fitted model, near duplicates, edit matching and packing

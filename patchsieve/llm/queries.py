@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from patchsieve.llm.common import table
 from patchsieve.llm.near_dups import near_duplicates
+from patchsieve.llm.quality import quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
