@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from patchsieve.llm.common import table, written
-from patchsieve.llm.near_dups import near_duplicates
+from patchsieve.llm.decontaminate import without_passages
+from patchsieve.llm.near_dups import one_per_group
+from patchsieve.llm.packing import packed
 from patchsieve.llm.quality import train, with_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,14 +23,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of every group of near duplicates, once."""
-    found = near_duplicates(docs).where("kept").select("doc_id", "n_shingles").distinct()
-    return docs.join(found, "doc_id").select(*COLUMNS)
+    """Keep one document of every group of near duplicates, that with the least id."""
+    return one_per_group(docs.select(*COLUMNS))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of the benchmark."""
+    return without_passages(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences."""
+    return packed(docs)
 
 
 STAGES = [
     ("quality", quality_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 # no stage can be said in SQL: a fitted model, near duplicates, edit matching and packing
 ORACLE_SQL = None

@@ -199,16 +199,14 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     return joined.mapInArrow(_verify_sets(percent), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of `documents` (doc_id, text; more columns are ignored).
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("text_key", F.xxhash64("text"))
 
-    Rows whose distinct 5-word shingles have 100 * intersection >= percent * union are linked; a
-    component is named by its least doc_id. Null texts, empty texts and texts without words have no
-    shingles and stand alone. Rows that repeat a doc_id keep a row each; a null doc_id is passed over
-    when the least is taken, and a component of nulls alone has a null name. An empty table gives none.
-    """
+
+def _grouped(documents: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(doc_id, text_key, n_shingles, comp, component_id) per row; comp numbers the groups, null without shingles."""
     bounds = least_matches(percent / 100, miss)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    docs = _keyed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     schema = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig binary"
     sketched = written(docs.mapInArrow(_sketch, schema), "sketches")
     found = sketched.where("n_shingles > 0")
@@ -245,8 +243,40 @@ def near_duplicates(documents: DataFrame, percent: int = 75, miss: float = 1e-5)
     whole = components(links)
     named = reps.join(whole, "node", "left").select("k1", "k2", "least_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "comp").select("k1", "k2", "component_id")
-    rows = sketched.select("doc_id", "n_shingles", "k1", "k2")
-    out = rows.where("n_shingles > 0").join(named, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id").unionAll(
-        rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.join(least, "comp").select("k1", "k2", "comp", "component_id")
+    rows = sketched.select("doc_id", "text_key", "n_shingles", "k1", "k2")
+    alone = rows.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return rows.where("n_shingles > 0").join(named, ["k1", "k2"]).select("doc_id", "text_key", "n_shingles", "comp", "component_id").unionAll(alone)
+
+
+def near_duplicates(documents: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row of `documents` (doc_id, text; more columns are ignored).
+
+    Rows whose distinct 5-word shingles have 100 * intersection >= percent * union are linked; a
+    component is named by its least doc_id. Null texts, empty texts and texts without words have no
+    shingles and stand alone. Rows that repeat a doc_id keep a row each; a null doc_id is passed over
+    when the least is taken, and a component of nulls alone has a null name. An empty table gives none.
+    """
+    return _grouped(documents, percent, miss).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_per_group(documents: DataFrame, percent: int = 75, miss: float = 1e-5) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that with the least doc_id.
+
+    Of rows that share this doc_id too, that with the least text checksum stays, and one of equal rows.
+    Rows without shingles all stay.
+    """
+    columns = documents.columns
+    grouped = _grouped(documents, percent, miss).where("comp IS NOT NULL")
+    by_row = grouped.groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    # nulls last: a group is named by its least id that is there
+    first = by_row.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "copies")).alias("w"))
+    winners = first.select(F.col("w.doc_id").alias("won_id"), F.col("w.text_key").alias("won_key"), F.col("w.copies").alias("won_copies"))
+    rows = documents.withColumn("text_key_", F.xxhash64("text"))
+    blank = F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
+    picked = rows.where(~blank).join(winners, F.col("text_key_").eqNullSafe(F.col("won_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("won_id")))
+    picked = written(picked.select(*columns, "won_id", "won_key", "won_copies"), "picked")
+    single = picked.where("won_copies = 1").select(*columns)
+    repeated = picked.where("won_copies > 1").dropDuplicates(["won_id", "won_key"]).select(*columns)
+    return single.unionAll(repeated).unionAll(rows.where(blank).select(*columns))
