@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from patchsieve.llm.common import table
 from patchsieve.llm.decontaminate import contaminated
+from patchsieve.llm.html import extracted
 from patchsieve.llm.near_dups import near_duplicates
 from patchsieve.llm.packing import packed
 from patchsieve.llm.quality import quality
@@ -41,6 +42,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
