@@ -12,6 +12,7 @@ from patchsieve.llm.html import extracted
 from patchsieve.llm.near_dups import near_duplicates
 from patchsieve.llm.packing import packed
 from patchsieve.llm.quality import quality
+from patchsieve.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +38,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+@query("op3_warc_revisits", """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS digest FROM pages
+), firsts AS (SELECT digest, max(page_id) AS first_id FROM p WHERE bytes >= 1000 GROUP BY digest)
+SELECT p.page_id, bytes AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> p.page_id THEN first_id END AS refers_to, true AS intact
+FROM p LEFT JOIN firsts ON p.digest = firsts.digest AND bytes >= 1000
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
