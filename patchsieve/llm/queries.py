@@ -12,6 +12,7 @@ from patchsieve.llm.html import extracted
 from patchsieve.llm.near_dups import near_duplicates
 from patchsieve.llm.packing import packed
 from patchsieve.llm.quality import quality
+from patchsieve.llm.sharding import sharded
 from patchsieve.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
+@query("op7_sharding")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
