@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from patchsieve.llm.common import table
 from patchsieve.llm.decontaminate import contaminated
+from patchsieve.llm.fingerprints import fingerprints
 from patchsieve.llm.html import extracted
 from patchsieve.llm.near_dups import near_duplicates
 from patchsieve.llm.packing import packed
@@ -57,6 +58,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_order_minhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op6_html_extraction")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from patchsieve.llm.common import written
 
@@ -132,12 +133,9 @@ def sharded(documents: DataFrame, shards: int = 24, tolerance: float = 1e-4) ->
     numbered = written(in_order.select(
         "doc_id", "size", "text_crc32", "shard", "before", F.spark_partition_id().alias("part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "ordered")
-    counts = numbered.groupBy("part").agg(F.count("*").alias("rows")).orderBy("part").collect()  # one row per partition
-    starts, ahead = [], 0
-    for r in counts:
-        starts.append((r["part"], ahead))
-        ahead += r["rows"]
-    offsets = documents.sparkSession.createDataFrame(starts, "part int, ahead long")
+    counts = numbered.groupBy("part").agg(F.count("*").alias("rows"))  # one row per partition
+    ahead = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("part", ahead.alias("ahead"))
     return numbered.join(F.broadcast(offsets), "part").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("ahead") + F.col("place") - F.col("before")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
