@@ -4,13 +4,13 @@ Documents with one shingle set form a class; everything below works on one row p
 
 1. Signatures of 128 minima are cut into 32 bands of 4. A pair of similarity 0.75 shares no band
    with a chance of 5e-6.
-2. In every bucket the members are compared with its least member: signature batches are compared
-   in turn and a pair is dropped once the posterior chance that its similarity reaches the threshold
-   is below `miss`. Each member's best survivor is verified on the full sets.
+2. A bucket's center is its least member. Every class is compared with the center that it shares most
+   buckets with: signature batches are compared in turn and a pair is dropped once the posterior chance
+   that its similarity reaches the threshold is below `miss`. Survivors are verified on the full sets.
 3. The links found give components. Buckets that still hold several components are compared member
-   by member across components, in blocks, again in batches; survivors are verified on full sets.
-   Pairs inside one component need no check: they cannot change it. So a large group of copies costs
-   its size, not its square, and no candidate is dropped without the Bayesian bound.
+   by member across components, in blocks of bounded size, again in batches; survivors are verified
+   on full sets, best first, until their components have met. Pairs inside one component need no check:
+   they cannot change it. No candidate is dropped but by the Bayesian bound.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ from patchsieve.llm.shingles import _PLACES, mix, set_key, shingle_sets
 _U = np.uint64
 _RANDOM = np.random.default_rng(4_711)
 MINIMA, ROWS, BATCH = 128, 4, 16
+BANDS = MINIMA // ROWS
 _MULTIPLY = _RANDOM.integers(1, 2**63, MINIMA, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _ADD = _RANDOM.integers(1, 2**63, MINIMA, dtype=np.int64).astype(_U)
-BLOCK = 1_024
+BLOCK_BYTES = 4 << 20
 PAIRS_AT_ONCE = 1 << 18
 
 
@@ -69,14 +70,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) for every band: equal keys mean equal minima of the same band."""
+    """(key, node) for every band: equal keys mean equal minima of the band that their lower bits tell."""
     for batch in batches:
         sig = _matrix(batch.column("sig")).astype(_U)
         nodes = batch.column("node").to_numpy()
-        for j in range(MINIMA // ROWS):
+        for j in range(BANDS):
             key = np.full(len(sig), j + 1, _U)
             for r in range(ROWS):
                 key = mix(key * _PLACES[r] + sig[:, j * ROWS + r])
+            key = (key & ~_U(BANDS - 1)) | _U(j)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes)], names=["key", "node"])
 
 
@@ -124,31 +126,59 @@ def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def _verify_blocks(bounds):
-    """Pairs of different components inside (key, i, j) groups: block i with block j."""
+def _verify_blocks(bounds, percent: int):
+    """Links between different components inside (key, i, j) groups: block i with block j.
+
+    Surviving pairs are verified from the most matches down, and only while their components are still
+    apart, so that a group gives fewer links than it has rows.
+    """
+    def links(sig, sets, node, comp, band, a, b):
+        x, y, matches = [], [], []
+        for lo in range(0, len(a), PAIRS_AT_ONCE):
+            one, two = a[lo:lo + PAIRS_AT_ONCE], b[lo:lo + PAIRS_AT_ONCE]
+            at, found = _survivors_at(sig, one, two, bounds)
+            one, two = one[at], two[at]
+            # a pair that shares several bands is dealt with in the first
+            alike = (sig[one] == sig[two]).reshape(-1, BANDS, ROWS).all(2)
+            new = alike.argmax(1) == band[one]
+            x.append(one[new])
+            y.append(two[new])
+            matches.append(found[new])
+        x, y, matches = np.concatenate(x), np.concatenate(y), np.concatenate(matches)
+        order = np.argsort(-matches, kind="stable")
+        x, y = x[order], y[order]
+        comp, out = comp.copy(), []
+        for lo in range(0, len(x), 4_096):
+            one, two = x[lo:lo + 4_096], y[lo:lo + 4_096]
+            apart = np.flatnonzero(comp[one] != comp[two])
+            for p, q in zip(one[apart].tolist(), two[apart].tolist()):
+                if comp[p] != comp[q] and linked(sets[p].as_buffer(), sets[q].as_buffer(), percent):
+                    comp[comp == comp[q]] = comp[p]
+                    out.append((node[p], node[q]))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in runs(batches, ["key", "i", "j"]):
-            sig, node = _matrix(rows.column("sig")), rows.column("node").to_numpy()
-            comp, block = rows.column("comp").to_numpy(), rows.column("block").to_numpy()
+            sig, sets, node = _matrix(rows.column("sig")), rows.column("set").combine_chunks(), rows.column("node").to_pylist()
+            comps, block = rows.column("comp").to_numpy(), rows.column("block").to_numpy()
             same = (rows.column("i").to_numpy() == rows.column("j").to_numpy())[starts]
+            firsts, band = rows.column("i").to_numpy(), rows.column("key").to_numpy() & (BANDS - 1)
             todo, size = [], 0
             for g, (s, e) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(node)])):
                 if same[g]:
                     a, b = _triangle(e - s)
                     a, b = a + s, b + s
                 else:
-                    first = block[s:e] == rows.column("i")[s].as_py()
+                    first = block[s:e] == firsts[s]
                     one, two = np.flatnonzero(first) + s, np.flatnonzero(~first) + s
                     a, b = np.repeat(one, len(two)), np.tile(two, len(one))
-                apart = comp[a] != comp[b]
+                apart = comps[a] != comps[b]
                 todo.append((a[apart], b[apart]))
                 size += len(todo[-1][0])
                 if size >= PAIRS_AT_ONCE or e == len(node):
-                    a, b = (np.concatenate(x) for x in zip(*todo))
-                    for lo in range(0, len(a), PAIRS_AT_ONCE):
-                        x, y = a[lo:lo + PAIRS_AT_ONCE], b[lo:lo + PAIRS_AT_ONCE]
-                        at, _ = _survivors_at(sig, x, y, bounds)
-                        yield pa.RecordBatch.from_arrays([pa.array(node[x[at]]), pa.array(node[y[at]])], names=["node", "center"])
+                    found = links(sig, sets, node, comps, band, *(np.concatenate(x) for x in zip(*todo))) if size else []
+                    one, two = zip(*found) if found else ((), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
                     todo, size = [], 0
     return run
 
@@ -170,30 +200,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.binary())], names=["node", "set"])
 
 
+def linked(a, b, percent: int) -> bool:
+    """Whether two sets (buffers of sorted hashes) have 100 * intersection >= percent * union."""
+    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _verify_sets(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n, (a, b) in enumerate(zip(batch.column("set"), batch.column("center_set"))):
-                x, y = (np.frombuffer(v.as_buffer(), _U) for v in (a, b))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                at = np.searchsorted(x, y)
-                shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    keep.append(n)
+            keep = [n for n, (a, b) in enumerate(zip(batch.column("set"), batch.column("center_set"))) if linked(a.as_buffer(), b.as_buffer(), percent)]
             pick = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pick), batch.column("center").take(pick)], names=["a", "b"])
     return run
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (node, center) of classes whose full sets meet the threshold, as edges (a, b)."""
-    nodes = pairs.select("node").unionAll(pairs.select(F.col("center").alias("node"))).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
-    texts = docs.join(wanted, F.col("text_key").eqNullSafe(F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-    sets = texts.select("node", "text").mapInArrow(_sets, "node long, set binary")
-    sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
     joined = pairs.select("node", "center").join(sets, "node").join(
         sets.select(F.col("node").alias("center"), F.col("set").alias("center_set")), "center")
     return joined.mapInArrow(_verify_sets(percent), "a long, b long")
@@ -210,7 +236,7 @@ def _grouped(documents: DataFrame, percent: int, miss: float) -> DataFrame:
     schema = "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig binary"
     sketched = written(docs.mapInArrow(_sketch, schema), "sketches")
     found = sketched.where("n_shingles > 0")
-    reps = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"))
+    reps = found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
     sigs = found.groupBy("k1", "k2").agg(F.first("sig").alias("sig"))
     sigs = written(reps.join(sigs, ["k1", "k2"]).select("node", "sig"), "signatures")
@@ -218,27 +244,39 @@ def _grouped(documents: DataFrame, percent: int, miss: float) -> DataFrame:
     bands = sigs.mapInArrow(_bands, "key long, node long")
     shared = bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last")
     members = written(bands.join(shared.select("key", "center"), "key"), "buckets")
-    stars = members.where("node <> center").select("node", "center").distinct()
+    # full sets of the classes that share a bucket with another
+    shares = members.select("node").distinct()
+    wanted = reps.join(shares, "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    texts = docs.join(wanted, F.col("text_key").eqNullSafe(F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    sets = texts.select("node", "text").mapInArrow(_sets, "node long, set binary")
+    sets = written(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+    # of the centers of its buckets, a member is compared with that it shares most buckets with
+    shared = members.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("bands"))
+    stars = shared.groupBy("node").agg(F.max(F.struct("bands", F.negative("center").alias("minus"))).alias("best"))
+    stars = stars.select("node", F.negative("best.minus").alias("center"))
     with_sigs = stars.join(sigs, "node").join(sigs.select(F.col("node").alias("center"), F.col("sig").alias("center_sig")), "center")
-    likely = with_sigs.mapInArrow(_verify_stars(bounds), "node long, center long, matches long")
-    best = likely.groupBy("node").agg(F.max(F.struct("matches", F.negative("center").alias("minus"))).alias("best"))
-    best = written(best.select("node", F.negative("best.minus").alias("center")), "stars")
-    first = written(_exact(best, docs, reps, percent), "links")
+    likely = written(with_sigs.mapInArrow(_verify_stars(bounds), "node long, center long, matches long"), "stars")
+    first = written(_exact(likely, sets, percent), "links")
 
     own = components(first)
-    placed = written(members.join(own, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    placed = written(
+        members.select("key", "node").join(own, "node", "left").join(reps.select("node", "n_shingles"), "node")
+        .select("key", "node", F.coalesce("comp", "node").alias("comp"), "n_shingles"), "placed")
+    # a group of two blocks holds about twice BLOCK_BYTES of signatures and sets
+    weight = F.col("n_shingles") * 8 + MINIMA * 4
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(weight).alias("weight")).where("lo < hi")
+    blocks = F.ceil(F.col("weight") / BLOCK_BYTES).cast("int")
     open_rows = (
         placed.join(mixed.select("key", blocks.alias("blocks")), "key")
         .withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-        .join(sigs, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp")
+        .join(sigs, "node").join(sets, "node").select("key", "i", "j", "block", "node", "comp", "sig", "set")
     )
     spread = open_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    across = written(spread.mapInArrow(_verify_blocks(bounds), "node long, center long").distinct(), "across")
-    links = first.unionAll(_exact(across, docs, reps, percent))
+    across = written(spread.mapInArrow(_verify_blocks(bounds, percent), "a long, b long").distinct(), "across")
+    links = first.unionAll(across)
 
     whole = components(links)
     named = reps.join(whole, "node", "left").select("k1", "k2", "least_id", F.coalesce("comp", "node").alias("comp"))
