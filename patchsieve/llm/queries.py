@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from patchsieve.llm.common import table
 from patchsieve.llm.decontaminate import contaminated
 from patchsieve.llm.fingerprints import fingerprints
 from patchsieve.llm.html import extracted
+from patchsieve.llm.licenses import license_scan
 from patchsieve.llm.near_dups import near_duplicates
 from patchsieve.llm.packing import packed
 from patchsieve.llm.quality import quality
 from patchsieve.llm.sharding import sharded
+from patchsieve.llm.token_matrices import segments, token_matrices
 from patchsieve.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +76,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
 
+@query("op8_token_matrices")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(token_matrices(table(spark, sf_dir, "documents")))
+
+
+def files_of(documents: DataFrame) -> DataFrame:
+    """Documents as files of a tree: source, language, fifty ids a folder.
+
+    Every fourth document that mentions a licence is the licence file of its folder.
+    """
+    mentions = F.coalesce(F.col("text").rlike("(?i)licen[cs]e"), F.lit(False)) & (F.col("doc_id") % 4 == 0)
+    number = F.col("doc_id").cast("string")
+    name = F.when(mentions, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
+    folder = F.floor(F.col("doc_id") / 50).cast("string")
+    return documents.select("doc_id", F.concat_ws("/", "source", "lang", folder, name).alias("path"), "text")
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(files_of(table(spark, sf_dir, "documents")))
+
+
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
