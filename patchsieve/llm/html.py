@@ -54,8 +54,8 @@ class _Node:
 
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>script|style|title|textarea|noscript|iframe|xmp)(?=[\s/>])[^>]*>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)"
+    r"<!--(?:.*?(?P<ended>-->)|.*\Z)"
+    r"|<(?P<raw>script|style|title|textarea|noscript|iframe|xmp)(?=[\s/>])[^>]*>(?:.*?(?P<closed></(?P=raw)(?=[\s/>])[^>]*>)|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?P<more>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|</?(?P<odd>[a-z][^\s/<>]*)[^>]*>"
     r"|<[!?/][^>]*>", re.I | re.S)
@@ -89,6 +89,8 @@ class _Page:
             at = m.end()
             tag = m["tag"] or m["odd"]
             if not tag:
+                if at == last and (m["raw"] and not m["closed"] or m[0].startswith("<!--") and not m["ended"]):
+                    at = len(html)
                 continue
             if html[m.start() + 1] == "/":
                 self._end(tag.lower())

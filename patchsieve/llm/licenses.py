@@ -143,12 +143,12 @@ def license_scan(files: DataFrame, known: DataFrame | None = None, threshold: fl
     origin "none". Null texts have no licence, null paths inherit nothing; rows may repeat. Columns named like
     the results are replaced.
     """
-    results = {"path", "text", "license", "score", "origin", "from_path", "row"}
-    kept = [c for c in files.columns if c not in results]
+    kept = [c for c in files.columns if c not in {"path", "text", "license", "score", "origin", "from_path"}]
+    other = F.struct(F.lit(0).alias("none"), *(F.col(c).alias(f"c{n}") for n, c in enumerate(kept))).alias("other")
     known = templates(files.sparkSession) if known is None else known
     path = F.col("path").cast("string")
     # rows that are equal in path and text have one result
-    keyed = files.select(*kept, path.alias("path"), "text", F.md5(F.concat_ws("\n", F.coalesce(path, F.lit("")), "text").cast("binary")).alias("row"))
+    keyed = files.select(other, path.alias("path"), "text", F.md5(F.concat_ws("\n", F.coalesce(path, F.lit("")), "text").cast("binary")).alias("row"))
     own = matches(keyed.select("row", "text").where("text IS NOT NULL"), known, threshold)
     scanned = written(keyed.drop("text").join(own, "row", "left"), "scanned")
 
@@ -166,6 +166,6 @@ def license_scan(files: DataFrame, known: DataFrame | None = None, threshold: fl
     out = placed.join(nearest, "directory", "left")
     taken = F.col("license").isNull() & F.col("given").isNotNull()
     return out.select(
-        *kept, "path", F.coalesce("license", "given.license").alias("license"), F.coalesce("score", "given.score").alias("score"),
+        *(F.col(f"other.c{n}").alias(c) for n, c in enumerate(kept)), "path", F.coalesce("license", "given.license").alias("license"), F.coalesce("score", "given.score").alias("score"),
         F.when(F.col("license").isNotNull(), F.col("kind")).when(taken, F.lit("inherited")).otherwise(F.lit("none")).alias("origin"),
         F.when(taken, F.col("given.path")).alias("from_path"))

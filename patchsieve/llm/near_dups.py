@@ -305,16 +305,15 @@ def one_per_group(documents: DataFrame, percent: int = 75, miss: float = 1e-5) -
     Of rows that share this doc_id too, that with the least text checksum stays, and one of equal rows.
     Rows without shingles all stay.
     """
-    columns = documents.columns
     grouped = _grouped(documents, percent, miss).where("comp IS NOT NULL")
     by_row = grouped.groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("copies"))
     # nulls last: a group is named by its least id that is there
     first = by_row.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "copies")).alias("w"))
-    winners = first.select(F.col("w.doc_id").alias("won_id"), F.col("w.text_key").alias("won_key"), F.col("w.copies").alias("won_copies"))
-    rows = documents.withColumn("text_key_", F.xxhash64("text"))
+    winners = first.select(F.col("w.doc_id").alias("won_id"), F.col("w.text_key").alias("won_key"), F.col("w.copies").alias("copies"))
     blank = F.coalesce(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(True))
-    picked = rows.where(~blank).join(winners, F.col("text_key_").eqNullSafe(F.col("won_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("won_id")))
-    picked = written(picked.select(*columns, "won_id", "won_key", "won_copies"), "picked")
-    single = picked.where("won_copies = 1").select(*columns)
-    repeated = picked.where("won_copies > 1").dropDuplicates(["won_id", "won_key"]).select(*columns)
-    return single.unionAll(repeated).unionAll(rows.where(blank).select(*columns))
+    rows = documents.select(F.struct(*documents.columns).alias("whole"), blank.alias("blank"), F.xxhash64("text").alias("text_key"), F.col("doc_id").cast("long").alias("id"))
+    picked = rows.where("NOT blank").join(winners, F.col("text_key").eqNullSafe(F.col("won_key")) & F.col("id").eqNullSafe(F.col("won_id")))
+    picked = written(picked.select("whole", "won_id", "won_key", "copies"), "picked")
+    single = picked.where("copies = 1").select("whole.*")
+    repeated = picked.where("copies > 1").dropDuplicates(["won_id", "won_key"]).select("whole.*")
+    return single.unionAll(repeated).unionAll(rows.where("blank").select("whole.*"))

@@ -177,7 +177,9 @@ def train(documents: DataFrame, labels: DataFrame, positives: int = 20_000, unla
 
 
 def with_scores(documents: DataFrame, network: Network | None, prior: float) -> DataFrame:
-    """`documents` with a column score from 0 to 1; without a network every score is the prior."""
+    """`documents` with a column score from 0 to 1, in place of one of that name; without a network every score is the prior."""
+    documents = documents.drop("score")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if network is None:
