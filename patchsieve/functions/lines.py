@@ -9,23 +9,21 @@ from pyspark.sql import functions as F
 BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 # fixed values: declaration patterns per kind; (?mdU) = lines end at \n only, Unicode classes
-_LEAD = r"(?mdU)^\s*"
-_MODIFIERS = r"(?:function\s+\w+|(?:public|private|protected|static|async|export|const|let|var)\s+)*"
 FUNCTION_PATTERNS = (
-    _LEAD + r"def\s+\w+",
-    _LEAD + _MODIFIERS + r"\w+\s*\(.*\)\s*(?:\{|=>)",
-    _LEAD + r"func\s+\w+",
-    _LEAD + r"\w+\s*\(.*\)\s*\{",
+    r"(?mdU)^\s*def\s+\w+",
+    r"(?mdU)^\s*(?:function\s+\w+|(?:public|private|protected|static|async|export|const|let|var)\s+)*\w+\s*\(.*\)\s*(?:\{|=>)",
+    r"(?mdU)^\s*func\s+\w+",
+    r"(?mdU)^\s*\w+\s*\(.*\)\s*\{",
 )
 CLASS_PATTERNS = (
-    _LEAD + r"class\s+\w+",
-    _LEAD + r"(?:export\s+)?(?:abstract\s+)?class\s+\w+",
+    r"(?mdU)^\s*class\s+\w+",
+    r"(?mdU)^\s*(?:export\s+)?(?:abstract\s+)?class\s+\w+",
 )
 IMPORT_PATTERNS = (
-    _LEAD + r"(?:from\s+\S+\s+)?import\s+",
-    _LEAD + r"(?:import\s+\{|import\s+\w|from\s+\S+\s+import\s+)",
-    _LEAD + r"\"[\w/]+\"",
-    _LEAD + r"(?:import|from|include|require|#include)\s",
+    r"(?mdU)^\s*(?:from\s+\S+\s+)?import\s+",
+    r"(?mdU)^\s*(?:import\s+\{|import\s+\w|from\s+\S+\s+import\s+)",
+    r"(?mdU)^\s*\"[\w/]+\"",
+    r"(?mdU)^\s*(?:import|from|include|require|#include)\s",
 )
 
 

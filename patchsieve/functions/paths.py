@@ -12,31 +12,55 @@ LANGUAGES = [
     "markdown", "text", "unknown",
 ]
 
-# fixed values: file extensions of each language
-EXTENSIONS = {
-    "python": "py pyw",
-    "javascript": "js mjs cjs jsx",
-    "typescript": "ts tsx mts cts",
+# fixed values: the language of each file extension
+LANGUAGE_OF = {
+    "py": "python",
+    "pyw": "python",
+    "js": "javascript",
+    "mjs": "javascript",
+    "cjs": "javascript",
+    "jsx": "javascript",
+    "ts": "typescript",
+    "tsx": "typescript",
+    "mts": "typescript",
+    "cts": "typescript",
     "java": "java",
     "go": "go",
-    "rust": "rs",
-    "c": "c h",
-    "cpp": "cpp cxx cc hpp hh",
-    "ruby": "rb rake gemspec",
+    "rs": "rust",
+    "c": "c",
+    "h": "c",
+    "cpp": "cpp",
+    "cxx": "cpp",
+    "cc": "cpp",
+    "hpp": "cpp",
+    "hh": "cpp",
+    "rb": "ruby",
+    "rake": "ruby",
+    "gemspec": "ruby",
     "php": "php",
     "swift": "swift",
-    "kotlin": "kt kts",
-    "scala": "scala sc",
+    "kt": "kotlin",
+    "kts": "kotlin",
+    "scala": "scala",
+    "sc": "scala",
     "sql": "sql",
-    "shell": "sh bash zsh",
-    "yaml": "yaml yml",
+    "sh": "shell",
+    "bash": "shell",
+    "zsh": "shell",
+    "yaml": "yaml",
+    "yml": "yaml",
     "json": "json",
     "toml": "toml",
     "xml": "xml",
-    "html": "html htm",
-    "css": "css scss less",
-    "markdown": "md markdown rst",
-    "text": "txt",
+    "html": "html",
+    "htm": "html",
+    "css": "css",
+    "scss": "css",
+    "less": "css",
+    "md": "markdown",
+    "markdown": "markdown",
+    "rst": "markdown",
+    "txt": "text",
 }
 
 # fixed values: test directories (searched anywhere) and test file names (matched at the start)
@@ -61,7 +85,7 @@ def stem(path: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    pairs = [F.lit(v) for lang, exts in EXTENSIONS.items() for e in exts.split() for v in (e, lang)]
+    pairs = [F.lit(v) for pair in LANGUAGE_OF.items() for v in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), extension(path)), F.lit("unknown"))
 
 

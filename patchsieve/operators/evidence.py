@@ -39,27 +39,27 @@ def cheap_evidence(df: DataFrame, name: str = "evidence") -> DataFrame:
          _text("%d lines added, %d deleted", c("lines_added"), c("lines_deleted")), diff, "direct", lines),
         (c("hunk_count") > 1, "change", "hunk_count",
          _text("Changed across %d hunks", c("hunk_count")), feature, "direct", c("hunk_count")),
-        ((c("functions_added") > 0) | (c("functions_deleted") > 0), "change", "function_churn",
-         _text("%d function declaration(s) added, %d deleted", c("functions_added"), c("functions_deleted")),
-         feature, "direct", c("functions_added") + c("functions_deleted")),
-        ((c("classes_added") > 0) | (c("classes_deleted") > 0), "change", "class_churn",
-         _text("%d class declaration(s) added, %d deleted", c("classes_added"), c("classes_deleted")),
-         feature, "direct", c("classes_added") + c("classes_deleted")),
+        ((c("function_declarations_added") > 0) | (c("function_declarations_deleted") > 0), "change", "function_churn",
+         _text("%d function declaration(s) added, %d deleted", c("function_declarations_added"), c("function_declarations_deleted")),
+         feature, "direct", c("function_declarations_added") + c("function_declarations_deleted")),
+        ((c("class_declarations_added") > 0) | (c("class_declarations_deleted") > 0), "change", "class_churn",
+         _text("%d class declaration(s) added, %d deleted", c("class_declarations_added"), c("class_declarations_deleted")),
+         feature, "direct", c("class_declarations_added") + c("class_declarations_deleted")),
         ((c("imports_added") > 0) | (c("imports_deleted") > 0), "change", "import_churn",
          _text("%d import(s) added, %d deleted", c("imports_added"), c("imports_deleted")),
          feature, "direct", c("imports_added") + c("imports_deleted")),
         (c("status") != "modified", "change", "file_status",
          _text("File status: %s", c("status")), diff, "direct", F.lit(None)),
         (c("is_binary"), "change", "binary_file", F.lit("Binary file"), diff, "direct", F.lit(None)),
-        (c("max_indent") > 0, "structural", "indentation",
-         _text("Average changed-line indentation: %.1f spaces, max: %d spaces", one(c("avg_indent")), c("max_indent")),
-         feature, "derived", c("avg_indent")),
+        (c("max_changed_line_indent") > 0, "structural", "indentation",
+         _text("Average changed-line indentation: %.1f spaces, max: %d spaces", one(c("avg_changed_line_indent")), c("max_changed_line_indent")),
+         feature, "derived", c("avg_changed_line_indent")),
         (c("avg_hunk_size") > 0, "structural", "hunk_size",
          _text("Average hunk size: %.1f lines", one(c("avg_hunk_size"))), feature, "derived", c("avg_hunk_size")),
         (c("is_test_file"), "test", "test_file", F.lit("This is a test file"), "path_convention", "direct", F.lit(None)),
         (c("test_prod_coupling"), "test", "test_coupling",
          F.lit("Both test and production files changed in this commit"), feature, "derived", F.lit(None)),
-        (~c("has_test"), "test", "no_test_changes",
+        (~c("has_test_changes"), "test", "no_test_changes",
          F.lit("No test files changed in this commit"), feature, "derived", F.lit(None)),
         (part > 0, "context", "change_concentration",
          _text("File accounts for %.0f%% of total commit changes (%d of %d lines)", F.bround(part * 100, 0), lines, total),

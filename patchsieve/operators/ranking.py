@@ -79,7 +79,7 @@ def signals(df: DataFrame) -> DataFrame:
     """Function churn, import churn and hunk count as ranking signals."""
     return df.select(
         "*",
-        (F.abs("functions_added") + F.abs("functions_deleted")).cast("double").alias("s1"),
+        (F.abs("function_declarations_added") + F.abs("function_declarations_deleted")).cast("double").alias("s1"),
         (F.abs("imports_added") + F.abs("imports_deleted")).cast("double").alias("s2"),
         F.col("hunk_count").cast("double").alias("s3"),
     )

@@ -6,6 +6,7 @@ same rows from the documents themselves and never sees the diff text.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from patchsieve.functions import paths as P
@@ -136,8 +137,8 @@ n AS (SELECT part, count(*) FILTER (added) AS na, count(*) FILTER (NOT added) AS
 c AS (SELECT part, count(*) FILTER (NOT is_try AND new) AS fnew, count(*) FILTER (NOT is_try AND NOT new) AS fold,
   count(*) FILTER (is_try AND new) AS tnew, count(*) FILTER (is_try AND NOT new) AS told,
   count(DISTINCT CASE WHEN is_try THEN a * 1000 + b END) AS tany FROM hit GROUP BY part)
-SELECT part, CASE WHEN eligible AND has_new THEN coalesce(fnew, 0) ELSE 0 END AS functions_added,
-  CASE WHEN eligible AND has_old THEN coalesce(fold, 0) ELSE 0 END AS functions_deleted,
+SELECT part, CASE WHEN eligible AND has_new THEN coalesce(fnew, 0) ELSE 0 END AS function_declarations_added,
+  CASE WHEN eligible AND has_old THEN coalesce(fold, 0) ELSE 0 END AS function_declarations_deleted,
   CASE WHEN NOT eligible THEN 0 WHEN has_old AND has_new THEN coalesce(tany, 0)
    ELSE CASE WHEN has_new AND na > 0 THEN coalesce(tnew, 0) ELSE 0 END + CASE WHEN has_old AND nd > 0 THEN coalesce(told, 0) ELSE 0 END END AS try_changed
 FROM sides LEFT JOIN c USING (part) LEFT JOIN n USING (part)""")
@@ -190,10 +191,10 @@ FEATURES_SQL = LINES_SQL + rf""", agg AS (SELECT doc_id, file_seq,
   sum(len(regexp_extract(text, '^\s*'))) AS isum, max(len(regexp_extract(text, '^\s*'))) AS imax FROM changed GROUP BY ALL),
 hs AS (SELECT doc_id, file_seq, count(*) AS nh, avg(old_count + new_count) AS ah FROM hunk GROUP BY ALL),
 feat AS (SELECT h.doc_id, h.file_seq, h.path, h.status, h.is_binary, coalesce(na, 0) AS lines_added, coalesce(nd, 0) AS lines_deleted, coalesce(nh, 0) AS hunk_count,
-  {_most("coalesce(a, '')", _FN)} AS functions_added, {_most("coalesce(d, '')", _FN)} AS functions_deleted,
-  {_most("coalesce(a, '')", _CL)} AS classes_added, {_most("coalesce(d, '')", _CL)} AS classes_deleted,
+  {_most("coalesce(a, '')", _FN)} AS function_declarations_added, {_most("coalesce(d, '')", _FN)} AS function_declarations_deleted,
+  {_most("coalesce(a, '')", _CL)} AS class_declarations_added, {_most("coalesce(d, '')", _CL)} AS class_declarations_deleted,
   {_most("coalesce(a, '')", _IM)} AS imports_added, {_most("coalesce(d, '')", _IM)} AS imports_deleted,
-  coalesce(isum, 0)::BIGINT AS indent_sum, coalesce(na + nd, 0) AS indent_lines, coalesce(imax, 0) AS max_indent, coalesce(ah, 0) AS avg_hunk_size,
+  coalesce(isum, 0)::BIGINT AS indent_sum, coalesce(na + nd, 0) AS indent_lines, coalesce(imax, 0) AS max_changed_line_indent, coalesce(ah, 0) AS avg_hunk_size,
   CASE WHEN h.path LIKE 'src/%' THEN 'python' WHEN h.path LIKE '%.rs' THEN 'rust' WHEN h.path LIKE '%.md' THEN 'markdown'
     WHEN h.path LIKE '%.js' THEN 'javascript' ELSE 'unknown' END AS language_name,
   h.path LIKE 'tests/%' AS is_test_file
@@ -201,14 +202,14 @@ FROM heads h LEFT JOIN agg USING (doc_id, file_seq) LEFT JOIN hs USING (doc_id,
 
 
 @query("file_features", f"""WITH {FEATURES_SQL}
-SELECT doc_id, file_seq, lines_added, lines_deleted, hunk_count, functions_added, functions_deleted, classes_added, classes_deleted,
-  imports_added, imports_deleted, max_indent, round(CASE WHEN indent_lines > 0 THEN indent_sum / indent_lines ELSE 0 END, 6) AS avg_indent,
+SELECT doc_id, file_seq, lines_added, lines_deleted, hunk_count, function_declarations_added, function_declarations_deleted, class_declarations_added, class_declarations_deleted,
+  imports_added, imports_deleted, max_changed_line_indent, round(CASE WHEN indent_lines > 0 THEN indent_sum / indent_lines ELSE 0 END, 6) AS avg_changed_line_indent,
   round(avg_hunk_size, 6) AS avg_hunk_size, is_test_file, language_name FROM feat""")
 def file_features(t):
     out = features(t).withColumn("language_name", P.language_name(F.col("language")))
-    names = ["lines_added", "lines_deleted", "hunk_count", "functions_added", "functions_deleted",
-             "classes_added", "classes_deleted", "imports_added", "imports_deleted", "max_indent",
-             "avg_indent", "avg_hunk_size", "is_test_file", "language_name"]
+    names = ["lines_added", "lines_deleted", "hunk_count", "function_declarations_added", "function_declarations_deleted",
+             "class_declarations_added", "class_declarations_deleted", "imports_added", "imports_deleted", "max_changed_line_indent",
+             "avg_changed_line_indent", "avg_hunk_size", "is_test_file", "language_name"]
     return rounded(out.select(*KEYS, *names))
 
 
@@ -225,23 +226,23 @@ prim AS (SELECT {group}, first(language_name ORDER BY w DESC, f) AS primary_name
 g AS (SELECT {group}, sum(lines_added)::BIGINT AS lines_added, sum(lines_deleted)::BIGINT AS lines_deleted, count(*) AS files_changed,
   count(*) FILTER (status = 'added') AS files_added, count(*) FILTER (status = 'deleted') AS files_deleted, count(*) FILTER (status = 'modified') AS files_modified,
   count(*) FILTER (status = 'renamed') AS files_renamed, count(*) FILTER (status = 'binary') AS files_binary, sum(hunk_count)::BIGINT AS total_hunks,
-  count(*) FILTER (is_test_file) AS test_files, max({size}) AS max_file_changes,
-  sum(functions_added + functions_deleted)::BIGINT AS functions_changed, sum(classes_added + classes_deleted)::BIGINT AS classes_changed,
-  sum(imports_added + imports_deleted)::BIGINT AS imports_changed,
-  CASE WHEN sum(indent_lines) > 0 THEN sum(indent_sum) / sum(indent_lines) ELSE 0 END AS avg_indent, max(max_indent) AS max_indent
+  count(*) FILTER (is_test_file) AS test_files_changed, max({size}) AS max_file_changes,
+  sum(function_declarations_added + function_declarations_deleted)::BIGINT AS total_function_declarations_changed, sum(class_declarations_added + class_declarations_deleted)::BIGINT AS total_class_declarations_changed,
+  sum(imports_added + imports_deleted)::BIGINT AS total_imports_changed,
+  CASE WHEN sum(indent_lines) > 0 THEN sum(indent_sum) / sum(indent_lines) ELSE 0 END AS avg_changed_line_indent, max(max_changed_line_indent) AS max_changed_line_indent
   FROM {source} GROUP BY {group}),
 ent AS (SELECT {group}, -sum(CASE WHEN x > 0 THEN x / tot * log2(x / tot) ELSE 0 END) AS e
   FROM (SELECT {group}, ({size})::DOUBLE AS x, sum({size}) OVER (PARTITION BY {group})::DOUBLE AS tot FROM {source}) WHERE tot > 0 GROUP BY {group}),
 change AS (SELECT g.*, lines_added + lines_deleted AS total_lines_changed, total_hunks / greatest(files_changed, 1) AS avg_hunks_per_file,
   lines_added / greatest(lines_added + lines_deleted, 1) AS additions_ratio, lines_deleted / greatest(lines_added + lines_deleted, 1) AS deletions_ratio,
-  files_changed - test_files AS prod_files, test_files / greatest(files_changed, 1) AS test_ratio, test_files > 0 AS has_test,
-  files_changed > test_files AS has_prod, test_files > 0 AND files_changed > test_files AS test_prod_coupling, languages_touched, primary_name,
+  files_changed - test_files_changed AS prod_files_changed, test_files_changed / greatest(files_changed, 1) AS test_ratio, test_files_changed > 0 AS has_test_changes,
+  files_changed > test_files_changed AS has_prod_changes, test_files_changed > 0 AND files_changed > test_files_changed AS test_prod_coupling, languages_touched, primary_name,
   (list_position({names}, primary_name) - 1) / 23 AS primary_language, (lines_added + lines_deleted) / greatest(files_changed, 1) AS avg_file_changes,
   coalesce(e, 0) AS change_entropy FROM g JOIN prim USING ({group}) LEFT JOIN ent USING ({group}))"""
 
 
 _DOUBLES = ("avg_hunks_per_file additions_ratio deletions_ratio test_ratio primary_language "
-            "avg_file_changes avg_indent change_entropy").split()
+            "avg_file_changes avg_changed_line_indent change_entropy").split()
 
 
 def change_columns() -> str:
@@ -258,13 +259,16 @@ def commit_features_from_diffs(t):
     return _change_out(change_features(t), "doc_id")
 
 
-PART_FILES_SQL = """pf AS (SELECT l_orderkey AS cid, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
+# files of a change by line, part and supplier; rows that repeat these are numbered
+ITEM = [*SEQ, "item"]
+
+PART_FILES_SQL = """pf AS (SELECT l_orderkey AS cid, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY l_quantity, l_extendedprice, l_discount, l_tax) AS item, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
   CAST(l_quantity AS BIGINT) AS lines_added, CAST(round(l_tax * 100) AS BIGINT) AS lines_deleted, CAST(round(l_discount * 100) AS BIGINT) AS hunk_count,
   CASE CAST(round(l_tax * 100) AS BIGINT) % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'modified' WHEN 3 THEN 'renamed' ELSE 'binary' END AS status,
-  p_size % 3 = 0 AS is_test_file, CAST(l_quantity AS BIGINT) % 7 AS functions_added, CAST(l_quantity AS BIGINT) % 3 AS functions_deleted,
-  CAST(l_quantity AS BIGINT) % 2 AS classes_added, CAST(l_quantity AS BIGINT) % 4 AS classes_deleted,
+  p_size % 3 = 0 AS is_test_file, CAST(l_quantity AS BIGINT) % 7 AS function_declarations_added, CAST(l_quantity AS BIGINT) % 3 AS function_declarations_deleted,
+  CAST(l_quantity AS BIGINT) % 2 AS class_declarations_added, CAST(l_quantity AS BIGINT) % 4 AS class_declarations_deleted,
   CAST(l_quantity AS BIGINT) % 5 AS imports_added, CAST(l_quantity AS BIGINT) % 6 AS imports_deleted,
-  CAST(l_quantity AS BIGINT) * 2 AS indent_sum, CAST(l_quantity AS BIGINT) + CAST(round(l_tax * 100) AS BIGINT) AS indent_lines, CAST(l_quantity AS BIGINT) % 9 AS max_indent,
+  CAST(l_quantity AS BIGINT) * 2 AS indent_sum, CAST(l_quantity AS BIGINT) + CAST(round(l_tax * 100) AS BIGINT) AS indent_lines, CAST(l_quantity AS BIGINT) % 9 AS max_changed_line_indent,
   CASE p_type WHEN 'ECONOMY' THEN 'python' WHEN 'STANDARD' THEN 'go' WHEN 'PROMO' THEN 'rust' WHEN 'SMALL' THEN 'java' ELSE 'unknown' END AS language_name
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
@@ -273,23 +277,25 @@ def part_files(t):
     c = F.col
     q, d = c("l_quantity").cast("long"), F.round(c("l_tax") * 100).cast("long")
     joined = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey"))
+    same = Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").orderBy("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return joined.select(
+        F.row_number().over(same).cast("long").alias("item"),
         c("l_orderkey").alias("cid"), c("l_linenumber").alias("line"), c("l_partkey").alias("part"), c("l_suppkey").alias("supp"),
         q.alias("lines_added"), d.alias("lines_deleted"), F.round(c("l_discount") * 100).cast("long").alias("hunk_count"),
         F.when(d % 5 == 0, "added").when(d % 5 == 1, "deleted").when(d % 5 == 2, "modified").when(d % 5 == 3, "renamed")
         .otherwise("binary").alias("status"),
-        (c("p_size") % 3 == 0).alias("is_test_file"), (q % 7).alias("functions_added"), (q % 3).alias("functions_deleted"),
-        (q % 2).alias("classes_added"), (q % 4).alias("classes_deleted"), (q % 5).alias("imports_added"),
-        (q % 6).alias("imports_deleted"), (q * 2).alias("indent_sum"), (q + d).alias("indent_lines"), (q % 9).alias("max_indent"),
+        (c("p_size") % 3 == 0).alias("is_test_file"), (q % 7).alias("function_declarations_added"), (q % 3).alias("function_declarations_deleted"),
+        (q % 2).alias("class_declarations_added"), (q % 4).alias("class_declarations_deleted"), (q % 5).alias("imports_added"),
+        (q % 6).alias("imports_deleted"), (q * 2).alias("indent_sum"), (q + d).alias("indent_lines"), (q % 9).alias("max_changed_line_indent"),
         F.when(c("p_type") == "ECONOMY", "python").when(c("p_type") == "STANDARD", "go").when(c("p_type") == "PROMO", "rust")
         .when(c("p_type") == "SMALL", "java").otherwise("unknown").alias("language_name"),
     )
 
 
-@query("commit_features", f"""WITH {PART_FILES_SQL}, {change_sql('pf', 'cid', 'line, part, supp')}
+@query("commit_features", f"""WITH {PART_FILES_SQL}, {change_sql('pf', 'cid', 'line, part, supp, item')}
 SELECT cid, primary_name, {change_columns()} FROM change""")
 def commit_features(t):
-    return _change_out(X.commit_features(part_files(t), ["cid"], SEQ), "cid")
+    return _change_out(X.commit_features(part_files(t), ["cid"], ITEM), "cid")
 
 
 @query("diff_stats", f"""WITH {PART_FILES_SQL} SELECT cid, count(*) AS total_files, sum(lines_added)::BIGINT AS total_lines_added,
@@ -302,11 +308,11 @@ def diff_stats(t):
 _VECTOR_SQL = ", ".join(f"({c})::DOUBLE" for c in X.CHANGE_VECTOR)
 
 
-@query("commit_vector", f"""WITH {PART_FILES_SQL}, {change_sql('pf', 'cid', 'line, part, supp')},
+@query("commit_vector", f"""WITH {PART_FILES_SQL}, {change_sql('pf', 'cid', 'line, part, supp, item')},
 v AS (SELECT cid, [{_VECTOR_SQL}] AS vec FROM change)
 SELECT cid, len(vec) AS dims, round(list_sum(vec), 4) AS total, round(list_sum([x * i for x, i in vec]), 3) AS weighted FROM v""")
 def commit_vector(t):
-    df = X.commit_features(part_files(t), ["cid"], SEQ)
+    df = X.commit_features(part_files(t), ["cid"], ITEM)
     out = df.select("cid", D.vector(X.CHANGE_VECTOR).alias("vec"))
     add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
     return out.select(
@@ -315,12 +321,15 @@ def commit_vector(t):
     )
 
 
-@query("file_vector", f"""WITH {FEATURES_SQL}, v AS (SELECT doc_id, file_seq, [0.0::DOUBLE, is_binary::INT, is_test_file::INT, lines_added, lines_deleted,
- lines_added + lines_deleted, hunk_count, functions_added, functions_deleted, classes_added, classes_deleted, imports_added, imports_deleted,
- CASE WHEN indent_lines > 0 THEN indent_sum / indent_lines ELSE 0 END, max_indent, avg_hunk_size] AS vec FROM feat)
+_LANGUAGE_LIST = "[" + ", ".join(f"'{x}'" for x in P.LANGUAGES) + "]"
+
+
+@query("file_vector", f"""WITH {FEATURES_SQL}, v AS (SELECT doc_id, file_seq, [((list_position({_LANGUAGE_LIST}, language_name) - 1) / 23)::DOUBLE, is_binary::INT, is_test_file::INT, lines_added, lines_deleted,
+ lines_added + lines_deleted, hunk_count, function_declarations_added, function_declarations_deleted, class_declarations_added, class_declarations_deleted, imports_added, imports_deleted,
+ CASE WHEN indent_lines > 0 THEN indent_sum / indent_lines ELSE 0 END, max_changed_line_indent, avg_hunk_size] AS vec FROM feat)
 SELECT doc_id, file_seq, len(vec) AS dims, round(list_sum([x * i for x, i in vec]), 3) AS weighted FROM v""")
 def file_vector(t):
-    out = features(t).withColumn("language", F.lit(0.0)).select(*KEYS, D.vector(D.FILE_VECTOR).alias("vec"))
+    out = features(t).select(*KEYS, D.vector(D.FILE_VECTOR).alias("vec"))
     weighted = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return out.select(*KEYS, F.size("vec").alias("dims"), F.round(weighted, 3).alias("weighted"))
 

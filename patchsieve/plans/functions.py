@@ -24,7 +24,7 @@ def page_paths(t):
 
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _EXT_SQL = "CASE ext " + " ".join(
-    f"WHEN '{e}' THEN '{lang}'" for lang, exts in P.EXTENSIONS.items() for e in exts.split()
+    f"WHEN '{e}' THEN '{lang}'" for e, lang in P.LANGUAGE_OF.items()
 ) + " ELSE 'unknown' END"
 
 PATHS_SQL = rf"""paths AS (SELECT page_id, {_list(_DIRS)}[page_id % {len(_DIRS)} + 1] || '/' || regexp_replace(url, '^[a-z]+://[^/]*/|\?.*$', '', 'g') || '/' || {_list(_NAMES)}[page_id % {len(_NAMES)} + 1] AS path FROM pages),
@@ -124,11 +124,11 @@ def declaration_counts(t):
 
 
 @query("indent_stats", r"""WITH l AS (SELECT doc_id, unnest([repeat(' ', (i % 5)::INT) || l for l, i in string_split(text, chr(10))]) AS line FROM documents)
-SELECT doc_id, round(avg(len(regexp_extract(line, '^\s*'))), 6) AS avg_indent, max(len(regexp_extract(line, '^\s*'))) AS max_indent FROM l GROUP BY doc_id""")
+SELECT doc_id, round(avg(len(regexp_extract(line, '^\s*'))), 6) AS avg_changed_line_indent, max(len(regexp_extract(line, '^\s*'))) AS max_changed_line_indent FROM l GROUP BY doc_id""")
 def indent_stats(t):
     padded = F.transform(F.split("text", "\n", -1), lambda x, n: F.concat(F.repeat(F.lit(" "), (n + 1) % 5), x))
     total, n, widest = L.indent_stats(padded)
-    return rounded(t.documents.select("doc_id", (total / n).alias("avg_indent"), widest.alias("max_indent")))
+    return rounded(t.documents.select("doc_id", (total / n).alias("avg_changed_line_indent"), widest.alias("max_changed_line_indent")))
 
 
 @query("normalize_line", r"""WITH l AS (SELECT conv_id, turn, unnest(string_split('  ' || replace(text, ' ', '  ') || ' ' || chr(9), chr(10))) AS line FROM conversations)

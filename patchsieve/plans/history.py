@@ -9,8 +9,7 @@ from patchsieve.operators import evidence as E
 from patchsieve.operators import features as X
 from patchsieve.operators import history as H
 from patchsieve.operators import ranking as R
-from patchsieve.plans.bindings import SEQ
-from patchsieve.plans.diffs import PART_FILES_SQL, change_sql, part_files
+from patchsieve.plans.diffs import ITEM, PART_FILES_SQL, change_sql, part_files
 from patchsieve.plans.registry import query, rounded
 
 KEYS, POS = ["repo", "path"], ["day", "cid"]
@@ -74,30 +73,30 @@ def recent_history(t):
 # ---- evidence on order lines ------------------------------------------------
 
 _LANGS = "[" + ", ".join(f"'{x}'" for x in LANGUAGES) + "]"
-FACTS_SQL = f"""{PART_FILES_SQL}, {change_sql('pf', 'cid', 'line, part, supp')},
+FACTS_SQL = f"""{PART_FILES_SQL}, {change_sql('pf', 'cid', 'line, part, supp, item')},
 ranked AS (SELECT pf.*, status = 'binary' AS is_binary, lines_added + lines_deleted AS total,
-  row_number() OVER (PARTITION BY cid ORDER BY status = 'binary', CASE WHEN status <> 'binary' THEN lines_added + lines_deleted END DESC, line, part, supp) - 1 AS position,
+  row_number() OVER (PARTITION BY cid ORDER BY status = 'binary', CASE WHEN status <> 'binary' THEN lines_added + lines_deleted END DESC, line, part, supp, item) - 1 AS position,
   count(*) FILTER (status <> 'binary') OVER (PARTITION BY cid) AS n_ranked FROM pf),
 facts AS (SELECT r.*, (list_position({_LANGS}, r.language_name) - 1) / 23 AS language, hunk_count * 1.5 AS avg_hunk_size,
-  CASE WHEN indent_lines > 0 THEN indent_sum / indent_lines ELSE 0 END AS avg_indent,
-  c.total_lines_changed AS commit_lines, c.has_test, c.test_prod_coupling FROM ranked r JOIN change c USING (cid))"""
+  CASE WHEN indent_lines > 0 THEN indent_sum / indent_lines ELSE 0 END AS avg_changed_line_indent,
+  c.total_lines_changed AS commit_lines, c.has_test_changes, c.test_prod_coupling FROM ranked r JOIN change c USING (cid))"""
 
 
-def _rules_sql(keys="cid, line, part, supp"):
+def _rules_sql(keys="cid, line, part, supp, item"):
     rules = [
         ("true", "change", "lines_changed", "format('{} lines added, {} deleted', lines_added, lines_deleted)", "diff", "direct", "total"),
         ("hunk_count > 1", "change", "hunk_count", "format('Changed across {} hunks', hunk_count)", "feature_extraction", "direct", "hunk_count"),
-        ("functions_added > 0 OR functions_deleted > 0", "change", "function_churn", "format('{} function declaration(s) added, {} deleted', functions_added, functions_deleted)", "feature_extraction", "direct", "functions_added + functions_deleted"),
-        ("classes_added > 0 OR classes_deleted > 0", "change", "class_churn", "format('{} class declaration(s) added, {} deleted', classes_added, classes_deleted)", "feature_extraction", "direct", "classes_added + classes_deleted"),
+        ("function_declarations_added > 0 OR function_declarations_deleted > 0", "change", "function_churn", "format('{} function declaration(s) added, {} deleted', function_declarations_added, function_declarations_deleted)", "feature_extraction", "direct", "function_declarations_added + function_declarations_deleted"),
+        ("class_declarations_added > 0 OR class_declarations_deleted > 0", "change", "class_churn", "format('{} class declaration(s) added, {} deleted', class_declarations_added, class_declarations_deleted)", "feature_extraction", "direct", "class_declarations_added + class_declarations_deleted"),
         ("imports_added > 0 OR imports_deleted > 0", "change", "import_churn", "format('{} import(s) added, {} deleted', imports_added, imports_deleted)", "feature_extraction", "direct", "imports_added + imports_deleted"),
         ("status <> 'modified'", "change", "file_status", "'File status: ' || status", "diff", "direct", "NULL"),
         ("is_binary", "change", "binary_file", "'Binary file'", "diff", "direct", "NULL"),
-        ("max_indent > 0", "structural", "indentation", "''", "feature_extraction", "derived", "avg_indent"),
+        ("max_changed_line_indent > 0", "structural", "indentation", "format('Average changed-line indentation: {:.1f} spaces, max: {} spaces', round_even(avg_changed_line_indent::DOUBLE, 1), max_changed_line_indent)", "feature_extraction", "derived", "avg_changed_line_indent"),
         ("avg_hunk_size > 0", "structural", "hunk_size", "format('Average hunk size: {:.1f} lines', avg_hunk_size::DOUBLE)", "feature_extraction", "derived", "avg_hunk_size"),
         ("is_test_file", "test", "test_file", "'This is a test file'", "path_convention", "direct", "NULL"),
         ("test_prod_coupling", "test", "test_coupling", "'Both test and production files changed in this commit'", "feature_extraction", "derived", "NULL"),
-        ("NOT has_test", "test", "no_test_changes", "'No test files changed in this commit'", "feature_extraction", "derived", "NULL"),
-        ("total > 0", "context", "change_concentration", "''", "diff", "derived", "total / greatest(commit_lines, 1)"),
+        ("NOT has_test_changes", "test", "no_test_changes", "'No test files changed in this commit'", "feature_extraction", "derived", "NULL"),
+        ("total > 0", "context", "change_concentration", "format('File accounts for {:.0f}% of total commit changes ({} of {} lines)', round_even(total / greatest(commit_lines, 1) * 100, 0), total, greatest(commit_lines, 1))", "diff", "derived", "total / greatest(commit_lines, 1)"),
         ("language > 0", "context", "language", "'File language: ' || language_name", "feature_extraction", "direct", "language"),
         ("true", "context", "b1_ranking", "format('Ranked at position {} in B1 output ({} lines changed)', position, total)", "b1_ranking", "derived", "position"),
     ]
@@ -107,7 +106,7 @@ def _rules_sql(keys="cid, line, part, supp"):
         for i, (cond, cat, kind, text, src, prov, num) in enumerate(rules))
 
 
-FILE = ["cid", *SEQ]
+FILE = ["cid", *ITEM]
 
 
 def ranked_files(t):
@@ -116,14 +115,14 @@ def ranked_files(t):
         (F.col("lines_added") + F.col("lines_deleted")).alias("total_lines_changed"),
         language_index(F.col("language_name")).alias("language"),
         (F.col("hunk_count") * 1.5).alias("avg_hunk_size"),
-        F.when(F.col("indent_lines") > 0, F.col("indent_sum") / F.nullif(F.col("indent_lines"), F.lit(0))).otherwise(0.0).alias("avg_indent"),
+        F.when(F.col("indent_lines") > 0, F.col("indent_sum") / F.nullif(F.col("indent_lines"), F.lit(0))).otherwise(0.0).alias("avg_changed_line_indent"),
     )
-    return R.rank_priority(base, ["cid"], "total_lines_changed", SEQ, "is_binary")
+    return R.rank_priority(base, ["cid"], "total_lines_changed", ITEM, "is_binary")
 
 
 def facts(t):
-    change = X.commit_features(part_files(t), ["cid"], SEQ).select(
-        "cid", F.col("total_lines_changed").alias("commit_lines"), "has_test", "test_prod_coupling"
+    change = X.commit_features(part_files(t), ["cid"], ITEM).select(
+        "cid", F.col("total_lines_changed").alias("commit_lines"), "has_test_changes", "test_prod_coupling"
     )
     return ranked_files(t).join(change, "cid")
 
@@ -132,49 +131,44 @@ def cheap(t):
     return E.cheap_evidence(facts(t))
 
 
-# the two templates with rounded shares are compared by their numbers
-def _shown():
-    return F.when(F.col("evidence_type").isin("indentation", "change_concentration"), "").otherwise(F.col("description"))
-
-
 @query("cheap_evidence", f"""WITH {FACTS_SQL}, ev AS ({_rules_sql()})
-SELECT cid, line, part, supp, ord, category, evidence_type, description, source, provenance, round(number, 6) AS number FROM ev""")
+SELECT cid, line, part, supp, item, ord, category, evidence_type, description, source, provenance, round(number, 6) AS number FROM ev""")
 def cheap_evidence(t):
-    return rounded(E.evidence_rows(cheap(t), FILE).withColumn("description", _shown()))
+    return rounded(E.evidence_rows(cheap(t), FILE))
 
 
 # history of a line: supplier within the customer's nation, for the first eligible lines
-HIST_SQL = f"""{FACTS_SQL}, {RECENT_SQL}, slots AS (SELECT cid, line, part, supp, row_number() OVER (PARTITION BY cid ORDER BY line, part, supp) AS slot
+HIST_SQL = f"""{FACTS_SQL}, {RECENT_SQL}, slots AS (SELECT cid, line, part, supp, item, row_number() OVER (PARTITION BY cid ORDER BY line, part, supp, item) AS slot
   FROM facts WHERE NOT is_binary AND status <> 'deleted'),
-hist AS (SELECT s.cid, s.line, s.part, s.supp, s.cid % 10 <> 0 AS has_parent, r.recent_commits, r.recent_bug_fixes, r.days_since_last_change AS d, r.history_unavailable AS none
+hist AS (SELECT s.cid, s.line, s.part, s.supp, s.item, s.cid % 10 <> 0 AS has_parent, r.recent_commits, r.recent_bug_fixes, r.days_since_last_change AS d, r.history_unavailable AS none
   FROM slots s JOIN orders o ON o_orderkey = cid JOIN customer ON c_custkey = o_custkey
   JOIN recent r ON r.repo = c_nationkey AND r.path = s.supp AND r.cid = s.cid WHERE slot <= 10),
-hev AS (SELECT cid, line, part, supp, 100 AS ord, 'root_commit' AS evidence_type, 'Analyzed commit is a root commit (no parent history available)' AS description, NULL AS number FROM hist WHERE NOT has_parent
-  UNION ALL SELECT cid, line, part, supp, 101, 'history_unavailable', 'No prior history found for this file', NULL FROM hist WHERE has_parent AND none
-  UNION ALL SELECT cid, line, part, supp, 102, 'recent_commits', format('File changed in {{}} recent commit(s)', recent_commits), recent_commits FROM hist WHERE has_parent AND NOT none
-  UNION ALL SELECT cid, line, part, supp, 103, 'recent_bug_fixes', format('File has {{}} prior bug-fix commit(s)', recent_bug_fixes), recent_bug_fixes FROM hist WHERE has_parent AND NOT none AND recent_bug_fixes > 0
-  UNION ALL SELECT cid, line, part, supp, 104, 'days_since_last_change', format('File last changed {{}} day(s) ago', d), d FROM hist WHERE has_parent AND NOT none)"""
+hev AS (SELECT cid, line, part, supp, item, 100 AS ord, 'root_commit' AS evidence_type, 'Analyzed commit is a root commit (no parent history available)' AS description, NULL AS number FROM hist WHERE NOT has_parent
+  UNION ALL SELECT cid, line, part, supp, item, 101, 'history_unavailable', 'No prior history found for this file', NULL FROM hist WHERE has_parent AND none
+  UNION ALL SELECT cid, line, part, supp, item, 102, 'recent_commits', format('File changed in {{}} recent commit(s)', recent_commits), recent_commits FROM hist WHERE has_parent AND NOT none
+  UNION ALL SELECT cid, line, part, supp, item, 103, 'recent_bug_fixes', format('File has {{}} prior bug-fix commit(s)', recent_bug_fixes), recent_bug_fixes FROM hist WHERE has_parent AND NOT none AND recent_bug_fixes > 0
+  UNION ALL SELECT cid, line, part, supp, item, 104, 'days_since_last_change', format('File last changed {{}} day(s) ago', d), d FROM hist WHERE has_parent AND NOT none)"""
 
 
 def historical(t):
     eligible = R.top_k_eligible(
         part_files(t).select(*FILE, "status", (F.col("status") == "binary").alias("is_binary")),
-        ["cid"], SEQ, "is_binary", F.col("status") == "deleted",
+        ["cid"], ITEM, "is_binary", F.col("status") == "deleted",
     )
     past = recent(t).drop("day").withColumnRenamed("path", "supp")
     out = eligible.select(*FILE).join(past, ["cid", "supp"]).withColumn("eligible", F.lit(True))
     return E.historical_evidence(out.withColumn("has_parent", F.col("cid") % 10 != 0))
 
 
-@query("historical_evidence", f"WITH {HIST_SQL} SELECT cid, line, part, supp, ord, evidence_type, description, number::DOUBLE AS number FROM hev")
+@query("historical_evidence", f"WITH {HIST_SQL} SELECT cid, line, part, supp, item, ord, evidence_type, description, number::DOUBLE AS number FROM hev")
 def historical_evidence(t):
     rows = E.evidence_rows(historical(t), FILE, "history")
     return rows.select(*FILE, "ord", "evidence_type", "description", "number")
 
 
-MERGED_SQL = f"""{HIST_SQL}, ev AS ({_rules_sql()}), allev AS (SELECT cid, line, part, supp, ord, evidence_type FROM ev
-  UNION ALL SELECT cid, line, part, supp, ord, evidence_type FROM hev),
-lists AS (SELECT cid, line, part, supp, string_agg(evidence_type, ',' ORDER BY ord) AS types, count(*) AS n FROM allev GROUP BY ALL)"""
+MERGED_SQL = f"""{HIST_SQL}, ev AS ({_rules_sql()}), allev AS (SELECT cid, line, part, supp, item, ord, evidence_type FROM ev
+  UNION ALL SELECT cid, line, part, supp, item, ord, evidence_type FROM hev),
+lists AS (SELECT cid, line, part, supp, item, string_agg(evidence_type, ',' ORDER BY ord) AS types, count(*) AS n FROM allev GROUP BY ALL)"""
 
 
 def merged(t):
@@ -185,23 +179,23 @@ def _types():
     return F.array_join(F.transform("evidence", lambda e: e["evidence_type"]), ",")
 
 
-@query("merge_evidence", f"WITH {MERGED_SQL} SELECT cid, line, part, supp, types, n FROM lists")
+@query("merge_evidence", f"WITH {MERGED_SQL} SELECT cid, line, part, supp, item, types, n FROM lists")
 def merge_evidence(t):
     return merged(t).select(*FILE, _types().alias("types"), F.size("evidence").cast("long").alias("n"))
 
 
-BANDED_SQL = f"""{MERGED_SQL}, view AS (SELECT f.cid, f.line, f.part, f.supp, position, total, is_binary, types, n,
+BANDED_SQL = f"""{MERGED_SQL}, view AS (SELECT f.cid, f.line, f.part, f.supp, f.item, position, total, is_binary, types, n,
   round(CASE WHEN is_binary THEN 0 ELSE 1 - position / greatest(n_ranked - 1, 1) END, 6) AS score,
   CASE WHEN is_binary THEN 'low' WHEN position = 0 THEN 'highest' WHEN position <= n_ranked // 4 THEN 'high'
     WHEN position <= n_ranked // 2 THEN 'medium' ELSE 'low' END AS band
-  FROM facts f JOIN lists USING (cid, line, part, supp))"""
+  FROM facts f JOIN lists USING (cid, line, part, supp, item))"""
 
 
 def view(t):
     return E.investigation_view(ranked_files(t), merged(t), FILE)
 
 
-@query("investigation_view", f"WITH {BANDED_SQL} SELECT cid, line, part, supp, position, score, types, n FROM view")
+@query("investigation_view", f"WITH {BANDED_SQL} SELECT cid, line, part, supp, item, position, score, types, n FROM view")
 def investigation_view(t):
     out = view(t).select(*FILE, "position", "score", _types().alias("types"), F.size("evidence").cast("long").alias("n"))
     return rounded(out)
@@ -213,7 +207,7 @@ def decisions(t):
     return banded.withColumn("explanation", E.explanation()).withColumn("gaps", E.evidence_gaps())
 
 
-@query("evidence_flags", f"WITH {BANDED_SQL} SELECT cid, line, part, supp, types LIKE '%binary_file%' AS is_binary, types LIKE '%test_file%' AS is_test_file FROM view")
+@query("evidence_flags", f"WITH {BANDED_SQL} SELECT cid, line, part, supp, item, types LIKE '%binary_file%' AS is_binary, types LIKE '%test_file%' AS is_test_file FROM view")
 def evidence_flags(t):
     return E.evidence_flags(view(t).drop("is_binary", "is_test_file")).select(*FILE, "is_binary", "is_test_file")
 
@@ -231,23 +225,30 @@ _CLAUSES = " || ".join(_clause(k, x) for k, x in [
     ("test_coupling", "Both test and production files changed in this commit")])
 
 
-@query("explanation", f"""WITH {BANDED_SQL} SELECT cid, line, part, supp, band, CASE WHEN is_binary THEN 'Binary file: no B1 investigation-priority score assigned.'
+@query("explanation", f"""WITH {BANDED_SQL} SELECT cid, line, part, supp, item, band, CASE WHEN is_binary THEN 'Binary file: no B1 investigation-priority score assigned.'
   ELSE upper(band[1]) || band[2:] || '-priority file; with ' || total || ' line(s) changed' || {_CLAUSES} || '.' END AS explanation FROM view""")
 def explanation(t):
     return decisions(t).select(*FILE, "band", "explanation")
 
 
-@query("evidence_gaps", f"""WITH {BANDED_SQL} SELECT cid, line, part, supp, concat_ws('|', CASE WHEN is_binary THEN 'Binary file: no B1 ranking score assigned' END,
+@query("evidence_gaps", f"""WITH {BANDED_SQL} SELECT cid, line, part, supp, item, concat_ws('|', CASE WHEN is_binary THEN 'Binary file: no B1 ranking score assigned' END,
   CASE WHEN types LIKE '%history_unavailable%' THEN 'Historical commit data not available for this file' END,
   CASE WHEN types LIKE '%root_commit%' THEN 'Root commit: no parent history available' END) AS gaps FROM view""")
 def evidence_gaps(t):
     return decisions(t).select(*FILE, F.array_join("gaps", "|").alias("gaps"))
 
 
-@query("evidence_projection", f"""WITH {MERGED_SQL} SELECT cid, line, part, supp, n AS evidence_count FROM lists""")
+_SHOWN = ["category", "evidence_type", "description", "source", "provenance"]
+
+
+@query("evidence_projection", f"""WITH {HIST_SQL}, ev AS ({_rules_sql()}), shown AS (
+  SELECT cid, line, part, supp, item, ord, {" || '|' || ".join(_SHOWN)} AS entry FROM ev UNION ALL
+  SELECT cid, line, part, supp, item, ord, 'historical|' || evidence_type || '|' || description || '|git_log|' || CASE WHEN ord < 102 THEN 'direct' ELSE 'derived' END FROM hev)
+SELECT cid, line, part, supp, item, count(*) AS evidence_count, string_agg(entry, ';' ORDER BY ord) AS entries FROM shown GROUP BY cid, line, part, supp, item""")
 def evidence_projection(t):
     out = merged(t).withColumn("summary", E.evidence_projection())
-    return out.select(*FILE, F.size("summary").cast("long").alias("evidence_count"))
+    entries = F.array_join(F.transform("summary", lambda e: F.concat_ws("|", *[e[f] for f in _SHOWN])), ";")
+    return out.select(*FILE, F.size("summary").cast("long").alias("evidence_count"), entries.alias("entries"))
 
 
 @query("decision_summary", f"""WITH {BANDED_SQL} SELECT cid, count(*) AS total_files, count(*) FILTER (NOT is_binary) AS files_ranked,

@@ -45,7 +45,7 @@ SIGNALS_SQL = FILES_SQL + """, sig AS (
 
 def _signals(t):
     base = files(t).select(
-        "*", (F.col("added") % 7).alias("functions_added"), F.col("deleted").alias("functions_deleted"),
+        "*", (F.col("added") % 7).alias("function_declarations_added"), F.col("deleted").alias("function_declarations_deleted"),
         F.col("hunks").alias("imports_added"), (F.col("deleted") % 3).alias("imports_deleted"),
         F.col("hunks").alias("hunk_count"),
     )

@@ -75,8 +75,8 @@ def test_hunks_and_lines(spark):
 def test_file_features(spark):
     r = D.file_features(D.split_files(table(spark, MODIFIED), ["g"], "diff_text"), ["g"]).first()
     assert (r["lines_added"], r["lines_deleted"], r["hunk_count"]) == (2, 2, 2)
-    assert (r["functions_added"], r["functions_deleted"], r["imports_added"]) == (1, 1, 1)
-    assert (r["max_indent"], r["avg_indent"], r["avg_hunk_size"]) == (4, 1.0, 5.0)
+    assert (r["function_declarations_added"], r["function_declarations_deleted"], r["imports_added"]) == (1, 1, 1)
+    assert (r["max_changed_line_indent"], r["avg_changed_line_indent"], r["avg_hunk_size"]) == (4, 1.0, 5.0)
 
 
 def test_range_hits(spark):

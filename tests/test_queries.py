@@ -11,12 +11,8 @@ import __spark_entry__ as entry
 from compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-# the smallest lineitem holds two lines with one key, which these join on
-NOT_UNIQUE = {
-    "commit_features", "commit_vector", "merge_evidence", "investigation_view", "evidence_flags", "explanation",
-    "evidence_gaps", "evidence_projection", "decision_summary",
-}
-DEFAULT = """flagship risk_output blend_scores top_cut_capture candidate_ranking repo_precision global_classification language
+DEFAULT = """merge_evidence investigation_view evidence_flags explanation evidence_gaps evidence_projection decision_summary commit_features
+commit_vector file_vector flagship risk_output blend_scores top_cut_capture candidate_ranking repo_precision global_classification language
 file_header line_coordinates range_hits commit_features_from_diffs history_features recent_history cheap_evidence historical_evidence
 resolve_refs revert_map merge_labels line_overlap_attribution ambiguous_evidence global_chrono_split path_overlap_category file_identity
 reference_chain message_mentions content_restoration region_overlap same_function attribution_rollups bootstrap_ci mann_whitney concentration
@@ -30,7 +26,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in NOT_UNIQUE])
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     problem = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), FOLDER)
     assert problem in (None, "no rows") if name in entry.oracle_sql() else problem is None

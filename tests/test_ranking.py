@@ -77,16 +77,16 @@ def test_recent_history_takes_five_then_filters(spark):
 
 
 FACTS = dict(
-    g="c", status="modified", lines_added=3, lines_deleted=1, hunk_count=1, functions_added=0, functions_deleted=0, classes_added=0,
-    classes_deleted=0, imports_added=0, imports_deleted=0, is_binary=False, max_indent=0, avg_indent=0.0, avg_hunk_size=0.0,
-    is_test_file=False, test_prod_coupling=False, has_test=True, commit_lines=8, language=0.0, position=None, total_lines_changed=4, band="high",
+    g="c", status="modified", lines_added=3, lines_deleted=1, hunk_count=1, function_declarations_added=0, function_declarations_deleted=0, class_declarations_added=0,
+    class_declarations_deleted=0, imports_added=0, imports_deleted=0, is_binary=False, max_changed_line_indent=0, avg_changed_line_indent=0.0, avg_hunk_size=0.0,
+    is_test_file=False, test_prod_coupling=False, has_test_changes=True, commit_lines=8, language=0.0, position=None, total_lines_changed=4, band="high",
 )
 
 
 def described(spark, **changes):
-    schema = ("g string, status string, lines_added long, lines_deleted long, hunk_count int, functions_added int, functions_deleted int, classes_added int, "
-              "classes_deleted int, imports_added int, imports_deleted int, is_binary boolean, max_indent int, avg_indent double, avg_hunk_size double, "
-              "is_test_file boolean, test_prod_coupling boolean, has_test boolean, commit_lines long, language double, position long, total_lines_changed long, band string")
+    schema = ("g string, status string, lines_added long, lines_deleted long, hunk_count int, function_declarations_added int, function_declarations_deleted int, class_declarations_added int, "
+              "class_declarations_deleted int, imports_added int, imports_deleted int, is_binary boolean, max_changed_line_indent int, avg_changed_line_indent double, avg_hunk_size double, "
+              "is_test_file boolean, test_prod_coupling boolean, has_test_changes boolean, commit_lines long, language double, position long, total_lines_changed long, band string")
     row = {**FACTS, **changes}
     df = E.cheap_evidence(spark.createDataFrame([tuple(row.values())], schema))
     return df.select("*", E.explanation().alias("why"), E.evidence_gaps().alias("gaps")).first()
@@ -99,8 +99,8 @@ def test_evidence_conditions(spark):
         ("change_concentration", "File accounts for 50% of total commit changes (4 of 8 lines)")]
     assert plain["why"] == "High-priority file; with 4 line(s) changed." and plain["gaps"] == []
     full = described(
-        spark, hunk_count=2, functions_added=1, classes_deleted=1, imports_added=2, status="renamed", max_indent=4, avg_indent=0.25,
-        avg_hunk_size=2.5, is_test_file=True, test_prod_coupling=True, has_test=False, language=21 / 23, position=0, commit_lines=32)
+        spark, hunk_count=2, function_declarations_added=1, class_declarations_deleted=1, imports_added=2, status="renamed", max_changed_line_indent=4, avg_changed_line_indent=0.25,
+        avg_hunk_size=2.5, is_test_file=True, test_prod_coupling=True, has_test_changes=False, language=21 / 23, position=0, commit_lines=32)
     kinds = [e["evidence_type"] for e in full["evidence"]]
     assert kinds == ["lines_changed", "hunk_count", "function_churn", "class_churn", "import_churn", "file_status", "indentation", "hunk_size",
                      "test_file", "test_coupling", "no_test_changes", "change_concentration", "language", "b1_ranking"]
@@ -126,7 +126,7 @@ def test_history_entries(spark):
 def test_primary_language_takes_the_last_file(spark):
     rows = [("c", 0, "go", 50), ("c", 1, "go", 2), ("c", 2, "rust", 2), ("c", 3, "java", 1), ("z", 0, "go", 0)]
     df = spark.createDataFrame([(*r[:3], r[3], 0) for r in rows], "g string, seq int, language_name string, lines_added long, lines_deleted long")
-    for c in ("hunk_count", "functions_added", "functions_deleted", "classes_added", "classes_deleted", "imports_added", "imports_deleted", "indent_sum", "indent_lines", "max_indent"):
+    for c in ("hunk_count", "function_declarations_added", "function_declarations_deleted", "class_declarations_added", "class_declarations_deleted", "imports_added", "imports_deleted", "indent_sum", "indent_lines", "max_changed_line_indent"):
         df = df.withColumn(c, F.lit(0).cast("long"))
     df = df.withColumn("status", F.lit("modified")).withColumn("is_test_file", F.col("seq") == 3)
     got = {r["g"]: r for r in X.commit_features(df, ["g"], ["seq"]).collect()}
