@@ -1,123 +1,90 @@
 """Ordered frames that stay balanced when one group holds much of the table.
 
-A plain ``Window.partitionBy(group)`` puts a whole group into one task. The
-functions here measure the group sizes first. While no group is large they use
-the plain window. A large group is cut into ordered slices at sampled split
-values; each slice is a window partition of its own, and the totals of the
-earlier slices (a few thousand rows at most) are added afterwards. Both ways
-give the same rows; the split values only decide how the work is spread.
+A plain ``Window.partitionBy(group)`` puts a whole group into one task. Here every
+group of more than its share of the rows is cut into ordered slices at sampled
+split values; a slice is a window partition of its own, and the totals of the
+earlier slices are added afterwards. Sizes, samples and split values are part of
+the plan: nothing is collected, and there is one route for every input. The share
+follows the rows and the shuffle partitions, so that there are a few slices for
+each partition at most; the split values only decide how the work is spread.
 
 Order columns are given in ascending form (negate a number to sort it
-downwards) and must be unique within a group.
+downwards) and must be unique within a group. Null group values are a group.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchsieve.session import cut_lineage
 
-HOT_ROWS = "patchsieve.hotGroupRows"
-SMALL_INPUT_BYTES = "patchsieve.smallInputBytes"
-_DEFAULT_HOT_ROWS = 2_000_000
-_DEFAULT_SMALL_BYTES = 64 * 1024 * 1024
-_MAX_SLICES = 4_000
+SLICES_PER_PARTITION = "patchsieve.slicesPerPartition"
+_DEFAULT_SLICES = 4
 _SAMPLES_PER_SLICE = 40
 _STEP = 24
+_BLOCK_ROWS = 10_000
 
 
-def _setting(df: DataFrame, key: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(key, str(default)))
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of all tables the plan reads, from Catalyst statistics."""
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return sum(
-            int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
-        )
-    except AttributeError:  # no JVM plan at hand (Spark Connect): measure instead
-        return None
-
-
-def reads_little(df: DataFrame) -> bool:
-    """True when everything the plan reads fits easily into one task."""
-    size = input_bytes(df)
-    return size is not None and size <= _setting(df, SMALL_INPUT_BYTES, _DEFAULT_SMALL_BYTES)
+def _slice_count(df: DataFrame) -> int:
+    """Into how many slices a table is cut that is one group."""
+    conf = df.sparkSession.conf
+    return int(conf.get(SLICES_PER_PARTITION, str(_DEFAULT_SLICES))) * int(conf.get("spark.sql.shuffle.partitions"))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Hand the rows of a small input to all cores before heavy work per row.
+    """Deal the rows evenly to all partitions before heavy work per row.
 
-    A small table often is a single row group, which one task would read and
-    work off alone. Large inputs come in many splits and are left as they are.
+    Long texts are not spread evenly over the splits of a scan, and a small file may be one split.
     """
-    if not reads_little(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """A compact table that several passes read.
+    """A compact table that several passes read: written once, a reliable checkpoint in the shared folder."""
+    return cut_lineage(df)
 
-    With large inputs it is written once (a reliable checkpoint in the shared
-    folder); small inputs are simply worked through again.
-    """
-    return df if reads_little(df) else cut_lineage(df)
 
+def _group_columns(group: list[str]) -> list[Column]:
+    return [F.col(c) for c in group] if group else [F.lit(0)]
 
-@dataclass
-class _Slices:
-    table: DataFrame  # group columns, __splits (array of order structs), __coarse
 
+def _by_group(left: DataFrame, right: DataFrame, group: list[str], how: str) -> DataFrame:
+    """Join on the group, nulls equal; the right side's group columns go."""
+    if not group:
+        return left.join(right, F.lit(True), how)
+    other = right.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], *[c for c in right.columns if c not in group])
+    match = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)]
+    condition = match[0]
+    for m in match[1:]:
+        condition = condition & m
+    return left.join(F.broadcast(other), condition, how).drop(*[f"__g{i}" for i in range(len(group))])
 
-def _group_columns(group: list[str]) -> list[Column]:
-    return [F.col(c) for c in group] if group else [F.lit(0)]
 
+def _splits(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Group columns of the large groups, __splits (sorted order structs) and __coarse, every _STEP-th of them.
 
-def _find_slices(df: DataFrame, group: list[str], order: list[Column]) -> _Slices | None:
-    """None when every group is small, else the split values of the large ones."""
-    if reads_little(df):
-        return None
-    hot_rows = _setting(df, HOT_ROWS, _DEFAULT_HOT_ROWS)
+    A group is large if it has more rows than a slice; there are at most as many
+    such groups as slices, and their samples are a fixed number for each slice.
+    """
+    slices = _slice_count(df)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    total, largest = sizes.agg(F.sum("__n"), F.max("__n")).first()
-    if not largest or largest <= hot_rows:
-        return None
-    slice_rows = max(hot_rows, total // _MAX_SLICES)
-    hot = sizes.where(F.col("__n") > slice_rows)
-    every = max(1, slice_rows // _SAMPLES_PER_SLICE)
-    # the sample is picked by a hash of the order values, so it is repeatable
+    aim = sizes.agg(F.greatest(F.lit(1), F.floor(F.sum("__n") / slices)).alias("__aim"))
+    large = beside(sizes, aim).where(F.col("__n") > F.col("__aim"))
+    every = F.greatest(F.lit(1), F.floor(F.col("__aim") / _SAMPLES_PER_SLICE))
     keyed = df.select(*group, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__o"))
-    picked = keyed.where(F.pmod(F.xxhash64("__o"), F.lit(every)) == 0)
-    if group:
-        picked = picked.join(F.broadcast(hot.select(*group)), group, "left_semi")
-    # at most _MAX_SLICES * _SAMPLES_PER_SLICE sampled keys over all groups
-    splits = picked.groupBy(*group).agg(F.array_sort(F.collect_set("__o")).alias("__s"))
-    splits = splits.select(
-        *group,
-        F.filter("__s", lambda s, i: (i % _SAMPLES_PER_SLICE) == _SAMPLES_PER_SLICE - 1).alias("__splits"),
-    ).where(F.size("__splits") > 0)
-    rows = splits.collect()  # the split values only: at most _MAX_SLICES structs
-    if not rows:
-        return None
-    fixed = df.sparkSession.createDataFrame(rows, splits.schema)
-    return _Slices(
-        fixed.withColumn("__coarse", F.filter("__splits", lambda s, i: (i % _STEP) == _STEP - 1))
-    )
+    # the sample is picked by a hash of the order values, so it is repeatable
+    picked = _by_group(keyed, large.select(*group, "__aim"), group, "inner").where(F.pmod(F.xxhash64("__o"), every) == 0)
+    per = F.greatest(F.lit(1), F.least(F.lit(_SAMPLES_PER_SLICE), F.max("__aim"))).cast("int")
+    found = picked.groupBy(*group).agg(F.array_sort(F.collect_list("__o")).alias("__s"), per.alias("__per"))
+    found = found.select(*group, F.filter("__s", lambda s, i: (i % F.col("__per")) == F.col("__per") - 1).alias("__splits"))
+    return found.withColumn("__coarse", F.filter("__splits", lambda s, i: (i % _STEP) == _STEP - 1))
 
 
-def _with_slice(df: DataFrame, group: list[str], order: list[Column], slices: _Slices) -> DataFrame:
-    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    keyed = df.withColumn("__o", key)
-    if group:
-        keyed = keyed.join(F.broadcast(slices.table), group, "left")
-    else:
-        keyed = keyed.join(F.broadcast(slices.table), F.lit(True), "left")
+def _with_slice(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Add __o, the order values as a struct, and __slice, null in groups that are not cut."""
+    keyed = df.withColumn("__o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    keyed = _by_group(keyed, _splits(df, group, order), group, "left")
     below = lambda values: F.size(F.filter(values, lambda s: s <= F.col("__o")))
     keyed = keyed.withColumn("__coarse_n", F.coalesce(below(F.col("__coarse")), F.lit(0)))
     fine = below(F.slice("__splits", F.col("__coarse_n") * _STEP + 1, F.lit(_STEP)))
@@ -147,23 +114,9 @@ def frame(
     ``totals``  sums over the whole group
     """
     sums, lasts, maxes, totals = sums or {}, lasts or {}, maxes or {}, totals or {}
-    slices = _find_slices(df, group, order)
     columns = df.columns
     end = 0 if inclusive else -1
-    if slices is None:
-        base = Window.partitionBy(*_group_columns(group))
-        ordered = base.orderBy(*order)
-        running = ordered.rowsBetween(Window.unboundedPreceding, end)
-        return df.select(
-            *columns,
-            *([F.row_number().over(ordered).cast("long").alias(row)] if row else []),
-            *[F.coalesce(F.sum(e).over(running), F.lit(0)).alias(n) for n, e in sums.items()],
-            *[F.last(e, ignorenulls=True).over(running).alias(n) for n, e in lasts.items()],
-            *[F.max(e).over(running).alias(n) for n, e in maxes.items()],
-            *[F.sum(e).over(base).alias(n) for n, e in totals.items()],
-        )
-
-    df = _with_slice(df, group, order, slices)
+    df = _with_slice(df, group, order)
     base = Window.partitionBy(*_group_columns(group), "__slice")
     ordered = base.orderBy("__o")
     running = ordered.rowsBetween(Window.unboundedPreceding, end)
@@ -199,7 +152,13 @@ def frame(
         *[F.max(f"__pm_{n}").over(before).alias(f"__om_{n}") for n in maxes],
         *[F.sum(f"__pt_{n}").over(whole).alias(f"__ot_{n}") for n in totals],
     )
-    joined = inner.join(F.broadcast(offsets), [*group, "__slice"], "left")
+    # rows of groups that are not cut have a null slice and meet no offset
+    names = [*group, "__slice"]
+    other = offsets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(names)], *[c for c in offsets.columns if c not in names])
+    match = F.col("__slice") == F.col(f"__g{len(group)}")
+    for i, c in enumerate(group):
+        match = match & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    joined = inner.join(F.broadcast(other), match, "left")
     zero = F.lit(0)
     return joined.select(
         *columns,
@@ -220,21 +179,18 @@ def with_previous(
 ) -> DataFrame:
     """Add the entries of the last n rows up to this one, oldest first, as an array.
 
-    In a large group the rows are numbered and cut into blocks; the last n - 1
-    rows of a block are copied to the next one, so that no block looks back.
+    The rows are numbered and cut into blocks; the last n - 1 rows of a block are
+    copied to the next one, so that no block looks back and no group is one task.
     """
     columns = df.columns
-    if _find_slices(df, group, order) is None:
-        w = Window.partitionBy(*_group_columns(group)).orderBy(*order).rowsBetween(-(n - 1), 0)
-        return df.select(*columns, F.collect_list(entry).over(w).alias(name))
-    block = max(_setting(df, HOT_ROWS, _DEFAULT_HOT_ROWS), n)
+    block = max(_BLOCK_ROWS, n)
     numbered = number_rows(df.withColumn("__e", entry), group, order, "__r").withColumn(
         "__block", F.floor((F.col("__r") - 1) / block)
     )
     reach = F.when((F.col("__r") - 1) % block > block - n, F.array("__block", F.col("__block") + 1))
-    spread = numbered.withColumn("__at", F.explode(F.coalesce(reach, F.array("__block"))))
+    copied = numbered.withColumn("__at", F.explode(F.coalesce(reach, F.array("__block"))))
     w = Window.partitionBy(*_group_columns(group), "__at").orderBy("__r").rowsBetween(-(n - 1), 0)
-    out = spread.select("*", F.collect_list("__e").over(w).alias(name))
+    out = copied.select("*", F.collect_list("__e").over(w).alias(name))
     return out.where(F.col("__at") == F.col("__block")).select(*columns, name)
 
 
@@ -260,15 +216,6 @@ def summary(
     group. Nulls are left out.
     """
     known = df.where(F.col(value).isNotNull())
-    if reads_little(df):
-        simple = {
-            "count": F.count(value), "mean": F.avg(value), "std": F.stddev_pop(value),
-            "min": F.min(value).cast("double"), "max": F.max(value).cast("double"),
-        }
-        return known.groupBy(*group).agg(
-            *[simple[kind].alias(n) for n, kind in moments.items()],
-            *[F.percentile(value, F.lit(p)).alias(n) for n, p in points.items()],
-        )
     counted = known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
     v, c = F.col(value).cast("double"), F.col("__c")
     placed = frame(

@@ -33,7 +33,7 @@ def _weighted(df: DataFrame, label: str, balanced: bool) -> DataFrame:
     return beside(df, counts).withColumn("__weight", weight).drop("__n", "__p")
 
 
-def fit_balanced_logistic(train: DataFrame, features: list[str], label: str, max_iter: int = 1000) -> PipelineModel:
+def fit_balanced_logistic(train: DataFrame, features: list[str], label: str, max_iter: int = 10000) -> PipelineModel:
     """Standardised logistic model; the scaler sees the training rows only."""
     stages = [
         VectorAssembler(inputCols=features, outputCol="__raw"),
@@ -85,7 +85,7 @@ def commit_level_model(
 
 
 def pairwise_ranker(
-    files: DataFrame, evaluated: DataFrame, group: list[str], seq: list[str], features: list[str], max_iter: int = 100
+    files: DataFrame, evaluated: DataFrame, group: list[str], seq: list[str], features: list[str], max_iter: int = 1000
 ) -> DataFrame:
     """Linear score fitted on differences of strong and weak files of a change.
 
@@ -144,7 +144,7 @@ def allowed_strategy(name: str) -> str:
     return name
 
 
-def train_report(rows: DataFrame, features: list[str], label: str, split: str, seq: list[str], max_iter: int = 100) -> DataFrame:
+def train_report(rows: DataFrame, features: list[str], label: str, split: str, seq: list[str], max_iter: int = 1000) -> DataFrame:
     """Fit once on train; per split the areas, threshold metrics, baseline, counts and top cuts, in long form."""
     train = rows.where(F.col(split) == "train")
     model = fit_balanced_logistic(train, features, label, max_iter)

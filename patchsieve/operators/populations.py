@@ -227,25 +227,24 @@ def matched_controls(populated: DataFrame) -> DataFrame:
     )
 
 
-# fixed values: what each named input may be used for
-ELIGIBILITY = (
-    ("commit_features", "NO_LEAKAGE", "FEATURE"), ("file_features", "NO_LEAKAGE", "FEATURE"),
-    ("commit_timestamp", "NO_LEAKAGE", "FEATURE"), ("file_path", "NO_LEAKAGE", "FEATURE"),
-    ("repo_name", "NO_LEAKAGE", "FEATURE"), ("label_source", "LEAKAGE/outcome_metadata", "EXCLUDED"),
-    ("corrective_sha", "LEAKAGE", "LABEL"), ("content_correspondence", "LEAKAGE", "LABEL"),
-    ("content_restoration", "LEAKAGE", "LABEL"), ("region_overlap", "LEAKAGE", "LABEL"),
-    ("function_analysis", "LEAKAGE", "LABEL"), ("evidence_types", "LEAKAGE", "LABEL"),
-    ("file_evidence_level", "LEAKAGE", "LABEL"),
+# fixed values: names that must not be features, and the name of the repository column
+FORBIDDEN = (
+    "label_source", "corrective_sha", "content_correspondence", "content_restoration",
+    "region_overlap", "function_analysis", "evidence_types", "file_evidence_level",
 )
+REPOSITORY = "repo_name"
 
 
-def leakage_audit(values: DataFrame, eligibility: DataFrame) -> DataFrame:
-    """Per used feature: values, whether it may be a feature, and PASS or FAIL."""
-    used = values.groupBy("feature").agg(F.count("value").alias("values"))
-    ok = (F.col("usage") == "FEATURE") & (F.col("leakage") == "NO_LEAKAGE")
-    return used.join(eligibility.select("feature", "leakage", "usage"), "feature", "left").select(
-        "feature", "values", "leakage", "usage",
-        F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("result"),
+def leakage_audit(names: DataFrame) -> DataFrame:
+    """Per feature name (column feature): whether it is forbidden or the repository, and PASS or FAIL.
+
+    Any other name passes. A feature table passes if all its names do.
+    """
+    used = names.select("feature").distinct()
+    forbidden, repository = F.col("feature").isin(*FORBIDDEN), F.col("feature") == REPOSITORY
+    return used.select(
+        "feature", forbidden.alias("forbidden"), repository.alias("repository"),
+        F.when(forbidden | repository, "FAIL").otherwise("PASS").alias("result"),
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchsieve.operators.frames import beside, first_rows, frame, number_rows
+from patchsieve.operators.frames import beside, first_rows, frame, number_rows, reused
 
 MODULUS = 2147483647  # fixed value: prime below 2**31, so products fit in a bigint
 
@@ -88,9 +88,12 @@ def signals(df: DataFrame) -> DataFrame:
 def normalized_signals(
     df: DataFrame, group: list[str], parts: dict[str, str], seq: list[str]
 ) -> DataFrame:
-    """Rank-normalise several columns: {new name: source column}."""
+    """Rank-normalise several columns: {new name: source column}.
+
+    Each pass is written, as a frame reads its input more than once.
+    """
     for name, source in parts.items():
-        df = rank_normalize(df, group, source, seq, name)
+        df = reused(rank_normalize(df, group, source, seq, name))
     return df
 
 

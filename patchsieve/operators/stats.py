@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.functions.messages import SIZE_BUCKETS, size_bucket
-from patchsieve.operators.frames import beside, frame, number_rows, percentiles, reads_little, reused, summary
+from patchsieve.operators.frames import beside, frame, number_rows, percentiles, reused, summary
 from patchsieve.operators.metrics import BUDGETS, budget_values, score_steps, share
 from patchsieve.operators.ranking import hashed_int
 
@@ -47,12 +47,6 @@ def _number_groups(groups: DataFrame, key: list[str]) -> DataFrame:
     return reused(numbered.withColumn("idx", F.col("__i") - 1).drop("__i"))
 
 
-def _meet(draws: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Look the drawn groups up: by broadcast while the table is small, else by a shuffle on the number."""
-    side = F.broadcast(numbered) if reads_little(numbered) else numbered
-    return draws.join(side, "idx")
-
-
 def _interval(per_replicate: DataFrame, names: list[str]) -> DataFrame:
     """Mean and 95 % interval over the replicates (one row each, a fixed number)."""
     long = per_replicate.select(F.explode(F.array(*[
@@ -70,7 +64,7 @@ def bootstrap_ci(
     """Intervals of the macro metrics; a group drawn twice counts twice."""
     metrics = metric_columns(budgets)
     numbered = _number_groups(counts.select(*key, *[e.alias(n) for n, e in metrics.items()]), key).drop(*key)
-    per = _meet(_draws(numbered, replicates, seed), numbered).groupBy("replicate").agg(
+    per = _draws(numbered, replicates, seed).join(numbered, "idx").groupBy("replicate").agg(
         *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in metrics]
     )
     return _interval(per, list(metrics))
@@ -97,7 +91,7 @@ def paired_bootstrap(
     gaps = joined.select(*key, *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names])
     numbered = _number_groups(gaps, key).drop(*key)
     drawn = _draws(numbered, replicates, seed).distinct()
-    per = _meet(drawn, numbered).groupBy("replicate").agg(
+    per = drawn.join(numbered, "idx").groupBy("replicate").agg(
         *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names]
     )
     return _interval(per, names)

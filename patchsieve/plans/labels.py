@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchsieve.functions import messages as M
 from patchsieve.operators import labels as B
-from patchsieve.operators.frames import number_rows
+from patchsieve.operators.frames import number_rows, reused
 from patchsieve.plans.functions import FIX_SQL
 from patchsieve.plans.registry import query
 
@@ -187,7 +187,7 @@ labels_ AS (SELECT c.repo, c.sha, c.path, CASE WHEN e.cause IS NOT NULL THEN 'ex
 
 
 def labelled(t):
-    c = changes(t)
+    c = reused(changes(t))
     explicit = B.explicit_attribution(c, REPO)
     reverted = B.revert_attribution(c, REPO, explicit)
     overlap = c.where(F.col("n_chars") % 11 == 0).select("repo", "sha", "path", F.lit("fix").alias("cause"))

@@ -1,4 +1,4 @@
-"""Model queries on order lines; checked for rows only, since fits have no SQL form."""
+"""Model queries on order lines. Fits have no SQL form: what is determined of them is checked beside."""
 
 from __future__ import annotations
 
@@ -8,13 +8,12 @@ from patchsieve.operators import metrics as M
 from patchsieve.operators import models as L
 from patchsieve.operators.frames import beside
 from patchsieve.operators.ranking import rank_priority
-from patchsieve.plans.bindings import SEQ
-from patchsieve.plans.ranking import random_files
+from patchsieve.plans.bindings import FILES_SQL, RANKED_SQL, SEQ
+from patchsieve.plans.ranking import RANDOM_SQL, random_files
 from patchsieve.plans.registry import query, rounded
 from patchsieve.plans.stats import leveled
 
 FEATURES = ["added", "deleted", "hunks", "price"]
-TREES = 5
 
 
 def rows_of(t):
@@ -35,7 +34,36 @@ def _by_split(scored):
 @query("balanced_logistic")
 def balanced_logistic(t):
     rows = rows_of(t)
-    return _by_split(L.probability(L.fit_balanced_logistic(_train(rows), FEATURES, "label", 20), rows))
+    return _by_split(L.probability(L.fit_balanced_logistic(_train(rows), FEATURES, "label"), rows))
+
+
+_SPLIT_SQL = "CASE WHEN cid % 10 < 7 THEN 'train' WHEN cid % 10 < 8 THEN 'validation' ELSE 'test' END"
+
+
+@query("balanced_logistic_fit", f"""WITH {FILES_SQL}, t AS (SELECT count(*) AS rows, count(*) FILTER (positive) AS positives FROM files WHERE {_SPLIT_SQL} = 'train')
+SELECT feature, rows, positives, true AS stationary FROM t, (SELECT unnest([{', '.join(f"'{f}'" for f in FEATURES)}]) AS feature)""")
+def balanced_logistic_fit(t):
+    """At the fitted weights the weighted residuals of each standardised feature add up to nothing."""
+    rows = _train(rows_of(t))
+    scored = beside(L.probability(L.fit_balanced_logistic(rows, FEATURES, "label"), rows), rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"),
+        *[F.avg(f).alias(f"mean_{f}") for f in FEATURES], *[F.stddev(f).alias(f"std_{f}") for f in FEATURES]))
+    own = F.when(F.col("label") == 1, F.col("positives")).otherwise(F.col("rows") - F.col("positives"))
+    residual = F.col("rows") / (2.0 * own) * (F.col("score") - F.col("label"))
+    sums = scored.groupBy("rows", "positives").agg(*[
+        F.avg(residual * (F.col(f) - F.col(f"mean_{f}")) / F.col(f"std_{f}")).alias(f) for f in FEATURES])
+    pairs = F.explode(F.create_map(*[c for f in FEATURES for c in (F.lit(f), F.col(f))])).alias("feature", "slope")
+    return sums.select("rows", "positives", pairs).select("feature", "rows", "positives", (F.abs("slope") < 1e-3).alias("stationary"))
+
+
+@query("pu_ranker_bounds", f"""WITH {FILES_SQL} SELECT {_SPLIT_SQL} AS split, count(*) AS rows, count(*) FILTER (positive) AS positives, 0.0::DOUBLE AS least, 1.0::DOUBLE AS largest
+FROM files GROUP BY 1""")
+def pu_ranker_bounds(t):
+    """Margins are scaled to 0 .. 1 within every split."""
+    rows = rows_of(t)
+    scored = L.pu_ranker(_train(rows), rows, FEATURES, "label", ["split"])
+    return rounded(scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"), F.min("score").alias("least"), F.max("score").alias("largest")))
 
 
 @query("pu_ranker")
@@ -47,36 +75,43 @@ def pu_ranker(t):
 @query("boosted_trees")
 def boosted_trees(t):
     rows = rows_of(t)
-    return _by_split(L.probability(L.fit_boosted_trees(_train(rows), FEATURES, "label", maxIter=TREES), rows))
+    return _by_split(L.probability(L.fit_boosted_trees(_train(rows), FEATURES, "label"), rows))
 
 
 @query("commit_level_model")
 def commit_level_model(t):
     rows = rows_of(t).withColumn("vector", F.array(*[F.col(f).cast("double") for f in FEATURES]))
-    scored = L.commit_level_model(_train(rows), rows, ["cid"], "vector", len(FEATURES), "positive", maxIter=TREES)
+    scored = L.commit_level_model(_train(rows), rows, ["cid"], "vector", len(FEATURES), "positive")
     return _by_split(scored)
 
 
 @query("pairwise_ranker")
 def pairwise_ranker(t):
     rows = rows_of(t)
-    return _by_split(L.pairwise_ranker(_train(rows), rows, ["cid"], SEQ, FEATURES, 20))
+    return _by_split(L.pairwise_ranker(_train(rows), rows, ["cid"], SEQ, FEATURES))
 
 
 @query("feature_importance")
 def feature_importance(t):
     rows = _train(rows_of(t))
-    linear = L.feature_importance(L.fit_balanced_logistic(rows, FEATURES, "label", 20), FEATURES, "logistic")
-    trees = L.feature_importance(L.fit_boosted_trees(rows, FEATURES, "label", maxIter=TREES), FEATURES, "trees")
+    linear = L.feature_importance(L.fit_balanced_logistic(rows, FEATURES, "label"), FEATURES, "logistic")
+    trees = L.feature_importance(L.fit_boosted_trees(rows, FEATURES, "label"), FEATURES, "trees")
     return linear.unionByName(trees)
 
 
 @query("train_report")
 def train_report(t):
-    return rounded(L.train_report(rows_of(t), FEATURES, "label", "split", ["cid", *SEQ], 20))
+    return rounded(L.train_report(rows_of(t), FEATURES, "label", "split", ["cid", *SEQ]))
+
+
+_STRATEGIES_SQL = ", ".join(f"('{n}', {a}, {b}, '{m}', '{s}')" for n, a, b, m, s in L.STRATEGIES)
 
 
-@query("strategy_table")
+@query("strategy_table", f"""WITH {RANKED_SQL}, r AS (SELECT *, {RANDOM_SQL} AS chance FROM ranked),
+a AS (SELECT cid, positive, row_number() OVER (PARTITION BY cid ORDER BY chance DESC, line, part, supp) AS k0, row_number() OVER (PARTITION BY cid ORDER BY score DESC, line, part, supp) AS k1 FROM r),
+g AS (SELECT min(k0) FILTER (positive) AS f0, min(k1) FILTER (positive) AS f1 FROM a GROUP BY cid), m AS (SELECT avg(1.0 / f0) AS b0, avg(1.0 / f1) AS b1 FROM g)
+SELECT name, requires_training, requires_model, modes, status, status = 'PRODUCTION_SAFE' AS allowed,
+ round(CASE name WHEN 'B0_RANDOM' THEN b0 WHEN 'B1_CHANGE_SIZE' THEN b1 END, 6) AS mrr FROM (VALUES {_STRATEGIES_SQL}) s(name, requires_training, requires_model, modes, status), m""")
 def strategy_table(t):
     """The strategies that need no training, evaluated on the lines, beside their status."""
     def mrr(scored, name, score):

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from patchsieve.operators import attribution as A
 from patchsieve.operators import populations as P
-from patchsieve.operators.stats import unpivoted
+from patchsieve.operators.diffs import FILE_VECTOR
+from patchsieve.operators.features import CHANGE_VECTOR
 from patchsieve.plans.attribution import LINKS_SQL, REPORT_SQL, linked_files, links, report
 from patchsieve.plans.bindings import SEQ
 from patchsieve.plans.registry import query, rounded
+from patchsieve.plans.sources import NAMES as EXPERIMENTAL
 from patchsieve.plans.stats import LABELED_SQL, LEVEL_SQL, labeled_rows, leveled
 
 
@@ -209,17 +211,16 @@ def signal_coverage(t):
 # ---- audits --------------------------------------------------------------------------------------
 
 
-@query("leakage_audit", """WITH v AS (SELECT 'commit_features' AS feature, count(l_quantity) AS n FROM lineitem UNION ALL SELECT 'file_features', count(l_tax) FROM lineitem UNION ALL SELECT 'label_source', count(l_discount) FROM lineitem
- UNION ALL SELECT 'unheard_of', count(l_extendedprice) FROM lineitem)
-SELECT feature, n AS "values", CASE feature WHEN 'label_source' THEN 'LEAKAGE/outcome_metadata' WHEN 'unheard_of' THEN NULL ELSE 'NO_LEAKAGE' END AS leakage,
- CASE feature WHEN 'label_source' THEN 'EXCLUDED' WHEN 'unheard_of' THEN NULL ELSE 'FEATURE' END AS usage, CASE WHEN feature IN ('label_source', 'unheard_of') THEN 'FAIL' ELSE 'PASS' END AS result FROM v""")
+_AUDITED = [*CHANGE_VECTOR, *FILE_VECTOR, *EXPERIMENTAL, *P.FORBIDDEN, P.REPOSITORY]
+_AUDITED_SQL = "[" + ", ".join(f"'{n}'" for n in _AUDITED) + "]"
+
+
+@query("leakage_audit", f"""WITH used AS (SELECT DISTINCT {_AUDITED_SQL}[p_partkey % {len(_AUDITED)} + 1] AS feature FROM part)
+SELECT feature, feature IN ({', '.join(f"'{n}'" for n in P.FORBIDDEN)}) AS forbidden, feature = '{P.REPOSITORY}' AS repository,
+ CASE WHEN feature IN ({', '.join(f"'{n}'" for n in P.FORBIDDEN)}) OR feature = '{P.REPOSITORY}' THEN 'FAIL' ELSE 'PASS' END AS result FROM used""")
 def leakage_audit(t):
-    used = t.lineitem.select(
-        F.col("l_quantity").alias("commit_features"), F.col("l_tax").alias("file_features"),
-        F.col("l_discount").alias("label_source"), F.col("l_extendedprice").alias("unheard_of"),
-    )
-    table = t.spark.createDataFrame(list(P.ELIGIBILITY), "feature string, leakage string, usage string")
-    return P.leakage_audit(unpivoted(used, [], used.columns), table)
+    name = F.element_at(F.array(*map(F.lit, _AUDITED)), (F.col("p_partkey") % len(_AUDITED) + 1).cast("int"))
+    return P.leakage_audit(t.part.select(name.alias("feature")))
 
 
 @query("split_audit", f"""WITH {LABELED_SQL} SELECT split, count(*) AS rows, count(*) FILTER (defect_label = 1) AS positive, count(*) FILTER (defect_label = 0) AS negative, count(*) FILTER (defect_label = -1) AS ambiguous,

@@ -8,21 +8,19 @@ from pyspark.sql import functions as F
 from patchsieve.operators import frames
 
 
-@pytest.fixture
-def sliced(spark):
-    """Treat groups over 40 rows as hot and measure even tiny inputs."""
-    spark.conf.set(frames.HOT_ROWS, "40")
-    spark.conf.set(frames.SMALL_INPUT_BYTES, "0")
+@pytest.fixture(params=["1", "40"])
+def slices(spark, request):
+    """Few and many slices; without any group is a slice, as with plain windows."""
+    spark.conf.set(frames.SLICES_PER_PARTITION, request.param)
     yield
-    spark.conf.unset(frames.HOT_ROWS)
-    spark.conf.unset(frames.SMALL_INPUT_BYTES)
+    spark.conf.unset(frames.SLICES_PER_PARTITION)
 
 
 def rows(spark):
     rnd = random.Random(7)
     data = []
     for i in range(900):
-        group = "hot" if i % 3 == 0 else f"g{i % 7}" if i % 3 == 1 else f"s{i}"
+        group = None if i % 3 == 0 else f"g{i % 7}" if i % 3 == 1 else f"s{i}"
         data.append((group, rnd.choice([1.0, 2.0, 2.5, 9.0]), i, rnd.choice([None, i]), rnd.randint(0, 5)))
     return spark.createDataFrame(data, "g string, v double, seq int, mark int, w int").repartition(5)
 
@@ -36,30 +34,46 @@ def run(df, group):
     return sorted(map(tuple, out.collect()), key=str)
 
 
+def plain(data, grouped):
+    """The same values, counted row by row."""
+    groups = {}
+    for r in data:
+        groups.setdefault(r["g"] if grouped else None, []).append(r)
+    out = []
+    for members in groups.values():
+        total, running, last, most = sum(r["w"] for r in members), 0, None, None
+        for n, r in enumerate(sorted(members, key=lambda r: (-r["v"], r["seq"])), 1):
+            out.append((*r, n, running, last, most, total))
+            running += r["w"]
+            last = r["mark"] if r["mark"] is not None else last
+            most = r["w"] if most is None else max(most, r["w"])
+    return sorted(out, key=str)
+
+
 @pytest.mark.parametrize("group", [["g"], []])
-@pytest.mark.parametrize("hot_rows", ["40", "5"])
-def test_slices_equal_plain_windows(spark, sliced, group, hot_rows):
-    spark.conf.set(frames.HOT_ROWS, hot_rows)
+def test_frames_equal_a_loop(spark, slices, group):
     df = rows(spark)
-    assert frames._find_slices(df, group, [-F.col("v"), F.col("seq")]) is not None
-    got = run(df, group)
-    spark.conf.set(frames.SMALL_INPUT_BYTES, str(1 << 63))
-    assert frames._find_slices(df, group, [F.col("seq")]) is None
-    assert got == run(df, group)
+    assert run(df, group) == plain(df.collect(), bool(group))
 
 
-def test_hot_group_is_spread(spark, sliced):
+def test_large_groups_are_cut_and_small_ones_are_not(spark, slices):
+    """The group of nulls holds a third of the rows."""
     df = rows(spark)
-    order = [-F.col("v"), F.col("seq")]
-    slices = frames._find_slices(df, ["g"], order)
-    sizes = (
-        frames._with_slice(df, ["g"], order, slices).where("g = 'hot'").groupBy("__slice").count().collect()
-    )
-    assert len(sizes) > 3 and max(r["count"] for r in sizes) < 150
+    got = frames._with_slice(df, ["g"], [-F.col("v"), F.col("seq")]).groupBy("g", "__slice").count().collect()
+    cut = [r["count"] for r in got if r["g"] is None]
+    assert len(cut) > 1 and max(cut) < 300 * (0.9 if len(cut) < 8 else 0.2)
+    assert {r["__slice"] for r in got if str(r["g"]).startswith("s")} == {None}
+
+
+def test_nothing_runs_while_a_frame_is_built(spark):
+    df = rows(spark)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    frames.number_rows(df, ["g"], [F.col("seq")])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
 
 
 @pytest.mark.parametrize("group", [["g"], []])
-def test_percentiles_equal_builtin(spark, sliced, group):
+def test_percentiles_equal_builtin(spark, slices, group):
     df = rows(spark).withColumn("x", F.col("v") * F.col("seq"))
     points = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.975, "e": 1.0}
     got = {tuple(r[:len(group)]): r for r in frames.percentiles(df, group, "x", points).collect()}
@@ -76,20 +90,24 @@ def test_first_rows_prunes_before_the_shuffle(spark, capsys):
     assert "WindowGroupLimit" in capsys.readouterr().out
 
 
-def test_previous_rows_cross_block_ends(spark, sliced):
+def test_previous_rows_cross_block_ends(spark, monkeypatch):
+    monkeypatch.setattr(frames, "_BLOCK_ROWS", 7)
     df = rows(spark)
-    def run_previous():
-        out = frames.with_previous(df, ["g"], [F.col("seq")], 4, F.col("seq"), "p")
-        return sorted((r["seq"], tuple(r["p"])) for r in out.collect())
-    got = run_previous()
-    spark.conf.set(frames.SMALL_INPUT_BYTES, str(1 << 63))
-    assert got == run_previous()
+    out = frames.with_previous(df, ["g"], [F.col("seq")], 4, F.col("seq"), "p")
+    got = {r["seq"]: list(r["p"]) for r in out.collect()}
+    groups = {}
+    for r in sorted(df.collect(), key=lambda r: r["seq"]):
+        members = groups.setdefault(r["g"], [])
+        members.append(r["seq"])
+        assert got[r["seq"]] == members[-4:]
+    assert len(got) == 900
 
 
-def test_summary_equals_builtin(spark, sliced):
+def test_summary_equals_builtin(spark, slices):
     df = rows(spark).withColumn("x", F.col("v") * F.col("seq"))
     moments = {m: m for m in ("count", "mean", "std", "min", "max")}
     got = {r["g"]: tuple(r)[1:] for r in frames.summary(df, ["g"], "x", {"p": 0.3}, moments).collect()}
-    spark.conf.set(frames.SMALL_INPUT_BYTES, str(1 << 63))
-    for r in frames.summary(df, ["g"], "x", {"p": 0.3}, moments).collect():
-        assert got[r["g"]] == pytest.approx(tuple(r)[1:])
+    want = df.groupBy("g").agg(F.count("x"), F.avg("x"), F.stddev_pop("x"), F.min("x"), F.max("x"), F.percentile("x", F.lit(0.3))).collect()
+    assert len(got) == len(want)
+    for r in want:
+        assert got[r["g"]] == pytest.approx(tuple(r)[1:][:5] + (r[6],))
