@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.operators.diffs import NO_FILE
-from patchsieve.operators.frames import frame, with_previous
+from patchsieve.operators.frames import frame, reused, with_previous
 
 DAY = 86400
 
@@ -53,7 +53,7 @@ def history_features(
         F.lit(0).cast("long").alias("__fix"), "ts", "has_parent",
     )
     out = frame(
-        seen.unionByName(asked), keys, [*map(F.col, pos), F.col("__touch")],
+        reused(seen.unionByName(asked)), keys, [*map(F.col, pos), F.col("__touch")],
         sums={"__n": F.col("__touch").cast("long"), "__fixes": F.col("__fix")},
         lasts={"__last": F.col("__ts")},
     ).where(F.col("__touch") == 0)
@@ -74,7 +74,7 @@ def history_features_legacy(touches: DataFrame, keys: list[str], pos: list[str])
     So the counts are of *newer* touches, and the days run from the newest one
     (fractional, never below 0).
     """
-    seen = _once_per_change(touches, keys, pos)
+    seen = reused(_once_per_change(touches, keys, pos))
     newest = seen.groupBy(*keys).agg(F.max_by("ts", F.struct(*pos)).alias("__newest"))
     ranked = frame(
         seen, keys, [*map(F.col, pos)],
@@ -104,7 +104,7 @@ def recent_history(
     nothing = F.lit(None)
     entry = "array<struct<ts:timestamp,loose_fix:boolean>>"
     seen = with_previous(
-        touches.select(*keys, *pos, "ts", "committed", "loose_fix"),
+        reused(touches.select(*keys, *pos, "ts", "committed", "loose_fix")),
         keys, [F.col("committed"), *map(F.col, pos)], n,
         F.struct(F.col("ts").cast("timestamp").alias("ts"), "loose_fix"), "__past",
     ).select(
@@ -116,7 +116,7 @@ def recent_history(
         F.col("ts").cast("timestamp").alias("ts"), nothing.cast(entry).alias("__past"),
     )
     met = frame(
-        seen.unionByName(asked), keys, [F.col("__at"), *map(F.col, pos), F.col("__touch")],
+        reused(seen.unionByName(asked)), keys, [F.col("__at"), *map(F.col, pos), F.col("__touch")],
         lasts={"__found": F.col("__past")},
     ).where(F.col("__touch") == 0)
     earlier = F.filter(F.coalesce("__found", F.array().cast(entry)), lambda x: x["ts"] < F.col("ts"))

@@ -9,6 +9,7 @@ from patchsieve.operators import evidence as E
 from patchsieve.operators import features as X
 from patchsieve.operators import history as H
 from patchsieve.operators import ranking as R
+from patchsieve.operators.frames import reused
 from patchsieve.plans.diffs import ITEM, PART_FILES_SQL, change_sql, part_files
 from patchsieve.plans.registry import query, rounded
 
@@ -120,15 +121,15 @@ def ranked_files(t):
     return R.rank_priority(base, ["cid"], "total_lines_changed", ITEM, "is_binary")
 
 
-def facts(t):
+def facts(t, ranked=None):
     change = X.commit_features(part_files(t), ["cid"], ITEM).select(
         "cid", F.col("total_lines_changed").alias("commit_lines"), "has_test_changes", "test_prod_coupling"
     )
-    return ranked_files(t).join(change, "cid")
+    return (ranked_files(t) if ranked is None else ranked).join(change, "cid")
 
 
-def cheap(t):
-    return E.cheap_evidence(facts(t))
+def cheap(t, ranked=None):
+    return E.cheap_evidence(facts(t, ranked))
 
 
 @query("cheap_evidence", f"""WITH {FACTS_SQL}, ev AS ({_rules_sql()})
@@ -171,8 +172,8 @@ MERGED_SQL = f"""{HIST_SQL}, ev AS ({_rules_sql()}), allev AS (SELECT cid, line,
 lists AS (SELECT cid, line, part, supp, item, string_agg(evidence_type, ',' ORDER BY ord) AS types, count(*) AS n FROM allev GROUP BY ALL)"""
 
 
-def merged(t):
-    return E.merge_evidence(cheap(t), historical(t), FILE)
+def merged(t, ranked=None):
+    return E.merge_evidence(cheap(t, ranked), historical(t), FILE)
 
 
 def _types():
@@ -192,7 +193,8 @@ BANDED_SQL = f"""{MERGED_SQL}, view AS (SELECT f.cid, f.line, f.part, f.supp, f.
 
 
 def view(t):
-    return E.investigation_view(ranked_files(t), merged(t), FILE)
+    ranked = reused(ranked_files(t))
+    return E.investigation_view(ranked, merged(t, ranked), FILE)
 
 
 @query("investigation_view", f"WITH {BANDED_SQL} SELECT cid, line, part, supp, item, position, score, types, n FROM view")
