@@ -211,6 +211,21 @@ def threshold_metrics(df: DataFrame, score: str, positive: str, threshold: float
     )
 
 
+def classification_report(
+    df: DataFrame, score: str, positive: str, seq: list[str], threshold: float = 0.5,
+    budgets=(5, 10, 20, 50, 100), tops=(10, 20, 50, 100),
+) -> DataFrame:
+    """One row: areas, confusion and F1 at the threshold, precision and recall at each budget, and
+    the share of positives that each top cut holds."""
+    cuts = sorted({*budgets, *tops})
+    at = global_topk(df, score, positive, seq, cuts)
+    wide = at.agg(
+        *[F.max(F.when(F.col("k") == k, F.col(m))).alias(f"{m}_at_{k}") for k in budgets for m in ("precision", "recall")],
+        *[F.max(F.when(F.col("k") == k, F.col("recall"))).alias(f"captured_top_{k}") for k in tops],
+    )
+    return beside(beside(ranking_areas(df, score, positive), threshold_metrics(df, score, positive, threshold)), wide)
+
+
 def majority_baseline(df: DataFrame, positive: str) -> DataFrame:
     """Most frequent class (a tie gives 0) and its accuracy."""
     counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("p"))

@@ -425,9 +425,9 @@ def classify_changes(rows: DataFrame, key: list[str], label: str = "defect_label
 
 
 def label_composition(classified: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rollup of the classes: overall and by the given columns."""
+    """The classes overall, by each of the given columns and by all of them."""
     is_ = lambda v: F.count_if(F.col("composition") == v)
-    grouped = classified.rollup(*by) if by else classified.groupBy()
+    grouped = classified.cube(*by) if by else classified.groupBy()
     out = grouped.agg(
         F.count(F.lit(1)).alias("commits"), F.sum("files").alias("rows"), F.sum("positive").alias("positive_rows"),
         is_("all_positive").alias("all_positive"), is_("mixed").alias("mixed"),

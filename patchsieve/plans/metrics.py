@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchsieve.operators import metrics as M
+from patchsieve.operators.frames import reused
 from patchsieve.operators.ranking import rank_priority
 from patchsieve.plans.bindings import FILES_SQL, RANKED_SQL, REPO_FILES_SQL, SEQ, files, repo_files
 from patchsieve.plans.ranking import ranked
@@ -142,6 +143,23 @@ def threshold_metrics(t):
     return rounded(M.threshold_metrics(ranked(t), "score", "positive"))
 
 
+_AT = ", ".join(
+    f"round(count(*) FILTER (positive AND k <= {k}) / {k}, 6) AS precision_at_{k}, round(count(*) FILTER (positive AND k <= {k}) / nullif(count(*) FILTER (positive), 0), 6) AS recall_at_{k}"
+    for k in (5, 10, 20, 50, 100))
+_TOP = ", ".join(f"round(count(*) FILTER (positive AND k <= {k}) / nullif(count(*) FILTER (positive), 0), 6) AS captured_top_{k}" for k in (10, 20, 50, 100))
+
+
+@query("classification_report", f"""WITH {RANKED_SQL}, {areas_sql('ranked', 'score')}, c AS (SELECT count(*) FILTER (score >= .5 AND positive) AS tp,
+  count(*) FILTER (score >= .5 AND NOT positive) AS fp, count(*) FILTER (score < .5 AND NOT positive) AS tn,
+  count(*) FILTER (score < .5 AND positive) AS fn FROM ranked),
+o AS (SELECT positive, row_number() OVER (ORDER BY score DESC, cid, line, part, supp) AS k FROM ranked), t AS (SELECT {_AT}, {_TOP} FROM o)
+SELECT n, n_positive, round(prevalence, 6) AS prevalence, round(roc_auc, 6) AS roc_auc, round(average_precision, 6) AS average_precision,
+  round(average_precision / prevalence, 6) AS lift, c.*, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
+  round(2 * tp / (2 * tp + fp + fn), 6) AS f1, t.* FROM areas, c, t""")
+def classification_report(t):
+    return rounded(M.classification_report(reused(ranked(t)), "score", "positive", ["cid", *SEQ]))
+
+
 @query("majority_baseline", f"""WITH {FILES_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (positive) AS p FROM files)
 SELECT n AS total, CASE WHEN p > n - p THEN 1 ELSE 0 END AS majority_class, round(greatest(p, n - p) / n, 6) AS accuracy FROM c""")
 def majority_baseline(t):

@@ -374,7 +374,7 @@ def classify_changes(t):
 
 def _composition_sql(group):
     lead = ", ".join(group) + "," if group else ""
-    by = f"GROUP BY ROLLUP ({', '.join(group)})" if group else ""
+    by = f"GROUP BY CUBE ({', '.join(group)})" if group else ""
     c = lambda x: f"count(*) FILTER (composition = '{x}')"
     pos = f"({c('all_positive')} + {c('mixed')})"
     return f"""SELECT {lead} count(*) AS commits, sum(files)::BIGINT AS rows, sum(positive)::BIGINT AS positive_rows, {c('all_positive')} AS all_positive, {c('mixed')} AS mixed, {c('all_negative')} AS all_negative,
