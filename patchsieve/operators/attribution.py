@@ -62,7 +62,10 @@ def path_overlap(links: DataFrame, files: DataFrame, missing: str = NO_ATTRIBUTI
     mine = candidate_paths(links, files).groupBy("sha").agg(
         F.count(F.lit(1)).alias("candidate_files"), F.count_if("shared").alias("overlap_files")
     )
-    theirs = corrective_controls(links, files).groupBy("sha").agg(F.count(F.lit(1)).alias("corrective_files"))
+    # the files of a corrective change are counted once, however many changes it corrects
+    sizes = files.groupBy(F.col("sha").alias("corrective")).agg(F.count_distinct("path").alias("__files"))
+    theirs = links.where(F.col("corrective").isNotNull()).select("sha", "corrective").join(sizes, "corrective").groupBy("sha").agg(
+        F.sum("__files").alias("corrective_files"))
     zero = F.lit(0).cast("long")
     out = links.join(mine, "sha").join(theirs, "sha", "left").withColumn(
         "corrective_files", F.coalesce("corrective_files", zero)

@@ -81,13 +81,15 @@ def revert_map(changes: DataFrame, repo: list[str]) -> DataFrame:
     reverts = changes.where(M.is_revert(F.col("message"))).select(*repo, "sha", "pos", "message")
     refs = resolve_refs(reverts, changes, repo)
     seen = reverts.join(refs, [*repo, "sha"], "left")
+    # whole messages meet quoted titles by their digest, so that no text is shuffled
+    title = F.nullif(M.stripped(F.col("message")), F.lit(""))
     titles = (
-        changes.withColumn("title", M.stripped(F.col("message"))).where(F.col("title") != "")
+        changes.select(*repo, "sha", "pos", F.md5(title.cast("binary")).alias("title")).where(F.col("title").isNotNull())
         .groupBy(*repo, "title").agg(F.max_by("sha", "pos").alias("titled"))
     )
     quoted = seen.withColumn(
-        "title", F.when(F.col("resolved").isNull(), M.revert_quote(F.col("message")))
-    ).join(titles, [*repo, "title"], "left")
+        "title", F.when(F.col("resolved").isNull(), F.md5(M.revert_quote(F.col("message")).cast("binary")))
+    ).drop("message").join(titles, [*repo, "title"], "left")
     target = F.coalesce("resolved", "titled")
     return (
         quoted.withColumn("reverted", target).where(F.col("reverted").isNotNull())
