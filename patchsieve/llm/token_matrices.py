@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from patchsieve.llm.common import strings, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-ROW_TOKENS, WINDOW_TOKENS, CHUNK = 2_048, 4_000_000, 50_000
+ROW_TOKENS, WINDOW_TOKENS, CHUNK = 2_048, 1_000_000, 50_000
+ROWS_AT_ONCE = 128
 # fixed value: the public split pattern of these byte-level vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -142,9 +143,9 @@ def _pack(path: str, capacity: int, window: int) -> Callable[[Iterator[pa.Record
         def rows() -> Iterator[pa.RecordBatch]:
             nonlocal count, waiting, held
             packed = best_fit_decreasing([len(w[4]) for w in waiting], capacity)
-            for lo in range(0, len(packed), 1_024):
+            for lo in range(0, len(packed), ROWS_AT_ONCE):
                 out = []
-                for row in packed[lo:lo + 1_024]:
+                for row in packed[lo:lo + ROWS_AT_ONCE]:
                     pieces = [waiting[n] for n in row]
                     sizes = [len(p[4]) for p in pieces]
                     used = sum(sizes)
