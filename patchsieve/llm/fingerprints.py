@@ -36,45 +36,42 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     ).when(n > 0, F.array(F.xxhash64("om_t"))).otherwise(F.array().cast("array<bigint>"))
     step = step.select(*kept, F.coalesce(kmers, F.array().cast("array<bigint>")).alias("om_h"))
     # the lower bits of a packed long hold a k-mer's place, as many as the text needs
-    step = step.withColumn("om_b", F.coalesce(F.length(F.bin(F.size("om_h").cast("long"))), F.lit(1)))
+    bits = F.coalesce(F.length(F.bin(F.size("om_h").cast("long"))), F.lit(1))
+    step = step.withColumn("om_m", F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+    step = step.withColumn("om_n", F.bitwise_not("om_m"))
 
-    def upper(x: Column) -> Column:
-        return F.call_function("shiftright", x, F.col("om_b"))
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.col("om_m")).cast("int")
 
     def pack(h: Column, place: Column) -> Column:
-        return F.call_function("shiftleft", upper(h), F.col("om_b")).bitwiseOR(place.cast("long"))
-
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("om_b")) - 1).cast("int")
+        return h.bitwiseAND(F.col("om_n")).bitwiseOR(place)
 
     def order(x: Column) -> Column:
         return F.shiftright(x, 64 - ORDER_BITS)
 
-    def first_of(array: str, part: Callable[[Column], Column]) -> Column:
-        """Places at which `part` of a sorted array changes."""
-        size = F.size(array)
-        return F.when(size > 0, F.filter(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: (i == 0) | (
-            part(F.get(array, i)) != part(F.get(array, i - 1))))).otherwise(F.array().cast("array<int>"))
-
-    step = step.withColumn("om_s", F.sort_array(F.transform("om_h", pack)))
-    step = step.withColumn("om_f", first_of("om_s", upper))
-    size = F.size("om_s")
-    # occurrence numbers, run by run; most texts repeat no k-mer
+    size = F.size("om_h")
+    step = step.withColumn("om_s", F.sort_array(F.transform("om_h", lambda h, i: pack(h, i.cast("long")))))
+    # occurrence numbers, run by run of equal k-mers; most texts repeat none
+    same = lambda i: F.get("om_s", i).bitwiseAND(F.col("om_n")) == F.get("om_s", i - 1).bitwiseAND(F.col("om_n"))
+    repeats = F.size(F.array_distinct("om_h")) < size
+    empty = F.array().cast("array<int>")
+    step = step.withColumn("om_f", F.when(repeats, F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | ~same(i))).otherwise(empty))
     number = F.flatten(F.transform("om_f", lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get("om_f", j + 1), size) - s - 1)))
-    step = step.withColumn("om_o", F.when(F.size("om_f") < size, number).otherwise(F.array().cast("array<int>")))
-    occurrence = lambda i: F.when(F.size("om_o") > 0, F.get("om_o", i)).otherwise(0)
-    step = step.withColumn("om_q", F.sort_array(F.transform("om_s", lambda x, i: F.call_function(
-        "shiftleft", upper(F.xxhash64(F.get("om_h", place(x)), occurrence(i))), F.col("om_b")).bitwiseOR(place(x).cast("long")))))
-    step = step.withColumn("om_g", first_of("om_q", order))
-
-    def pair(s: Column) -> Column:
-        one, two = F.get("om_q", s), F.get("om_q", s + 1)
+    step = step.withColumn("om_o", F.when(F.size("om_f") > 0, number).otherwise(empty))
+    hashed = lambda x, n: pack(F.xxhash64(F.get("om_h", place(x)), n), x.bitwiseAND(F.col("om_m")))
+    step = step.withColumn("om_q", F.sort_array(F.when(
+        F.size("om_o") > 0, F.transform("om_s", lambda x, i: hashed(x, F.coalesce(F.get("om_o", i), F.lit(0))))
+    ).otherwise(F.transform("om_s", lambda x: hashed(x, F.lit(0))))))
+
+    def pair(one: Column, two: Column) -> Column:
         a, b = place(one), place(two)
-        return F.when(order(one) == order(two), F.xxhash64(F.get("om_h", F.least(a, b)), F.get("om_h", F.greatest(a, b)))).otherwise(
+        h = F.when(order(one) == order(two), F.xxhash64(F.get("om_h", F.least(a, b)), F.get("om_h", F.greatest(a, b)))).otherwise(
             F.xxhash64(F.get("om_h", a)))
+        return F.shiftleft(order(one) + (1 << ORDER_BITS - 1), 32).bitwiseOR(h.bitwiseAND(F.lit((1 << 32) - 1)))
 
-    entry = F.transform("om_g", lambda s: F.shiftleft(order(F.get("om_q", s)) + (1 << ORDER_BITS - 1), 32).bitwiseOR(
-        pair(s).bitwiseAND(F.lit((1 << 32) - 1))))
+    # where the order changes stands its least k-mer, the second least follows
+    entry = F.array_compact(F.transform("om_q", lambda x, i: F.when(
+        (i == 0) | (order(x) != order(F.get("om_q", i - 1))), pair(x, F.get("om_q", i + 1)))))
     return step.select(*kept, entry.alias(out))
 
 
@@ -91,21 +88,25 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _below(cuts: str, key: Column, most: int, equal: bool) -> Column:
     """How many of the sorted `cuts` are less than `key` (or equal), by binary search."""
-    at, step = F.lit(0), 1 << most.bit_length() - 1
-    while step:
-        def move(p: Column, step: int = step) -> Column:
+    def moved(step: int) -> Callable[[Column], Column]:
+        def move(p: Column) -> Column:
             cut = F.get(cuts, p + (step - 1))
             return p + F.when(cut <= key if equal else cut < key, step).otherwise(0)
 
-        at, step = let(at, move), step // 2
+        return move
+
+    at, step = F.lit(0), 1 << most.bit_length() - 1
+    while step:
+        at, step = let(at, moved(step)), step // 2
     return at
 
 
-def with_next(documents: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(documents: DataFrame, derive: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
     """Each row with next_<column> of the row that follows by descending doc_id; the last is followed by the first.
 
-    `documents` has doc_id and text_key, by which rows of one id are ordered. Rows are dealt to ranges of
-    near equal counts; the first row of a range also goes to the range before it. Texts are shuffled once.
+    `documents` has doc_id, text and text_key, by which rows of one id are ordered. Rows are dealt to ranges
+    of near equal counts; the first row of a range also goes to the range before it. Texts are shuffled
+    once; `derive` adds further columns where they then lie.
     """
     spark = documents.sparkSession
     ranges = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -130,7 +131,7 @@ def with_next(documents: DataFrame, columns: list[str]) -> DataFrame:
     is_first = (F.col("key") == F.col("first_key")) & (F.col("text_key") == F.col("first_text"))
     own, guest = (F.struct(F.col(c).alias("range"), F.lit(g).alias("guest")) for c, g in (("range", 0), ("before", 1)))
     dealt = rows.withColumn("to", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
-    dealt = dealt.select("doc_id", "key", "text_key", "to.range", "to.guest", *columns).repartition("range")
+    dealt = derive(dealt.select("doc_id", "key", "text_key", "to.range", "to.guest", "text").repartition("range"))
     following = Window.partitionBy("range").orderBy("guest", F.desc("key"), F.desc(F.shiftrightunsigned("text_key", 1)), F.desc("text_key"))
     return dealt.withColumns({f"next_{c}": F.lead(c).over(following) for c in columns}).where("guest = 0").select(
         "doc_id", *columns, *(f"next_{c}" for c in columns))
@@ -145,8 +146,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     ignored. An empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_signature(docs.withColumn("text_key", F.xxhash64("text")), "text", "signature")
-    rows = with_next(docs, ["text", "signature"])
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    rows = with_next(docs, lambda df: with_signature(df, "text", "signature"), ["text", "signature"])
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - third), F.col("next_text").substr(F.lit(1), third))

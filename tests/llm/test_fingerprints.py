@@ -3,7 +3,7 @@ import hashlib
 from corpus import DOCUMENTS, documents, none, prose
 from pyspark.sql import functions as F
 
-from patchsieve.llm.fingerprints import fingerprints, likeness, with_signature
+from patchsieve.llm.fingerprints import _below, fingerprints, likeness, with_signature
 
 
 def edited(docs):
@@ -69,3 +69,10 @@ def test_no_python_in_the_plan(spark, capsys):
     assert "Python" not in plan and "Arrow" not in plan and "regexp_extract_all" in plan
     # no step is repeated inside the lambda of the next
     assert max(line.count("regexp_extract_all") for line in plan.splitlines()) == 1
+
+
+def test_search_in_cuts(spark):
+    cuts = [3, 3, 5, 9, 9, 9, 20]
+    rows = spark.createDataFrame([(k, cuts) for k in range(25)], "key long, cuts array<bigint>")
+    got = rows.select("key", _below("cuts", F.col("key"), 8, False).alias("less"), _below("cuts", F.col("key"), 8, True).alias("most")).collect()
+    assert all((r.less, r.most) == (sum(c < r.key for c in cuts), sum(c <= r.key for c in cuts)) for r in got)
