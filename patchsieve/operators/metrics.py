@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchsieve.operators.frames import beside, frame, number_rows, percentiles
+from patchsieve.operators.frames import beside, frame, number_rows, percentiles, reused
 
 BUDGETS = (1, 2, 3, 5, 10, 20, 50, 100)  # fixed values: the K grid of the reports
 
@@ -16,7 +16,7 @@ def share(top: Column, bottom: Column, empty: float | None = 0.0) -> Column:
 
 
 def rank_in_group(df: DataFrame, group: list[str], score: str, ties: list[Column]) -> DataFrame:
-    return number_rows(df, group, [-F.col(score), *ties], "rank")
+    return number_rows(reused(df), group, [-F.col(score), *ties], "rank")
 
 
 def group_counts(ranked: DataFrame, group: list[str], positive: str, budgets=BUDGETS) -> DataFrame:
