@@ -134,12 +134,18 @@ counts AS (SELECT sha, count(*) AS files, count(*) FILTER (named) AS matched FRO
 mentions AS (SELECT sha, files, matched, CASE WHEN matched = files AND matched > 0 THEN 'all_files_mentioned' WHEN matched > 0 THEN 'partial_files_mentioned' ELSE 'none' END AS signal_level FROM counts)"""
 
 
-def mentions(t):
+# every text of the three documents is part of the message
+MENTION_WHOLE_SQL = MENTION_SQL.replace("'Fix ' || arg_min(text, doc_id)", "'Fix ' || string_agg(text, chr(10) ORDER BY doc_id)")
+
+
+def mentions(t, whole=False):
     docs = t.documents.select(
         F.floor(F.col("doc_id") / 3).alias("sha"), "doc_id", "text",
         F.concat(F.col("lang"), F.lit("/"), F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")), F.lit(".x")).alias("path"),
     )
-    messages = docs.groupBy("sha").agg(F.concat(F.lit("Fix "), F.min_by("text", "doc_id")).alias("message"))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("doc_id", "text"))))
+    text = F.array_join(F.transform(ordered, lambda d: d["text"]), "\n") if whole else F.min_by("text", "doc_id")
+    messages = docs.groupBy("sha").agg(F.concat(F.lit("Fix "), text).alias("message"))
     return A.message_mentions(docs, messages)
 
 
@@ -148,6 +154,11 @@ def message_mentions(t):
     return mentions(t).drop("words")
 
 
+@query("message_mentions_whole", f"WITH {MENTION_WHOLE_SQL} SELECT * FROM mentions")
+def message_mentions_whole(t):
+    return mentions(t, whole=True).drop("words")
+
+
 @query("mentioned_words", r"""SELECT doc_id, array_to_string((regexp_extract_all('Fix ' || text, '(?i)(?:^|[^\pL\pN_])(?:fix|patch|resolve|bug|issue|error)[^\pL\pN_\n]+([\pL\pN_]+)', 1))[1:5], ',') AS words FROM documents""")
 def mentioned_words(t):
     from patchsieve.functions.messages import mentioned_words as words
@@ -402,14 +413,17 @@ def attribution_rollups(t):
     return A.attribution_rollups(base, ["repo", "split"], "category")
 
 
-@query("contextual_summary", f"""WITH {PROXIMITY_SQL}, {STATUS_SQL[len(LINKS_SQL) + 2:]}, {TESTS_SQL[len(LINKS_SQL) + 2:]}, {EXCLUSIVE_SQL[len(LINKS_SQL) + 2:]}, {MENTION_SQL}
+def _summary_sql(mention):
+    return f"""WITH {PROXIMITY_SQL}, {STATUS_SQL[len(LINKS_SQL) + 2:]}, {TESTS_SQL[len(LINKS_SQL) + 2:]}, {EXCLUSIVE_SQL[len(LINKS_SQL) + 2:]}, {mention}
 SELECT (SELECT count(*) FROM mentions) AS commits, (SELECT count(*) FROM mentions WHERE matched > 0) AS with_mention, (SELECT count(*) FROM sp WHERE len(both_) > 0) AS with_status_overlap,
  (SELECT count(*) FROM px WHERE available) AS with_vectors, (SELECT round(avg(cosine_similarity), 5) FROM px) AS mean_cosine,
- (SELECT count(*) FROM ts WHERE test_count > 0 AND prod_count > 0) AS mixed_commits, (SELECT count(*) FROM ex WHERE available) AS with_corrective, (SELECT round(avg(overlap_ratio), 4) FROM ex) AS mean_overlap_ratio""")
-def contextual_summary(t):
+ (SELECT count(*) FROM ts WHERE test_count > 0 AND prod_count > 0) AS mixed_commits, (SELECT count(*) FROM ex WHERE available) AS with_corrective, (SELECT round(avg(overlap_ratio), 4) FROM ex) AS mean_overlap_ratio"""
+
+
+def _summary(t, said):
     k, f = links(t), linked_files(t)
     parts = A.contextual_summary(
-        mentions(t), A.status_pattern(k, f), proximity(t), A.test_separation(f), A.exclusivity(A.path_overlap(k, f))
+        said, A.status_pattern(k, f), proximity(t), A.test_separation(f), A.exclusivity(A.path_overlap(k, f))
     )
     out = parts[0]
     for part in parts[1:]:
@@ -417,6 +431,16 @@ def contextual_summary(t):
     return rounded(out, 5)
 
 
+@query("contextual_summary", _summary_sql(MENTION_SQL))
+def contextual_summary(t):
+    return _summary(t, mentions(t))
+
+
+@query("contextual_summary_whole", _summary_sql(MENTION_WHOLE_SQL))
+def contextual_summary_whole(t):
+    return _summary(t, mentions(t, whole=True))
+
+
 @query("prediction_units", f"""WITH {REPORT_SQL} SELECT count(DISTINCT sha) AS commits, count(*) AS files, count(*) FILTER (level = 'FILE_STRONG') AS file_strong,
  count(*) FILTER (level = 'FILE_MODERATE') AS file_moderate, count(*) FILTER (level = 'FILE_WEAK') AS file_weak, count(*) FILTER (level = 'UNKNOWN') AS file_unknown,
  count(*) FILTER (same_function) AS same_function FROM report""")

@@ -108,6 +108,20 @@ def fix_prefix(t):
     return t.documents.select("doc_id", M.fix_prefix(evidence).alias("prefix"))
 
 
+# the reference stands before the whole text
+@query("fix_prefix_whole", """WITH e AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Commit x referenced by bug-fix ' || substr(md5(doc_id::VARCHAR), 1, 12) || ' via id '
+  WHEN 1 THEN 'Commit x was reverted by ' || md5(doc_id::VARCHAR) || ' ' WHEN 2 THEN 'reverted by abc1234 ' ELSE '' END || text AS evidence FROM documents)
+SELECT doc_id, coalesce(nullif(regexp_extract(evidence, 'bug-fix ([0-9a-f]{8,40})', 1), ''), nullif(regexp_extract(evidence, 'reverted by ([0-9a-f]{8,40})', 1), '')) AS prefix FROM e""")
+def fix_prefix_whole(t):
+    sha, kind = F.md5(F.col("doc_id").cast("string")), F.col("doc_id") % 4
+    reference = (
+        F.when(kind == 0, F.concat(F.lit("Commit x referenced by bug-fix "), F.substring(sha, 1, 12), F.lit(" via id ")))
+        .when(kind == 1, F.concat(F.lit("Commit x was reverted by "), sha, F.lit(" ")))
+        .when(kind == 2, "reverted by abc1234 ").otherwise("")
+    )
+    return t.documents.select("doc_id", M.fix_prefix(F.concat(reference, "text")).alias("prefix"))
+
+
 @query("declaration_counts", r"""WITH d AS (SELECT doc_id, array_to_string([CASE i % 4 WHEN 1 THEN 'def ' WHEN 2 THEN '  class ' WHEN 3 THEN 'import ' ELSE 'f(x) {' END || l for l, i in string_split(text, chr(10))], chr(10)) AS body FROM documents)
 SELECT doc_id, greatest(len(regexp_extract_all(body, '(?m)^\s*def\s+[\pL\pN_]+')), len(regexp_extract_all(body, '(?m)^\s*[\pL\pN_]+\s*\(.*\)\s*\{'))) AS functions,
   len(regexp_extract_all(body, '(?m)^\s*class\s+[\pL\pN_]+')) AS classes, len(regexp_extract_all(body, '(?m)^\s*(?:from\s+\S+\s+)?import\s+')) AS imports FROM d""")
