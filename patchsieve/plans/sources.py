@@ -109,8 +109,9 @@ def extension_histogram(t):
 
 
 def _assembled(mode, t):
-    out = X.assemble_features(examples(t).where(F.size("file_features") == 16), experimental(t), mode)
-    return out.select("commit_sha", "file_path", F.size("vector").alias("dims"),
+    out = X.assemble_features(examples(t), experimental(t), mode, 16)
+    # the SQL of these queries gives well-formed rows; malformed_vectors and population_malformed count the others
+    return out.where("NOT malformed").select("commit_sha", "file_path", F.size("vector").alias("dims"),
                       F.round(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
@@ -128,6 +129,11 @@ for _mode, (_start, _length) in X.MODES.items():
     _register_assembled(_mode, _start, _length)
 
 
+@query("malformed_vectors", f"WITH {EXAMPLES_SQL} SELECT commit_sha, count(*) AS files, count(*) FILTER (supp % 97 = 3) AS malformed FROM ex GROUP BY 1")
+def malformed_vectors(t):
+    return X.malformed_per_change(X.assemble_features(examples(t), experimental(t), "E0", 16))
+
+
 @query("validate_contract", f"""WITH {EXAMPLES_SQL} SELECT count(*) AS rows, count(*) FILTER (defect_label = -1) AS ambiguous, count(*) AS bad_change_size, count(*) FILTER (supp % 97 = 3) AS bad_file_size,
  count(*) FILTER (supp % 90 = 5) AS bad_version, count(*) FILTER (supp % 97 = 3) AS negative, 0 AS not_a_number, 0 AS bad_sha, count(*) - count(DISTINCT (commit_sha, path)) AS duplicates FROM ex""")
 def validate_contract(t):
@@ -217,3 +223,11 @@ def population_eval(t):
     scored = rank_priority(files, ["commit_sha"], "total_lines_changed", ["file_path"], "is_binary")
     ranked = M.rank_in_group(scored, ["commit_sha"], "score", [F.col("file_path")])
     return rounded(M.aggregate_group_metrics(M.group_counts(ranked, ["commit_sha"], "positive")))
+
+
+# changes whose files population_eval does not see in full
+@query("population_malformed", f"""WITH {EXAMPLES_SQL} SELECT commit_sha, count(*) AS files, count(*) FILTER (supp % 97 = 3) AS malformed FROM ex
+ WHERE split = 'test' AND defect_label <> -1 GROUP BY 1""")
+def population_malformed(t):
+    rows = examples(t).where((F.col("split") == "test") & (F.col("defect_label") != -1))
+    return X.malformed_per_change(X.mark_malformed(rows, 16))

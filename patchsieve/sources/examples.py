@@ -86,15 +86,33 @@ def write_examples(df: DataFrame, out: str, order: tuple[str, ...] = ("repo_name
     put(df.where(ambiguous), f"{out}/ambiguous", list(order))
 
 
-def assemble_features(base: DataFrame, experimental: DataFrame, mode: str) -> DataFrame:
-    """One vector per row: change, file and chosen experimental features, zeros where none are known."""
+def mark_malformed(rows: DataFrame, size: int, vector: str = "file_features") -> DataFrame:
+    """All rows, with `malformed` true where the vector is null or not of `size` numbers."""
+    return rows.withColumn("malformed", F.coalesce(F.size(vector) != size, F.lit(True)))
+
+
+def malformed_per_change(rows: DataFrame) -> DataFrame:
+    """(commit_sha, files, malformed) from marked rows: how many files of a change have no usable vector."""
+    return rows.groupBy("commit_sha").agg(F.count(F.lit(1)).alias("files"), F.count_if("malformed").alias("malformed"))
+
+
+def assemble_features(base: DataFrame, experimental: DataFrame, mode: str, file_size: int | None = None) -> DataFrame:
+    """One vector per row: change, file and chosen experimental features, zeros where none are known.
+
+    With `file_size` no row is lost either: those whose file vector has another size get a null vector
+    and `malformed`.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     start, length = MODES[mode]
     zeros = F.array_repeat(F.lit(0.0), EXPERIMENTAL_SIZE)
     joined = base.join(experimental.select(*KEY, "experimental_features"), KEY, "left")
     chosen = F.slice(F.coalesce("experimental_features", zeros), start, length)
-    return joined.withColumn("vector", F.concat("commit_features", "file_features", chosen)).drop("experimental_features")
+    vector = F.concat("commit_features", "file_features", chosen)
+    if file_size is not None:
+        joined = mark_malformed(joined, file_size)
+        vector = F.when(~F.col("malformed"), vector)
+    return joined.withColumn("vector", vector).drop("experimental_features")
 
 
 def resume_todo(rows: DataFrame, done: DataFrame) -> DataFrame:

@@ -47,6 +47,15 @@ def test_vectors_without_an_experimental_row_are_filled(spark):
         X.assemble_features(base, exp, "E3")
 
 
+def test_malformed_vectors_stay_and_are_counted(spark):
+    schema = "commit_sha string, file_path string, commit_features array<double>, file_features array<double>"
+    base = spark.createDataFrame([("s", "p", [1.0], [2.0, 3.0]), ("s", "q", [1.0], [-1.0]), ("t", "r", [1.0], None)], schema)
+    exp = spark.createDataFrame([("s", "q", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])], "commit_sha string, file_path string, experimental_features array<double>")
+    out = X.assemble_features(base, exp, "E0", 2)
+    assert {r["file_path"]: (r["vector"], r["malformed"]) for r in out.collect()} == {"p": ([1.0, 2.0, 3.0], False), "q": (None, True), "r": (None, True)}
+    assert sorted(map(tuple, X.malformed_per_change(out).collect())) == [("s", 2, 1), ("t", 1, 1)]
+
+
 def test_fingerprint_does_not_depend_on_the_layout(spark):
     df = spark.range(500).withColumn("x", F.col("id") % 3).unionByName(spark.range(40).withColumn("x", F.lit(1).cast("long")))
     one = C.fingerprint(df.repartition(1)).first()["digest"]
