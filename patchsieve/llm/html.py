@@ -23,7 +23,8 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
     "ruby rb rt rp img br wbr picture source".split())
 _SILENT = frozenset(
-    "head script style noscript template title iframe object svg math canvas audio video map nav footer aside form button select textarea dialog menu fieldset input".split())
+    "head script style noscript template title iframe object svg math canvas audio video map nav footer button select textarea dialog menu input label".split())
+_CONTAINERS = frozenset("form fieldset aside".split())  # decided on when the whole page is known
 _CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -137,9 +138,9 @@ class _Page:
                 return
             if tag == "a":
                 self.link_depth = len(stack)
-            if stack[-1].silent or tag in _VOID:
+            if tag in _VOID or stack[-1].silent and not self.open[tag]:
                 return
-            if not (more and _TOLD.search(more)) and stack[-1].tag != tag:
+            if not (more and _TOLD.search(more)) and stack[-1].tag != tag and tag not in _SILENT and not stack[-1].silent:
                 return
         elif tag in _VOID:
             if tag == "hr":
@@ -204,9 +205,41 @@ def _total(page: _Page) -> None:
             up.holds |= node.holds or node.tag in ("article", "main", "h1")
 
 
+def _above(nodes: Iterator[_Node]) -> set[int]:
+    """The ids of all elements that hold one of `nodes`."""
+    ids: set[int] = set()
+    for node in nodes:
+        up = node.parent
+        while up is not None and id(up) not in ids:
+            ids.add(id(up))
+            up = up.parent
+    return ids
+
+
+def _spared(page: _Page) -> set[int]:
+    """Forms, fieldsets and asides that hold the article or the title or, unless the article is elsewhere, most text."""
+    if not any(n.tag in _CONTAINERS and not n.silent for n in page.nodes):
+        return set()
+    seen = [n for n in page.nodes if not n.silent and n.chars]
+    articles = [n for n in seen if n.tag in ("article", "main")]
+    holds = _above(articles)
+    header = {id(n) for n in seen if n.tag == "header" and not n.within}
+    for n in seen:
+        if n.parent is not None and id(n.parent) in header:
+            header.add(id(n))
+    titled = _above([n for n in seen if n.tag == "h1" and id(n) not in header][:1])
+    return {id(n) for n in seen if n.tag in _CONTAINERS and (
+        id(n) in holds or (n.within or not articles) and (id(n) in titled or 2 * n.chars > page.root.chars))}
+
+
 def _drop_furniture(page: _Page) -> None:
     """Mark elements named as furniture, unless they hold the article or, on a page without one, most text."""
     _total(page)
+    spared = _spared(page)
+    for node in page.nodes:
+        node.silent |= node.parent is not None and node.parent.silent or node.tag in _CONTAINERS and id(node) not in spared
+    page.blocks = [b for b in page.blocks if not b[0].silent]
+    _total(page)
     for node in page.nodes:
         up = node.parent
         if up is None:

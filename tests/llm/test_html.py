@@ -29,6 +29,23 @@ def test_siblings_of_the_best_container_stay():
     assert [line.split()[0] for line in got.split("\n")] == ["One", "Two", "Three"]
 
 
+PROSE = "<p>One paragraph of the text, with some words, and commas; it is long enough to count as prose.</p>"
+WORDS = re.sub("<[^>]+>", "", PROSE)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><form id=aspnetForm><input type=hidden><nav>n</nav><article><h1>T</h1>{PROSE}</article><button>Go</button></form>", f"T\n{WORDS}"),
+    (f"<body><form id=f><div><label>Name <span>of</span> you</label><select><option>x</select>{PROSE}</div></form>", WORDS),
+    (f"<body><main><form><h2>A</h2>{PROSE}{PROSE}</form></main>", f"A\n{WORDS}\n{WORDS}"),
+    (f"<body><form><h1>T</h1><p>Short.</p></form><div>{PROSE}</div><fieldset><legend>Sign</legend>up here</fieldset>", None),
+    (f"<body><article>{PROSE}</article><form>{PROSE * 3}</form><aside>{PROSE * 3}</aside>", WORDS),
+    (f"<article>{PROSE * 3}<aside>{PROSE}</aside><form><h1>Join</h1><label for=a>Mail</label></form></article>", None),
+])
+def test_forms_are_decided_on_by_what_they_hold(page, text):
+    got = main_text(page)
+    assert got == text if text else "up here" not in got and "Mail" not in got and WORDS in got
+
+
 @pytest.mark.parametrize("page, text", [
     ("", ""), (" \n", ""), ("plain text, no markup", "plain text, no markup"), ("<p>cut <b", "cut"), ("a &am", "a &am"), ("<article></article>", ""),
     ("<script>x", ""), ("<!-- x", ""), ("</p></div>", ""), ("<article><h1>T</h1><p>Short.</article><div class=ad>A far longer text, with commas, that is an advert.</div>", "T\nShort."),
