@@ -276,17 +276,46 @@ def _score(page: _Page) -> None:
         node.points *= 1 - (node.linked / node.chars if node.chars else 0)
 
 
-def _kept(page: _Page) -> set[int]:
+def _lifted(page: _Page, best: _Node) -> _Node:
+    """The outermost article that holds `best`, else the nearest main, else the lowest ancestor with nearly all prose."""
+    above = []
+    up: _Node | None = best
+    while up is not None:
+        above.append(up)
+        up = up.parent
+    for node in reversed(above):
+        if node.tag == "article":
+            return node
+    for node in above:
+        if node.tag == "main":
+            return node
+    prose = {id(n): 0 for n in page.nodes}
+    for node, text, linked in page.blocks:
+        if len(text) >= 25 and node.tag not in _HEADINGS:
+            prose[id(node)] += len(text) - linked
+    for node in reversed(page.nodes):
+        if node.parent is not None:
+            prose[id(node.parent)] += prose[id(node)]
+    for k, node in enumerate(above):
+        if 10 * prose[id(node)] >= 9 * prose[id(page.root)]:
+            if 4 * node.linked >= node.chars:
+                return best
+            # rows of links beside the prose are not part of it
+            path = {id(n) for n in above[1:k + 1]}
+            for n in page.nodes:
+                if n.parent is not None and id(n.parent) in path and n.tag not in _INLINE and n.chars and 5 * n.linked >= 4 * n.chars:
+                    n.silent = True
+            return node
+    return best
+
+
+def _kept(page: _Page) -> tuple[set[int], _Node]:
     """The best container and the siblings that belong to it."""
     best = max(page.nodes, key=lambda n: n.points)  # the first of equal ones
     if not best.points:
         best = next((n for n in page.nodes if n.tag == "article" and not n.silent), None) or next(
             (n for n in page.nodes if n.tag == "main" and not n.silent), page.root)
-    up = best
-    while up is not None:
-        if up.tag == "article":
-            best = up
-        up = up.parent
+    best = _lifted(page, best)
     keep = {id(best)}
     bar = max(10.0, 0.2 * best.points)
     for node in page.nodes:
@@ -294,10 +323,50 @@ def _kept(page: _Page) -> set[int]:
             continue
         share = node.linked / node.chars if node.chars else 1.0
         prose = node.tag == "p" and share < 0.25 and node.chars > 80
-        alike = best.names and node.names == best.names and share < 0.25
+        alike = (best.names and node.names == best.names or node.tag == best.tag == "section") and share < 0.25
         if node.points >= bar or prose or alike:
             keep.add(id(node))
-    return keep
+    return keep, best
+
+
+def _chosen(page: _Page) -> list[str]:
+    """The blocks inside what is kept, with headings and unlinked blocks between or directly before it."""
+    keep, best = _kept(page)
+    inside: dict[int, bool] = {}
+    top: dict[int, _Node | None] = {}  # the child of the best container's parent that holds an element
+    title = False
+    for node in page.nodes:
+        up = node.parent
+        node.silent |= up is not None and up.silent
+        inside[id(node)] = id(node) in keep or up is not None and inside[id(up)]
+        top[id(node)] = node if up is best.parent and up is not None else top.get(id(up))
+        title |= node.tag == "h1" and node.chars > 0 and inside[id(node)]
+    units: list[list] = []  # child or None, kept, only headings, letters, letters in links, texts
+    for node, text, linked in page.blocks:
+        child = top[id(node)]
+        if node.silent or not inside[id(node)] and child is None and node is not best.parent:
+            continue
+        if not units or child is None or units[-1][0] is not child:
+            units.append([child, inside[id(node)], True, 0, 0, []])
+        unit = units[-1]
+        unit[2] &= node.tag in _HEADINGS
+        unit[3] += len(text)
+        unit[4] += linked
+        unit[5].append(text)
+    first = next((n for n, u in enumerate(units) if u[1]), len(units))
+    marked = best.tag in ("article", "main")
+    out: list[list[str]] = []
+    before = after = False
+    for n in range(len(units) - 1, -1, -1):
+        _, kept, heading, chars, linked, texts = units[n]
+        alone = 4 * linked < chars
+        if n < first:
+            # what a page marks as its article or main needs only a missing title
+            before = (before or n == first - 1) and (heading and not title if marked else alone)
+        if kept or n < first and before or first < n and after and alone:
+            out.append(texts)
+            after = True
+    return [text for texts in reversed(out) for text in texts]
 
 
 def main_text(html: str) -> str:
@@ -307,11 +376,7 @@ def main_text(html: str) -> str:
     if not page.blocks:
         return ""
     _score(page)
-    keep = _kept(page)
-    inside: dict[int, bool] = {}
-    for node in page.nodes:
-        inside[id(node)] = id(node) in keep or (node.parent is not None and inside[id(node.parent)])
-    return "\n".join(text for node, text, _ in page.blocks if inside[id(node)])
+    return "\n".join(_chosen(page))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

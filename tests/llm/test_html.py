@@ -46,6 +46,24 @@ def test_forms_are_decided_on_by_what_they_hold(page, text):
     assert got == text if text else "up here" not in got and "Mail" not in got and WORDS in got
 
 
+B = "<h2>B</h2><p>Some sixty letters of text that end a page, in one short line.</p>"
+END = "B\nSome sixty letters of text that end a page, in one short line."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<main><section>{PROSE * 6}</section><section>{B}</section></main>", "\n".join([WORDS] * 6 + [END])),
+    (f"<div><section>{PROSE * 6}</section><section>{B}</section></div>", "\n".join([WORDS] * 6 + [END])),
+    (f"<body><main><h1>Title</h1><div>{PROSE * 12}</div></main>", "\n".join(["Title"] + [WORDS] * 12)),
+    (f"<body><div><h1>Title</h1><p>Lead.</p><div>{PROSE * 3}</div></div>", "\n".join(["Title", "Lead."] + [WORDS] * 3)),
+    (f"<body><h1>Title</h1><main>{PROSE * 3}</main><p><a href=x>More</a></p>", "\n".join(["Title"] + [WORDS] * 3)),
+    (f"<body><h1>Site</h1><p>Slogan.</p><article><h1>Title</h1>{PROSE}</article>", f"Title\n{WORDS}"),
+    (f"<body><div class=c>{PROSE * 3}</div><h2>Mid</h2><div>Note.</div><div><a href=x>Out</a></div><div class=c>{PROSE * 3}</div>",
+     "\n".join([WORDS] * 3 + ["Mid", "Note."] + [WORDS] * 3)),
+])
+def test_headings_and_short_parts_beside_the_prose_stay(page, text):
+    assert main_text(page) == text
+
+
 @pytest.mark.parametrize("page, text", [
     ("", ""), (" \n", ""), ("plain text, no markup", "plain text, no markup"), ("<p>cut <b", "cut"), ("a &am", "a &am"), ("<article></article>", ""),
     ("<script>x", ""), ("<!-- x", ""), ("</p></div>", ""), ("<article><h1>T</h1><p>Short.</article><div class=ad>A far longer text, with commas, that is an advert.</div>", "T\nShort."),
