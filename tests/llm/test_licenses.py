@@ -72,3 +72,71 @@ def test_cases(spark):
     got = license_scan(docs.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))))
     assert got.count() == docs.count() and [r.license for r in got.where("doc_id = -5").collect()] == ["MIT"]
     assert license_scan(files_of(none(spark))).count() == 0
+
+
+GPL = """/* frob.c
+ * Copyright 2020 A. Author
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ */
+"""
+BSD = """Copyright (c) 2019, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_TEXT = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+
+
+def test_wrapped_notices_and_whole_texts(spark):
+    code = "\n".join(f"int f{n}(use, copy, of, the, software) {{ return any; }}" for n in range(400))
+    mit = TEMPLATES[21][2]
+    mit = "".join(f"// {line}\n" for line in re.findall(r".{1,70}(?: |$)", mit))
+    rows = [
+        ("a/x.c", GPL.format(3) + code), ("b/y.c", GPL.format(2) + code), ("c/LICENSE", BSD.format("")), ("d/LICENSE", BSD.format(THIRD)), ("d/z.c", code),
+        ("e/m.c", code + "\n" + mit + code), ("f/COPYING", GPL_TEXT + "words of the text\n" * 300 + GPL.format(3)), ("g/n.c", code), ("h/t.c", "the use of the License"),
+        ("i/w.c", "# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+                  "# file, You can obtain one at https://mozilla.org/MPL/2.0/.\n" + code)]
+    got = {r.path: (r.license, r.origin) for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "a/x.c": ("GPL-3.0-or-later", "header"), "b/y.c": ("GPL-2.0-or-later", "header"), "c/LICENSE": ("BSD-2-Clause", "file"),
+        "d/LICENSE": ("BSD-3-Clause", "file"), "d/z.c": ("BSD-3-Clause", "inherited"), "e/m.c": ("MIT", "header"), "f/COPYING": ("GPL-3.0-only", "file"),
+        "g/n.c": (None, "none"), "h/t.c": (None, "none"), "i/w.c": ("MPL-2.0", "header")}
