@@ -261,9 +261,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, block_chars: int =
 
 
 def without_passages(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of `documents` in which no item is found, with all their columns and without a shuffle.
+    """The rows of `documents` in which no item is found, with all their columns.
 
-    Every row is judged by its own text, also rows with null or repeated ids.
+    Every row is judged by its own text, also rows with null or repeated ids. A benchmark of one block is
+    one pass without a shuffle. Of a larger one each block is a pass that writes the digests of the texts
+    in which it is found, so that no task, plan or driver holds more than one block; the rows with such
+    a text are taken out by an anti-join.
     """
     def clean(items: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +276,23 @@ def without_passages(documents: DataFrame, benchmark: DataFrame, block_chars: in
                 yield batch.filter(pa.array([not searcher.hits(normal(t)[0]) for t in texts], pa.bool_()))
         return run
 
+    def hit(items: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(items)
+            for batch in batches:
+                texts = strings(batch.column("text")).to_pylist()
+                yield batch.select(["digest"]).filter(pa.array([bool(searcher.hits(normal(t)[0])) for t in texts], pa.bool_()))
+        return run
+
+    total = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct().agg(F.sum(F.length("text"))).first()[0]
+    if (total or 0) <= block_chars:
+        for block in _blocks(benchmark, block_chars):
+            documents = documents.mapInArrow(clean(block), documents.schema)
+        return documents
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    texts = documents.select("text", digest.alias("digest")).where("text IS NOT NULL")
+    found = None
     for block in _blocks(benchmark, block_chars):
-        documents = documents.mapInArrow(clean(block), documents.schema)
-    return documents
+        digests = written(texts.mapInArrow(hit(block), "digest string").distinct(), "digests")
+        found = digests if found is None else found.unionAll(digests)
+    return documents.join(found.select(F.col("digest").alias("found_digest")), digest == F.col("found_digest"), "left_anti")

@@ -73,3 +73,16 @@ def test_whole_table(spark):
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, items).where("distance = 0").collect()}
     want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if f" {item_text(i.text)} " in f" {item_text(d.text or '')} "}
     assert got >= want and want
+
+
+def test_many_blocks_leave_no_block_in_the_plan(spark, capsys):
+    docs = documents(spark)
+    items = spark.createDataFrame([(1, "one two"), (2, "straße"), (3, "a new sentence that is found nowhere"), (1, "one two")], ITEMS)
+    one, many = without_passages(docs, items), without_passages(docs, items, block_chars=10)
+    count = lambda df: sorted(map(str, df.collect()))
+    assert many.columns == docs.columns and count(many) == count(one) and len(count(one)) < docs.count()
+    capsys.readouterr()
+    many.explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    one.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
