@@ -4,7 +4,7 @@ A text's tokens (runs without white space, cut at 12 code points, so that unspac
 too) give k-mers of three tokens; the k-mer's occurrences are numbered. Every numbered k-mer is hashed
 once; the upper bits of the hash choose one of 64 orders (one permutation, cut into bins, stands for
 independent permutations). Each order keeps its two least k-mers, puts them back into text order and
-hashes the pair. Texts that share k-mers in another order share no pair, unlike with plain MinHash.
+hashes the pair; an order with fewer takes what it lacks from the next order that has k-mers. Texts that share k-mers in another order share no pair, unlike with plain MinHash.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ LEAST_KEY = -(1 << 63)
 
 
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
-    """`df` with an array of longs: for every order that is not empty, order << 32 | hash of its pair.
+    """`df` with an array of longs: for every order, order << 32 | hash of its pair.
+
+    A text of one k-mer has that k-mer in its order only, a text without tokens has none.
 
     The steps are columns of their own, each used more than once by the next, so that Spark computes
     each once; long arrays are sorted in generated code.
@@ -63,16 +65,29 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
         F.size("om_o") > 0, F.transform("om_s", lambda x, i: hashed(x, F.coalesce(F.get("om_o", i), F.lit(0))))
     ).otherwise(F.transform("om_s", lambda x: hashed(x, F.lit(0))))))
 
+    # where the order changes stands its least k-mer; an order starts there or, if it has none, where the next one
+    # does, and the last orders at the first again
+    filled = F.size("om_q")
+    step = step.withColumn("om_g", F.when(filled > 1, F.filter(
+        F.sequence(F.lit(0), filled - 1), lambda i: (i == 0) | (order(F.get("om_q", i)) != order(F.get("om_q", i - 1))))).otherwise(empty))
+    at = lambda j: order(F.get("om_q", F.get("om_g", j))).cast("int")
+    half = 1 << ORDER_BITS - 1
+    starts = F.flatten(F.transform("om_g", lambda g, j: F.array_repeat(g, at(j) - F.when(j > 0, at(j - 1)).otherwise(-half - 1))))
+    step = step.withColumn("om_b", F.when(filled > 1, F.concat(
+        starts, F.array_repeat(F.lit(0), half - 1 - at(F.size("om_g") - 1)))).otherwise(empty))
+
+    def entry(order: Column, hashed: Column) -> Column:
+        return F.shiftleft(order.cast("long"), 32).bitwiseOR(hashed.bitwiseAND(F.lit((1 << 32) - 1)))
+
     def pair(one: Column, two: Column) -> Column:
         a, b = place(one), place(two)
-        h = F.when(order(one) == order(two), F.xxhash64(F.get("om_h", F.least(a, b)), F.get("om_h", F.greatest(a, b)))).otherwise(
-            F.xxhash64(F.get("om_h", a)))
-        return F.shiftleft(order(one) + (1 << ORDER_BITS - 1), 32).bitwiseOR(h.bitwiseAND(F.lit((1 << 32) - 1)))
-
-    # where the order changes stands its least k-mer, the second least follows
-    entry = F.array_compact(F.transform("om_q", lambda x, i: F.when(
-        (i == 0) | (order(x) != order(F.get("om_q", i - 1))), pair(x, F.get("om_q", i + 1)))))
-    return step.select(*kept, entry.alias(out))
+        return F.xxhash64(F.get("om_h", F.least(a, b)), F.get("om_h", F.greatest(a, b)))
+
+    pairs = F.transform("om_b", lambda i, k: entry(k, pair(F.get("om_q", i), F.get("om_q", F.when(i + 1 < filled, i + 1).otherwise(0)))))
+    only = F.get("om_q", F.lit(0))
+    entries = F.when(filled > 1, pairs).when(filled == 1, F.array(entry(order(only) + half, F.xxhash64(F.get("om_h", place(only)))))).otherwise(
+        F.array().cast("array<bigint>"))
+    return step.select(*kept, entries.alias(out))
 
 
 def signature_text(signature: Column) -> Column:

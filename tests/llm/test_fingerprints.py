@@ -63,6 +63,26 @@ def test_order_counts(spark):
     assert near[0] < 0.75 < near[1] < 1 == near[3]
 
 
+def test_order_counts_in_short_texts(spark):
+    """Every order of a text with two k-mers has a pair, so that rearranged short texts are far apart."""
+    rows = []
+    for size in (20, 40, 64, 130):
+        for seed in range(8):
+            words = [f"{w}{n}" for n, w in enumerate(prose(seed, size).split()[:size])]
+            cut = len(words) // 2
+            few = words[:-1] + ["new"]
+            rows.append((size, " ".join(words), " ".join(words[cut:] + words[:cut]), " ".join(few)))
+    signed = spark.createDataFrame(rows, "size int, a string, b string, c string")
+    for text in "abc":
+        signed = with_signature(signed, text, f"s{text}")
+    got = signed.groupBy("size").agg(
+        F.min(F.size("sa")).alias("orders"), F.avg(likeness(F.col("sa"), F.col("sb"))).alias("turned"), F.avg(likeness(F.col("sa"), F.col("sc"))).alias("few")).collect()
+    for r in got:
+        assert r.orders == 64 and r.turned < 0.65 and r.turned < r.few, r
+    one = with_signature(spark.createDataFrame([("a b c",), ("a b c d",), ("",), ("a",)], "t string"), "t", "s")
+    assert [len(r.s) for r in one.collect()] == [1, 64, 0, 1]
+
+
 def test_no_python_in_the_plan(spark, capsys):
     fingerprints(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).explain()
     plan = capsys.readouterr().out
