@@ -3,16 +3,17 @@
 Documents are measured in words plus one end mark. Longer ones than the largest capacity are cut into
 pieces of that capacity and a rest. Pieces are dealt evenly to groups of bounded size by row, and every
 group is packed on its own: pieces in descending order go to the open bin they leave the least room in;
-if none has room, a bin of the size that costs least per token is opened; at the end every bin shrinks
-to the smallest permitted length that holds its contents.
+of bins with equal room the first opened takes it; if none has room, a bin of the size that costs least
+per token is opened; at the end every bin shrinks to the smallest permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
     """Bin and offset of every length, and the capacity of every bin.
 
     The free room of open bins is kept as a bit set, so that the least room that suffices is found
-    without a search. Equal lengths are taken in the order given.
+    without a search. Equal lengths are taken in the order given, and of bins with equal room the first
+    opened is filled.
     """
     sizes = sorted(capacities)
     prices = [cost(c) for c in sizes]
@@ -44,7 +46,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
         fitting = open_rooms >> need
         if fitting:
             space = need + (fitting & -fitting).bit_length() - 1
-            b = room[space].pop()
+            b = heappop(room[space])
             if not room[space]:
                 open_rooms ^= 1 << space
         else:
@@ -60,7 +62,7 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
             rest = space - need
             if not room.setdefault(rest, []):
                 open_rooms |= 1 << rest
-            room[rest].append(b)
+            heappush(room[rest], b)
     final = [next(c for c in sizes if c >= u) for u in used]
     return bins, offsets, final
 
@@ -74,7 +76,7 @@ def packed(documents: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group
     """
     words = F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\x0B\\f\\r]+")), F.lit(0))
     largest = max(capacities)
-    lengths = written(documents.select("doc_id", (words + 1).cast("long").alias("tokens")), "lengths")
+    lengths = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), (words + 1).cast("long").alias("tokens")), "lengths")
     pieces = (
         lengths.withColumn("row", F.monotonically_increasing_id())
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / largest))))
@@ -84,13 +86,15 @@ def packed(documents: DataFrame, capacities: tuple[int, ...] = CAPACITIES, group
     total = lengths.agg(F.sum(F.ceil(F.col("tokens") / largest))).first()[0] or 0
     groups = max(1, -(-int(total) // group_rows))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["row", "piece"], kind="stable")
-        bins, offsets, sizes = pack(frame["n_tokens"].to_numpy(), capacities)
-        frame["bin_id"] = frame["unit"].to_numpy() * (1 << 32) + bins
-        frame["capacity"], frame["offset"] = np.array(sizes, np.int64)[bins], offsets
-        return frame.drop(columns=["row", "unit"])
+    names = ["doc_id", "piece", "first_token", "n_tokens", "bin_id", "capacity", "offset"]
+
+    def one(rows: pa.Table) -> pa.Table:
+        # in Arrow throughout, so that a null among the ids leaves the others as they are
+        rows = rows.sort_by([("row", "ascending"), ("piece", "ascending")])
+        bins, offsets, sizes = pack(rows.column("n_tokens").to_numpy(), capacities)
+        ids = pa.array(rows.column("unit").to_numpy() * (1 << 32) + bins)
+        kept = [rows.column(c) for c in ("doc_id", "piece", "first_token", "n_tokens")]
+        return pa.table([*kept, ids, pa.array(np.array(sizes, np.int64)[bins]), pa.array(offsets)], names=names)
 
     dealt = pieces.withColumn("unit", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
-    schema = "doc_id long, piece long, first_token long, n_tokens long, bin_id long, capacity long, offset long"
-    return dealt.groupBy("unit").applyInPandas(one, schema)
+    return dealt.groupBy("unit").applyInArrow(one, ", ".join(f"{c} long" for c in names))

@@ -52,3 +52,14 @@ def test_cases(spark):
         want[r.doc_id] += 1 + len((r.text or "").replace(" ", "x").split())
     assert pieces == want and max(len([r for r in rows if r.doc_id == 11]), 0) == 15
     assert packed(none(spark)).count() == 0
+
+
+def test_large_ids_stay_beside_a_null(spark):
+    ids = [None, 2**62 + 1, 2**53 + 1, -(2**60) - 1]
+    docs = spark.createDataFrame([(i, "one two") for i in ids], "doc_id long, text string")
+    assert sorted((r.doc_id for r in packed(docs).collect()), key=str) == sorted(ids, key=str)
+
+
+def test_the_first_opened_of_equal_bins_is_filled():
+    bins, offsets, capacity = pack(np.array([5, 5, 3, 3, 3], np.int64), (8,))
+    assert bins.tolist() == [0, 1, 0, 1, 2] and offsets.tolist() == [0, 0, 5, 5, 0] and capacity == [8, 8, 8]
