@@ -28,18 +28,25 @@ def local_session(cpus: str = "8", app: str = "patchsieve") -> SparkSession:
     return spark
 
 
+# folders of local sessions that name none, by application
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only a local session that names none gets a temporary folder of its own.
+    Only a local session that names none gets a temporary folder of its own. It is kept here, as the
+    setting cannot be changed once the session runs.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
-        named = tempfile.mkdtemp(prefix="patchsieve-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named is not None:
+        return named
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="patchsieve-")
+    return _OWN[sc.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
