@@ -8,6 +8,9 @@ both sides meet through equi joins, never through collected sets.
 
 from __future__ import annotations
 
+from collections import Counter
+from math import floor
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,9 +98,10 @@ def file_identity(links: DataFrame, files: DataFrame) -> DataFrame:
     """Which corrective file a candidate file is: (sha, path, method, corrective_path).
 
     Same path; else the first corrective file whose old path equals, or ends, the
-    candidate path; else a path transform. For the ending rule each candidate
-    path offers all its endings, so it is an equi join as well. ``files`` needs
-    ``old_path`` and ``seq`` here; the candidate of a name is its last in ``seq``.
+    candidate path; else a path transform. For the ending rule a candidate path offers
+    the hashes of its endings of the lengths that old paths of the corrective change
+    have; what meets is verified. ``files`` needs ``old_path`` and ``seq`` here; the
+    candidate of a name is its last in ``seq``.
     """
     mine = links.where(F.col("corrective").isNotNull()).select("sha", "corrective").join(
         files.groupBy("sha", "path").agg(F.max("seq").alias("c_seq")), "sha"
@@ -106,10 +110,16 @@ def file_identity(links: DataFrame, files: DataFrame) -> DataFrame:
     exact = mine.join(
         theirs.select("corrective", F.col("r_path").alias("path"), "seq").distinct(), ["corrective", "path"]
     ).groupBy("sha", "path").agg(F.min(F.struct(F.lit(1).alias("rule"), "seq", F.col("path").alias("to"))).alias("m"))
-    endings = F.explode(F.transform(F.sequence(F.lit(1), F.length("path")), lambda i: F.col("path").substr(i, F.length("path"))))
-    renamed = mine.withColumn("old_path", endings).join(
-        theirs.where(F.col("old_path") != ""), ["corrective", "old_path"]
-    ).groupBy("sha", "path").agg(F.min(F.struct(F.lit(2).alias("rule"), "seq", F.col("r_path").alias("to"))).alias("m"))
+    old = theirs.where(F.col("old_path") != "").select(
+        "corrective", "seq", "r_path", "old_path", F.length("old_path").alias("size"), F.xxhash64("old_path").alias("hash"))
+    # a length is at most that of a path, so these sets stay small
+    sizes = old.groupBy("corrective").agg(F.collect_set("size").alias("sizes"))
+    ends = F.transform(F.filter("sizes", lambda n: n <= F.length("path")), lambda n: F.struct(
+        n.alias("size"), F.xxhash64(F.right("path", n)).alias("hash")))
+    renamed = mine.join(sizes, "corrective").select("sha", "corrective", "path", F.explode(ends).alias("end")).select(
+        "sha", "corrective", "path", "end.size", "end.hash"
+    ).join(old, ["corrective", "size", "hash"]).where(F.endswith("path", F.col("old_path"))).groupBy("sha", "path").agg(
+        F.min(F.struct(F.lit(2).alias("rule"), "seq", F.col("r_path").alias("to"))).alias("m"))
     named = mine.groupBy("sha", "corrective", P.basename(F.col("path")).alias("name")).agg(
         F.max_by("path", "c_seq").alias("path")
     )
@@ -198,23 +208,28 @@ def removed(before: Column, after: Column) -> Column:
 def _pair_lines(left: list[str], right: list[str]) -> list[tuple[str, str, float]]:
     """Pair lines one to one, in order, by the largest token share above the limit.
 
-    Tokens lead from a line to the lines it shares anything with.
+    Lines of so many tokens share more than a known number above the limit, so all but that many of the
+    rarest tokens of a line lead to every other line above it, and common tokens lead nowhere.
     """
     sets = [set(line.split()) for line in right]
-    holders: dict[str, list[int]] = {}
+    held = Counter(token for tokens in sets for token in tokens)
+    holders: dict[int, dict[str, list[int]]] = {}
     for i, tokens in enumerate(sets):
         for token in tokens:
-            holders.setdefault(token, []).append(i)
+            holders.setdefault(len(tokens), {}).setdefault(token, []).append(i)
     taken, out = set(), []
     for line in left:
         tokens = set(line.split())
-        common: dict[int, int] = {}
-        for token in tokens:
-            for i in holders.get(token, ()):
-                if i not in taken:
-                    common[i] = common.get(i, 0) + 1
-        scored = [(n / (len(tokens) + len(sets[i]) - n), -i) for i, n in common.items()]
-        best = max(scored, default=(0.0, 0))
+        rarest = sorted(tokens, key=lambda t: (held[t], t))
+        best = (0.0, 0)
+        for size, lists in holders.items():
+            least = floor(TOKEN_SHARE / (1 + TOKEN_SHARE) * (len(tokens) + size) - 1e-9) + 1
+            if least > min(len(tokens), size):
+                continue
+            near = {i for token in rarest[:len(rarest) - least + 1] for i in lists.get(token, ()) if i not in taken}
+            for i in near:
+                n = len(tokens & sets[i])
+                best = max(best, (n / (len(tokens) + size - n), -i))
         # an empty right line has no tokens and cannot be found here
         if best[0] > TOKEN_SHARE:
             taken.add(-best[1])
@@ -262,44 +277,53 @@ def content_correspondence(df: DataFrame, added: str, gone: str, pair_partially:
     ).withColumn("exact_match_ratio", F.round(n / most, 4)).withColumn("partial_match_ratio", F.round((n + m) / most, 4))
 
 
-def content_restoration(df: DataFrame, parent: str, current: str) -> DataFrame:
-    """Is the corrected file, line by line, the file before the change?"""
-    norm = lambda c: F.transform(L.text_lines(F.col(c)), L.normalize_line)
-    a, b = F.col("__a"), F.col("__b")
-    out = df.withColumn("__a", norm(parent)).withColumn("__b", norm(current))
-    both = F.least(F.size(a), F.size(b))
-    most = F.greatest(F.size(a), F.size(b))
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda z: z))
-    known = a.isNotNull() & b.isNotNull()
-    restored = F.when(known, (F.size(a) == F.size(b)) & (same == most)).otherwise(False)
+def restoration_of(df: DataFrame, before: Column, now: Column) -> DataFrame:
+    """Are two arrays of lines, null where there is no file, the same line by line?"""
+    both = F.least(F.size(before), F.size(now))
+    most = F.greatest(F.size(before), F.size(now))
+    out = df.withColumn("__same", F.size(F.filter(F.zip_with(before, now, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda z: z)))
+    same = F.col("__same")
+    known = before.isNotNull() & now.isNotNull()
+    restored = F.when(known, (F.size(before) == F.size(now)) & (same == most)).otherwise(False)
     return out.withColumn("restored", restored).withColumn(
         "line_diff_count", F.when(known, both - same + (most - both)).otherwise(-1)
     ).withColumn(
         "similarity_ratio",
         F.when(~known, 0.0).when(most > 0, F.round(same / F.nullif(most, F.lit(0)), 4)).otherwise(1.0),
-    ).drop("__a", "__b")
+    ).drop("__same")
+
+
+def content_restoration(df: DataFrame, parent: str, current: str) -> DataFrame:
+    """Is the corrected file, line by line, the file before the change?"""
+    norm = lambda c: F.transform(L.text_lines(F.col(c)), L.normalize_line)
+    out = df.withColumn("__a", norm(parent)).withColumn("__b", norm(current))
+    return restoration_of(out, F.col("__a"), F.col("__b")).drop("__a", "__b")
 
 
 def region_overlap(hunks: DataFrame, key: list[str]) -> DataFrame:
     """New-side line ranges of both changes as sets, per pair of files.
 
     ``hunks``  key, is_candidate, new_start, new_count
+    A sweep over the starts and ends: between two of them it is known which sides are open, so the rows
+    follow the regions, not their lines.
     """
-    side = F.when(F.col("is_candidate"), "c").otherwise("r")
-    lines = hunks.where(F.col("new_count") > 0).select(
-        *key, side.alias("side"),
-        F.explode(F.sequence(F.col("new_start"), F.col("new_start") + F.col("new_count") - 1)).alias("line"),
-    )
-    marked = lines.groupBy(*key, "line").agg(
-        F.max(F.col("side") == "c").alias("c"), F.max(F.col("side") == "r").alias("r")
-    )
-    both = F.col("c") & F.col("r")
-    line = F.col("line")
-    counted = marked.groupBy(*key).agg(
-        F.count_if(both).alias("overlap_lines"),
-        F.min(F.when(both, line)).alias("overlap_start"), F.max(F.when(both, line)).alias("overlap_end"),
-        F.min(F.when(F.col("c"), line)).alias("candidate_start"), F.max(F.when(F.col("c"), line)).alias("candidate_end"),
-        F.min(F.when(F.col("r"), line)).alias("corrective_start"), F.max(F.when(F.col("r"), line)).alias("corrective_end"),
+    start = F.col("new_start").cast("long")
+    mine = F.when(F.col("is_candidate"), 1).otherwise(0)
+    events = hunks.where(F.col("new_count") > 0).select(*key, mine.alias("__m"), F.explode(F.array(
+        F.struct(start.alias("at"), F.lit(1).alias("step")), F.struct((start + F.col("new_count")).alias("at"), F.lit(-1).alias("step")),
+    )).alias("__e"))
+    step = F.col("__e.step")
+    points = events.groupBy(*key, F.col("__e.at").alias("at")).agg(
+        F.sum(step * F.col("__m")).alias("__c"), F.sum(step * (1 - F.col("__m"))).alias("__r"))
+    swept = frame(points, key, [F.col("at")], sums={"__oc": F.col("__c"), "__or": F.col("__r")}, lasts={"__from": F.col("at")})
+    c, r = F.col("__oc") > 0, F.col("__or") > 0
+    first = lambda when: F.min(F.when(when, F.col("__from")))
+    last = lambda when: F.max(F.when(when, F.col("at") - 1))
+    counted = swept.groupBy(*key).agg(
+        F.coalesce(F.sum(F.when(c & r, F.col("at") - F.col("__from"))), F.lit(0)).alias("overlap_lines"),
+        first(c & r).alias("overlap_start"), last(c & r).alias("overlap_end"),
+        first(c).alias("candidate_start"), last(c).alias("candidate_end"),
+        first(r).alias("corrective_start"), last(r).alias("corrective_end"),
     )
     return counted.withColumn("overlap_exists", F.col("overlap_lines") > 0)
 
