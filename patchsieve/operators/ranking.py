@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +123,14 @@ def hashed_int(seed: Column | int, *keys: Column) -> Column:
     return F.pmod(F.pmod(h * 69621 + 7919, F.lit(MODULUS)) * 48271 + 11, F.lit(MODULUS))
 
 
+def hashed_ints(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """The same hash of whole arrays, inside tasks."""
+    h = np.int64(seed % MODULUS)
+    for key in keys:
+        h = (h * 48271 + key % MODULUS * 16807 + 12345) % MODULUS
+    return ((h * 69621 + 7919) % MODULUS * 48271 + 11) % MODULUS
+
+
 def random_baseline(df: DataFrame, seed: int, keys: list[str], name: str = "score") -> DataFrame:
     """One seeded uniform score per row, a pure function of seed and row keys."""
     return df.withColumn(name, hashed_int(seed, *map(F.col, keys)) / F.lit(float(MODULUS)))

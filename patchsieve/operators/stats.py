@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.functions.messages import SIZE_BUCKETS, size_bucket
 from patchsieve.operators.frames import beside, frame, number_rows, percentiles, reused, summary
 from patchsieve.operators.metrics import BUDGETS, budget_values, score_steps, share
-from patchsieve.operators.ranking import hashed_int
+from patchsieve.operators.ranking import hashed_ints
 
 # ---- bootstrap ------------------------------------------------------------------
 
+_RANGE_GROUPS = 8_192  # a range's draws are counted in a table of this width, one row per replicate
+
 
 def metric_columns(budgets=BUDGETS) -> dict[str, Column]:
     """Per-group metrics of ``group_counts`` rows, null without positives."""
@@ -27,19 +32,60 @@ def metric_columns(budgets=BUDGETS) -> dict[str, Column]:
     return out
 
 
-def _draws(numbered: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(replicate, idx): as many hashed draws per replicate as there are groups.
+def _pack_draws(replicates: int, seed: int, n: int, span: int):
+    """(range, draws): what the groups of a batch draw, dealt to ranges of `span` groups.
 
-    Every group makes its own draw in every replicate, so the grid is spread like
-    the groups are.
+    Every group makes its own draw in every replicate. A draw takes four bytes, its place in the range and
+    its replicate, and the draws of many groups go along in one row.
     """
-    n = numbered.agg(F.count(F.lit(1)).alias("__n"))
-    grid = beside(numbered.select(F.col("idx").alias("__d")), n).select(
-        "__d", "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    )
-    return grid.select(
-        "replicate", F.pmod(hashed_int(seed, F.col("replicate"), F.col("__d")), F.col("__n")).alias("idx")
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replicate = np.arange(replicates, dtype=np.int64)[None]
+        for batch in batches:
+            own = batch.column("idx").to_numpy()
+            for lo in range(0, len(own), 1_000):
+                drawn = hashed_ints(seed, replicate, own[lo:lo + 1_000, None]) % n
+                order = np.argsort(drawn, axis=None, kind="stable")
+                drawn = drawn.ravel()[order]
+                packed = np.empty((len(order), 2), np.uint16)
+                packed[:, 0], packed[:, 1] = drawn % span, order % replicates
+                at = drawn // span
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                rows = [packed[s:e].tobytes() for s, e in zip(first, [*first[1:], len(at)])]
+                yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(rows, pa.binary())], names=["range", "draws"])
+    return run
+
+
+def _fold_draws(names: list[str], replicates: int, span: int, once: bool):
+    """Per replicate, the sums and counts of the metrics of the groups of a range that were drawn."""
+    def run(groups: pa.Table, draws: pa.Table) -> pa.Table:
+        values = np.column_stack([groups.column(c).to_numpy().astype(float) for c in names])
+        place = groups.column("idx").to_numpy() % span
+        there = ~np.isnan(values)
+        packed = np.frombuffer(b"".join(x for part in draws.column("draws").chunks for x in part.to_pylist()), np.uint16).reshape(-1, 2)
+        drawn = np.bincount(packed[:, 1] * np.int64(span) + packed[:, 0], minlength=replicates * span).reshape(replicates, span)[:, place]
+        times = (drawn > 0 if once else drawn).astype(float)
+        sums, counts = times @ np.where(there, values, 0.0), times @ there.astype(float)
+        columns = [pa.array(np.arange(replicates), pa.int32())] + [pa.array(c) for c in np.hstack([sums, counts]).T.copy()]
+        return pa.table(columns, names=["replicate", *[f"s_{c}" for c in names], *[f"c_{c}" for c in names]])
+    return run
+
+
+def _replicate_means(numbered: DataFrame, names: list[str], replicates: int, seed: int, once: bool = False) -> DataFrame:
+    """Means of the drawn groups' metrics, one row per replicate; nulls are left out, nothing drawn gives 0.
+
+    ``numbered``  idx from 0 without gaps, and the metrics. As many draws as groups are made in every
+    replicate; with ``once`` a group counts once in a replicate. Groups are cut into ranges of a bounded
+    size, the draws travel to their range in packed form, and a range gives one row per replicate.
+    """
+    n = numbered.count()
+    partitions = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = max(1, min(_RANGE_GROUPS, -(-n // partitions)))
+    draws = numbered.select("idx").mapInArrow(_pack_draws(replicates, seed, n, span), "range long, draws binary")
+    placed = numbered.withColumn("range", F.floor(F.col("idx") / span))
+    schema = "replicate int, " + ", ".join([f"s_{c} double" for c in names] + [f"c_{c} double" for c in names])
+    parts = placed.groupBy("range").cogroup(draws.groupBy("range")).applyInArrow(_fold_draws(names, replicates, span, once), schema)
+    return parts.groupBy("replicate").agg(*[
+        F.coalesce(share(F.sum(f"s_{c}"), F.sum(f"c_{c}")), F.lit(0.0)).alias(c) for c in names])
 
 
 def _number_groups(groups: DataFrame, key: list[str]) -> DataFrame:
@@ -64,10 +110,7 @@ def bootstrap_ci(
     """Intervals of the macro metrics; a group drawn twice counts twice."""
     metrics = metric_columns(budgets)
     numbered = _number_groups(counts.select(*key, *[e.alias(n) for n, e in metrics.items()]), key).drop(*key)
-    per = _draws(numbered, replicates, seed).join(numbered, "idx").groupBy("replicate").agg(
-        *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in metrics]
-    )
-    return _interval(per, list(metrics))
+    return _interval(_replicate_means(numbered, list(metrics), replicates, seed), list(metrics))
 
 
 def paired_bootstrap(
@@ -90,11 +133,7 @@ def paired_bootstrap(
     # is the mean of the differences
     gaps = joined.select(*key, *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names])
     numbered = _number_groups(gaps, key).drop(*key)
-    drawn = _draws(numbered, replicates, seed).distinct()
-    per = drawn.join(numbered, "idx").groupBy("replicate").agg(
-        *[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names]
-    )
-    return _interval(per, names)
+    return _interval(_replicate_means(numbered, names, replicates, seed, once=True), names)
 
 
 # ---- two samples ------------------------------------------------------------------

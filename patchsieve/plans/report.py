@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from patchsieve.operators import attribution as A
 from patchsieve.operators import report as R
 from patchsieve.operators.frames import reused
-from patchsieve.plans.registry import query, rounded
+from patchsieve.plans.registry import query
 
 VECTOR_SIZE = 64
 
@@ -208,7 +208,7 @@ SELECT o.sha, o.prefix, o.corrective, o.label_source, candidate_files, correctiv
   CASE WHEN l3.prefix IS NOT NULL THEN l3.corrective WHEN l2.prefix IS NOT NULL THEN l2.corrective WHEN o.prefix IS NOT NULL THEN o.corrective END AS chain_end,
   chain_end IS NOT NULL AS chain_terminates,
   array_to_string(list_sort(list_filter(['added', 'deleted', 'renamed', 'modified'], lambda s: list_contains(st.kinds, s) AND list_contains(coalesce(sc.kinds, []), s))), ',') AS status_overlap,
-  round(round(cosine, 6), 5) AS cosine_similarity, round(round(distance, 6), 5) AS euclidean_distance, tests AS test_count, sizes.n - tests AS prod_count,
+  round(cosine, 6) AS cosine_similarity, round(distance, 6) AS euclidean_distance, tests AS test_count, sizes.n - tests AS prod_count,
   tests > 0 AND tests < sizes.n AS has_both,
   CASE WHEN corrective_files > 0 THEN round(overlap_files / corrective_files, 4) END AS overlap_ratio,
   CASE WHEN corrective_files > 0 THEN round(overlap_files / candidate_files, 4) END AS narrowing_ratio
@@ -224,7 +224,7 @@ def changes_report(t):
 
 @query("attribution_report_changes", f"WITH {REPORT_CHANGES_SQL}")
 def attribution_report_changes(t):
-    return rounded(changes_report(t).drop("added_in_both", "deleted_in_both", "renamed_in_both"), 5)
+    return changes_report(t).drop("added_in_both", "deleted_in_both", "renamed_in_both")
 
 
 @query("attribution_report_nested", f"""WITH RECURSIVE {REPORT_FILES_SQL}

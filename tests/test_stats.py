@@ -182,3 +182,22 @@ def test_logistic_separates(spark):
     df = spark.createDataFrame([(float(i), float(i % 7), float(i > 60)) for i in range(100)], "a double, b double, label double")
     scored = L.probability(L.fit_balanced_logistic(df, ["a", "b"], "label", 50), df).withColumn("y", F.col("label") == 1)
     assert M.ranking_areas(scored, "score", "y").first()["roc_auc"] > 0.99
+
+
+@pytest.mark.parametrize("span", [1, 3, 8_192])
+def test_draws_dealt_to_ranges_are_the_plain_draws(spark, monkeypatch, span):
+    """Ranges without a draw, groups without a metric and duplicates, against draws in plain Python."""
+    monkeypatch.setattr(S, "_RANGE_GROUPS", span)
+    values = [0.5, None, 2.0, 3.25, None, 7.0, -1.0]
+    df = spark.createDataFrame(list(enumerate(values)), "idx long, m double")
+    for once in (False, True):
+        got = {r.replicate: r.m for r in S._replicate_means(df, ["m"], 9, 42, once).collect()}
+        for r in range(9):
+            h = 42
+            drawn = []
+            for d in range(len(values)):
+                h = (42 * 48271 + r * 16807 + 12345) % MODULUS
+                h = (h * 48271 + d * 16807 + 12345) % MODULUS
+                drawn.append(((h * 69621 + 7919) % MODULUS * 48271 + 11) % MODULUS % len(values))
+            known = [values[i] for i in (set(drawn) if once else drawn) if values[i] is not None]
+            assert got[r] == pytest.approx(sum(known) / len(known) if known else 0.0)
