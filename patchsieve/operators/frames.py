@@ -3,10 +3,12 @@
 A plain ``Window.partitionBy(group)`` puts a whole group into one task. Here every
 group of more than its share of the rows is cut into ordered slices at sampled
 split values; a slice is a window partition of its own, and the totals of the
-earlier slices are added afterwards. Sizes, samples and split values are part of
+earlier slices are added afterwards. Samples, sizes and split values are part of
 the plan: nothing is collected, and there is one route for every input. The share
-follows the rows and the shuffle partitions, so that there are a few slices for
-each partition at most; the split values only decide how the work is spread.
+follows the rows and the shuffle partitions, and is no less than what a task sorts
+with ease (``patchsieve.sliceRows``); the split values only decide how the work is
+spread. Samples, slice totals and offsets hang on the large groups by inner joins:
+where there is none, adaptive execution finds those branches empty and skips them.
 
 Order columns are given in ascending form (negate a number to sort it
 downwards) and must be unique within a group. Null group values are a group.
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 from patchsieve.session import cut_lineage
 
 SLICES_PER_PARTITION = "patchsieve.slicesPerPartition"
+SLICE_ROWS = "patchsieve.sliceRows"
 _DEFAULT_SLICES = 4
+_DEFAULT_ROWS = 250_000
 _SAMPLES_PER_SLICE = 40
-_STEP = 24
-_BLOCK_ROWS = 10_000
 
 
 def _slice_count(df: DataFrame) -> int:
@@ -50,7 +52,10 @@ def _group_columns(group: list[str]) -> list[Column]:
 
 
 def _by_group(left: DataFrame, right: DataFrame, group: list[str], how: str) -> DataFrame:
-    """Join on the group, nulls equal; the right side's group columns go."""
+    """Join on the group, nulls equal; the right side's group columns go.
+
+    A right side for slices has rows for slices alone, and a null slice is none.
+    """
     if not group:
         return left.join(right, F.lit(True), how)
     other = right.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], *[c for c in right.columns if c not in group])
@@ -62,35 +67,57 @@ def _by_group(left: DataFrame, right: DataFrame, group: list[str], how: str) ->
 
 
 def _splits(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Group columns of the large groups, __splits (sorted order structs) and __coarse, every _STEP-th of them.
+    """Group columns of the large groups and __splits, sorted order structs.
 
-    A group is large if it has more rows than a slice; there are at most as many
-    such groups as slices, and their samples are a fixed number for each slice.
+    Sizes are told from a sample, picked by a hash of the order values so that it is repeatable; it is
+    dense enough for the smallest slice, and what follows works on the sample alone. A group is large if it
+    has more rows than a slice; there are about as many such groups as slices at most, and the samples
+    that become splits are a fixed number for each slice.
     """
     slices = _slice_count(df)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    aim = sizes.agg(F.greatest(F.lit(1), F.floor(F.sum("__n") / slices)).alias("__aim"))
-    large = beside(sizes, aim).where(F.col("__n") > F.col("__aim"))
-    every = F.greatest(F.lit(1), F.floor(F.col("__aim") / _SAMPLES_PER_SLICE))
+    least = int(df.sparkSession.conf.get(SLICE_ROWS, str(_DEFAULT_ROWS)))
+    rate = max(1, least // _SAMPLES_PER_SLICE)
     keyed = df.select(*group, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("__o"))
-    # the sample is picked by a hash of the order values, so it is repeatable
-    picked = _by_group(keyed, large.select(*group, "__aim"), group, "inner").where(F.pmod(F.xxhash64("__o"), every) == 0)
+    sampled = keyed.withColumn("__h", F.xxhash64("__o")).where(F.pmod("__h", F.lit(rate)) == 0)
+    sizes = sampled.groupBy(*group).agg((F.count(F.lit(1)) * rate).alias("__n"))
+    aim = sizes.agg(F.greatest(F.lit(least), F.floor(F.sum("__n") / slices)).alias("__aim"))
+    large = beside(sizes.where(F.col("__n") > least), aim).where(F.col("__n") > F.col("__aim"))
+    every = F.greatest(F.lit(1), F.floor(F.col("__aim") / (_SAMPLES_PER_SLICE * rate)))
+    picked = _by_group(sampled, large.select(*group, "__aim"), group, "inner").where(F.pmod(F.floor(F.col("__h") / rate), every) == 0)
     per = F.greatest(F.lit(1), F.least(F.lit(_SAMPLES_PER_SLICE), F.max("__aim"))).cast("int")
     found = picked.groupBy(*group).agg(F.array_sort(F.collect_list("__o")).alias("__s"), per.alias("__per"))
-    found = found.select(*group, F.filter("__s", lambda s, i: (i % F.col("__per")) == F.col("__per") - 1).alias("__splits"))
-    return found.withColumn("__coarse", F.filter("__splits", lambda s, i: (i % _STEP) == _STEP - 1))
+    # without a group this aggregation has a row even if nothing is large
+    return found.where(F.col("__per").isNotNull() & (F.size("__s") > 0)).select(
+        *group, F.filter("__s", lambda s, i: (i % F.col("__per")) == F.col("__per") - 1).alias("__splits"))
+
+
+def _below(splits: Column, value: Column, most: int) -> Column:
+    """How many of the sorted splits (at most ``most``) are not above a value, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, most).bit_length()))])
+
+    def step(at: Column, n: Column) -> Column:
+        further = (at + n <= F.size(splits)) & (F.get(splits, at + n - 1) <= value)
+        return F.when(further, at + n).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
 
 
-def _with_slice(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Add __o, the order values as a struct, and __slice, null in groups that are not cut."""
-    keyed = df.withColumn("__o", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    keyed = _by_group(keyed, _splits(df, group, order), group, "left")
-    below = lambda values: F.size(F.filter(values, lambda s: s <= F.col("__o")))
-    keyed = keyed.withColumn("__coarse_n", F.coalesce(below(F.col("__coarse")), F.lit(0)))
-    fine = below(F.slice("__splits", F.col("__coarse_n") * _STEP + 1, F.lit(_STEP)))
-    return keyed.withColumn(
-        "__slice", F.when(F.col("__splits").isNotNull(), F.col("__coarse_n") * _STEP + fine)
-    ).drop("__splits", "__coarse", "__coarse_n")
+def _order_names(order: list[Column]) -> list[str]:
+    return [f"__o{i}" for i in range(len(order))]
+
+
+def _sliced(df: DataFrame, group: list[str], order: list[Column], splits: DataFrame, how: str) -> DataFrame:
+    """Add the order values, each (__o0, ...) and as a struct (__o), and __slice.
+
+    Groups that are not cut have a null slice; an inner join leaves them out.
+    """
+    names = _order_names(order)
+    keyed = df.select("*", *[o.alias(n) for o, n in zip(order, names)])
+    value = F.struct(*[F.col(n).alias(f"o{i}") for i, n in enumerate(names)])
+    keyed = _by_group(keyed, splits, group, how)
+    # samples vary, so there may be more splits than slices
+    at = _below(F.col("__splits"), value, 4 * _slice_count(df) + 64)
+    return keyed.select(*[c for c in keyed.columns if c != "__splits"], value.alias("__o"), F.when(F.col("__splits").isNotNull(), at).alias("__slice"))
 
 
 def frame(
@@ -116,9 +143,11 @@ def frame(
     sums, lasts, maxes, totals = sums or {}, lasts or {}, maxes or {}, totals or {}
     columns = df.columns
     end = 0 if inclusive else -1
-    df = _with_slice(df, group, order)
+    splits = _splits(df, group, order)
+    cut = _sliced(df, group, order, splits, "inner")
+    df = _sliced(df, group, order, splits, "left")
     base = Window.partitionBy(*_group_columns(group), "__slice")
-    ordered = base.orderBy("__o")
+    ordered = base.orderBy(*_order_names(order))
     running = ordered.rowsBetween(Window.unboundedPreceding, end)
     inner = df.select(
         *columns,
@@ -130,8 +159,7 @@ def frame(
         *[F.sum(e).over(base).alias(f"__t_{n}") for n, e in totals.items()],
     )
     per_slice = (
-        df.where(F.col("__slice").isNotNull())
-        .groupBy(*group, "__slice")
+        cut.groupBy(*group, "__slice")
         .agg(
             F.count(F.lit(1)).alias("__n"),
             *[F.sum(e).alias(f"__ps_{n}") for n, e in sums.items()],
@@ -153,12 +181,7 @@ def frame(
         *[F.sum(f"__pt_{n}").over(whole).alias(f"__ot_{n}") for n in totals],
     )
     # rows of groups that are not cut have a null slice and meet no offset
-    names = [*group, "__slice"]
-    other = offsets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(names)], *[c for c in offsets.columns if c not in names])
-    match = F.col("__slice") == F.col(f"__g{len(group)}")
-    for i, c in enumerate(group):
-        match = match & F.col(c).eqNullSafe(F.col(f"__g{i}"))
-    joined = inner.join(F.broadcast(other), match, "left")
+    joined = _by_group(inner, offsets, [*group, "__slice"], "left")
     zero = F.lit(0)
     return joined.select(
         *columns,
@@ -179,19 +202,22 @@ def with_previous(
 ) -> DataFrame:
     """Add the entries of the last n rows up to this one, oldest first, as an array.
 
-    The rows are numbered and cut into blocks; the last n - 1 rows of a block are
-    copied to the next one, so that no block looks back and no group is one task.
+    In a group that is cut, a slice is handed the last n - 1 entries before it, which are found among the
+    last n - 1 rows of every slice.
     """
     columns = df.columns
-    block = max(_BLOCK_ROWS, n)
-    numbered = number_rows(df.withColumn("__e", entry), group, order, "__r").withColumn(
-        "__block", F.floor((F.col("__r") - 1) / block)
-    )
-    reach = F.when((F.col("__r") - 1) % block > block - n, F.array("__block", F.col("__block") + 1))
-    copied = numbered.withColumn("__at", F.explode(F.coalesce(reach, F.array("__block"))))
-    w = Window.partitionBy(*_group_columns(group), "__at").orderBy("__r").rowsBetween(-(n - 1), 0)
-    out = copied.select("*", F.collect_list("__e").over(w).alias(name))
-    return out.where(F.col("__at") == F.col("__block")).select(*columns, name)
+    splits = _splits(df, group, order)
+    slices = Window.partitionBy(*_group_columns(group), "__slice")
+    whole = Window.partitionBy(*_group_columns(group))
+    cut = _sliced(df.withColumn("__e", entry), group, order, splits, "inner")
+    last = cut.withColumn("__back", F.row_number().over(slices.orderBy(F.desc("__o")))).where(F.col("__back") < n)
+    ends = last.withColumn("__ends", F.collect_list("__e").over(whole.orderBy("__o").rowsBetween(2 - n, 0))).where(F.col("__back") == 1)
+    carried = ends.select(*group, "__slice", F.lag("__ends").over(whole.orderBy("__slice")).alias("__carry"))
+    out = _sliced(df.withColumn("__e", entry), group, order, splits, "left")
+    out = out.select(*columns, "__slice", F.collect_list("__e").over(slices.orderBy(*_order_names(order)).rowsBetween(1 - n, 0)).alias("__own"))
+    both = F.concat(F.coalesce("__carry", F.slice("__own", 1, 0)), "__own")
+    recent = F.slice(both, F.greatest(F.lit(1), F.size(both) - n + 1), n)
+    return _by_group(out, carried, [*group, "__slice"], "left").select(*columns, F.when(F.col("__slice").isNull(), F.col("__own")).otherwise(recent).alias(name))
 
 
 def first_rows(df: DataFrame, group: list[str], order: list[Column], k: int, name="row") -> DataFrame:

@@ -198,10 +198,10 @@ def ambiguous_evidence(
     first = nearest.groupBy(*repo, "pos").agg(F.min("fix").alias("fix")).where(
         F.col("fix") - F.col("pos") <= window
     )
-    timed = reused(frame(
+    timed = frame(
         changes.select(*repo, "pos", "ts"), repo, [F.col("pos")],
         maxes={"__latest": micros(F.col("ts"))}, inclusive=True,
-    ).withColumn("__us", micros(F.col("ts"))))
+    ).withColumn("__us", micros(F.col("ts")))
     at_fix = timed.select(
         *repo, F.col("pos").alias("fix"), F.col("__us").alias("__fix_us"), F.col("__latest").alias("__fix_latest")
     )

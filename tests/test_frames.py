@@ -12,8 +12,10 @@ from patchsieve.operators import frames
 def slices(spark, request):
     """Few and many slices; without any group is a slice, as with plain windows."""
     spark.conf.set(frames.SLICES_PER_PARTITION, request.param)
+    spark.conf.set(frames.SLICE_ROWS, "1")
     yield
     spark.conf.unset(frames.SLICES_PER_PARTITION)
+    spark.conf.unset(frames.SLICE_ROWS)
 
 
 def rows(spark):
@@ -59,12 +61,30 @@ def test_frames_equal_a_loop(spark, slices, group):
 def test_large_groups_are_cut_and_small_ones_are_not(spark, slices):
     """The group of nulls holds a third of the rows."""
     df = rows(spark)
-    got = frames._with_slice(df, ["g"], [-F.col("v"), F.col("seq")]).groupBy("g", "__slice").count().collect()
+    order = [-F.col("v"), F.col("seq")]
+    got = frames._sliced(df, ["g"], order, frames._splits(df, ["g"], order), "left").groupBy("g", "__slice").count().collect()
     cut = [r["count"] for r in got if r["g"] is None]
     assert len(cut) > 1 and max(cut) < 300 * (0.9 if len(cut) < 8 else 0.2)
     assert {r["__slice"] for r in got if str(r["g"]).startswith("s")} == {None}
 
 
+def test_halving_finds_the_place_among_the_splits(spark):
+    cases = [(s, v) for s in ([], [3], [3, 3, 5], list(range(0, 40, 2))) for v in range(-1, 42)]
+    df = spark.createDataFrame(cases, "s array<int>, v int").select("*", frames._below(F.col("s"), F.col("v"), 20).alias("n"))
+    assert all(r.n == sum(x <= r.v for x in r.s) for r in df.collect())
+
+
+def test_branches_for_large_groups_are_skipped_where_there_is_none(spark, tmp_path):
+    """One pass for the sizes and one for the rows: the samples and the totals of slices read nothing."""
+    path = str(tmp_path / "t")
+    rows(spark).write.parquet(path)
+    out = frames.frame(spark.read.parquet(path), ["g"], [F.col("seq")], row="r", sums={"s": F.col("w")})
+    out.collect()
+    # the last plan that adaptive execution settled on
+    final = out._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    assert final.count("Scan parquet") <= 1 and "BroadcastHashJoin" not in final
+
+
 def test_nothing_runs_while_a_frame_is_built(spark):
     df = rows(spark)
     before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
@@ -90,16 +110,17 @@ def test_first_rows_prunes_before_the_shuffle(spark, capsys):
     assert "WindowGroupLimit" in capsys.readouterr().out
 
 
-def test_previous_rows_cross_block_ends(spark, monkeypatch):
-    monkeypatch.setattr(frames, "_BLOCK_ROWS", 7)
+@pytest.mark.parametrize("group", [["g"], []])
+@pytest.mark.parametrize("n", [1, 2, 4, 50])
+def test_previous_rows_cross_slice_ends(spark, slices, group, n):
     df = rows(spark)
-    out = frames.with_previous(df, ["g"], [F.col("seq")], 4, F.col("seq"), "p")
+    out = frames.with_previous(df, group, [F.col("seq")], n, F.col("seq"), "p")
     got = {r["seq"]: list(r["p"]) for r in out.collect()}
     groups = {}
     for r in sorted(df.collect(), key=lambda r: r["seq"]):
-        members = groups.setdefault(r["g"], [])
+        members = groups.setdefault(r["g"] if group else None, [])
         members.append(r["seq"])
-        assert got[r["seq"]] == members[-4:]
+        assert got[r["seq"]] == members[-n:]
     assert len(got) == 900
 
 
