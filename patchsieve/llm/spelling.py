@@ -5,8 +5,9 @@ the three rarest with their ties. Two disjoint bigrams of the prefix, the pivots
 programming so that their lists are shortest. One edit leaves one of two disjoint pivots whole, and of
 two near words the pivot of that whose prefix ends earlier stands in the prefix of the other. So pivots
 are indexed against prefixes, by position limits: the edit is on one side of the pivot, so the text on
-its other side is the same, which tells its place from the start or from the end; lengths differ by one
-at most. What meets is verified by its edit distance.
+its other side is the same, which tells its place from the start or from the end; and of the edited side
+the first or the last two letters are the same. What meets, with lengths that differ by one at most, is
+verified by its edit distance.
 """
 
 from __future__ import annotations
@@ -73,23 +74,32 @@ def pivots(grams: list[tuple[int, str, int]], needed: int = 2) -> list[tuple[int
     return free[needed][1]
 
 
-def _keys(word: str, gram: str, place: int, length: int) -> list[int]:
-    """The gram with the whole text before it, and with the whole text after it, in a word of a given length."""
-    parts = (f"<{length} {gram} {word[:place]}", f">{length} {gram} {word[place + 2:]}")
+def _keys(word: str, gram: str, place: int, pivot: bool) -> list[int]:
+    """The gram, the whole text on one side of it, and two letters of the side that may be edited.
+
+    One edit of four letters or more leaves the first or the last two of them, if not both. A shorter side
+    is not told by its letters; as the edit may shorten or lengthen it, a prefix gram has both forms around
+    that length.
+    """
+    left, right, parts = word[:place], word[place + 2:], []
+    for same, edited in ((f"<{gram} {left}", right), (f">{gram} {right}", left)):
+        if len(edited) >= (4 if pivot else 3):
+            parts += [f"{same} ^{edited[:2]}", f"{same} ${edited[-2:]}"]
+        if len(edited) < (4 if pivot else 5):
+            parts.append(same)
     return [xxhash.xxh3_64_intdigest(p.encode()) for p in parts]
 
 
 def _entries(counts: dict[str, int]):
-    """(word, n, pivot, key): a pivot is sought in words of its own length and one more or less."""
+    """(word, n, pivot, key) of the pivots and of the prefix grams of every word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                grams, size = prefix_grams(word, counts), len(word)
-                for _, gram, place in grams:
-                    rows += [(word, n, False, k) for k in _keys(word, gram, place, size)]
-                for _, gram, place in pivots(grams):
-                    rows += [(word, n, True, k) for other in (size - 1, size, size + 1) for k in _keys(word, gram, place, other)]
+                grams = prefix_grams(word, counts)
+                for pivot, chosen in ((False, grams), (True, pivots(grams))):
+                    keys = {k for _, gram, place in chosen for k in _keys(word, gram, place, pivot)}
+                    rows += [(word, n, pivot, k) for k in keys]
             word, n, pivot, key = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(pivot, pa.bool_()), pa.array(np.array(key, np.uint64).view(np.int64))],
@@ -101,9 +111,10 @@ def near_words(words: DataFrame) -> DataFrame:
     """Pairs (word, n, other, other_n), both ways, of words that one insertion, deletion or replacement joins."""
     counts = gram_counts(words)
     entries = written(words.mapInArrow(_entries(counts), "word string, n long, pivot boolean, key long"), "grams")
-    index = entries.where("pivot").select("key", F.col("word").alias("a"), F.col("n").alias("a_n")).distinct()
-    prefix = entries.where("NOT pivot").select("key", F.col("word").alias("b"), F.col("n").alias("b_n")).distinct()
-    apart = (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
+    index = entries.where("pivot").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    prefix = entries.where("NOT pivot").select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    close = F.abs(F.char_length("a") - F.char_length("b")) <= 1
+    apart = (F.col("a") != F.col("b")) & close & (F.levenshtein("a", "b", 1) == 1)
     met = index.join(prefix, "key").where(apart)
     ordered = met.select(
         F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"),
