@@ -2,7 +2,9 @@
 
 Paragraphs pass points for their length and commas to their ancestors, less with every level; an
 ancestor's points are discounted by the share of its text in links. The best container is kept with
-those siblings that score well or hold prose. Page furniture is told by tag, role and class names.
+those siblings that score well or hold prose. Page furniture is told by tag, by role and by class and id names
+that consist of furniture words and neutral ones as a whole; a name that may as well be that of a section
+counts only if what it holds looks like furniture.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -21,9 +24,13 @@ from patchsieve.llm.common import strings
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
-    "ruby rb rt rp img br wbr picture source".split())
+    "ruby rb rt rp img br wbr picture source math mrow mi mn mo mtext ms mspace msup msub msubsup mfrac msqrt mroot mover munder munderover "
+    "mtable mtr mtd mstyle mpadded mphantom mfenced menclose semantics annotation annotation-xml".split())
 _SILENT = frozenset(
-    "head script style noscript template title iframe object svg math canvas audio video map nav footer button select textarea dialog menu input label".split())
+    "head script style noscript template title iframe object svg canvas audio video map nav footer button select textarea dialog menu input label "
+    "annotation annotation-xml".split())
+_CONTROLS = frozenset("input select textarea button".split())
+_IN_PROSE = frozenset("label button".split())  # words of a sentence if they stand in a paragraph outside a form
 _CONTAINERS = frozenset("form fieldset aside".split())  # decided on when the whole page is known
 _CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -31,11 +38,19 @@ _CLOSED_BY = {
 }
 _SCOPES = frozenset("html body div section article main table ul ol dl td th tr form nav aside header footer blockquote".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
-_FURNITURE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adv|nav|gdpr|rail|cta|share|sharing|pager|tags|byline-ads|replies|respond)(?![a-z])"
-    r"|advert|sponsor|promo|banner|side-?_?bar|comment|disqus|cookie|consent|notice|newsletter|subscri|popup|pop-up|modal|overlay"
-    r"|breadcrumb|paginat|navbar|navigation|menu|footer|masthead|social|related|recommend|widget|toolbar|login|signup|sign-up|skip-?link")
-_TOP = re.compile(r"header")
+_NEUTRAL = (
+    "site|page|top|bottom|left|right|main|primary|secondary|inner|outer|box|bar|wrap|wrapper|container|section|block|list|area|items?|panel|group|row|"
+    "col|column|content|posts?|articles?|entry|entries|story|stories|links?|buttons?|icons?|form|field|slot|unit|zone|space|js|text|title|head|header|body|"
+    "global|mobile|desktop|sticky|fixed|floating|module|component|region|holder|placeholder|frame|thread|count|news|topics|reading|read|more|also|you|may|"
+    "like|email|facebook|twitter|google|dfp|policy|media|trail|tool|tools|us|follow|in|up")
+#: kinds of names: always furniture; unless it holds a heading and prose; only if it holds no prose
+_KINDS = (
+    "ads?|adv|adverts?|advertisements?|advertising|advertorial|sponsored|promos?|cookies?|consent|gdpr|side-?_?bar|comments?|disqus|replies|respond|"
+    "newsletter|subscribe|subscription|subscriptions|popup|pop-up|breadcrumbs?|pagination|paginator|pager|nav|navbar|footer|masthead|share|sharing|skip",
+    "notices?|banners?|modal|overlay|menu|navigation|toolbar|login|log-in|signin|sign-in|signup|sign-up|widgets?|rail|cta|tags|sponsors?",
+    "related|recommend|recommended|recommendations?|promotions?|social")
+_NAMED = [re.compile(f"(?:(?:{_NEUTRAL}|{'|'.join(_KINDS)})[^a-z]*)*?(?:{kind})(?:[^a-z]*(?:{_NEUTRAL}|{'|'.join(_KINDS)}))*[^a-z]*") for kind in _KINDS]
+_TOP = re.compile(f"(?:(?:{_NEUTRAL})[^a-z]*)*?header(?:[^a-z]*(?:{_NEUTRAL}))*[^a-z]*")
 _OWN_TOP = re.compile(r"article|post|entry|content|story")
 _BONUS = {"article": 25, "main": 10}
 _CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
@@ -43,13 +58,13 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "names", "silent", "chars", "linked", "points", "items", "holds", "home", "within")
+    __slots__ = ("tag", "parent", "names", "silent", "chars", "linked", "points", "items", "holds", "home", "within", "controls", "heads", "prose")
 
     def __init__(self, tag: str, parent: _Node | None, names: str, silent: bool):
         self.tag, self.parent, self.names, self.silent = tag, parent, names, silent
         self.home = parent.home if parent is not None and tag in _INLINE else self  # the block that text goes to
         self.within = parent is not None and (parent.within or tag in ("article", "main"))
-        self.chars = self.linked = self.items = 0
+        self.chars = self.linked = self.items = self.controls = self.heads = self.prose = 0
         self.points = 0.0
         self.holds = False
 
@@ -129,9 +144,16 @@ class _Page:
             self.link_depth = 0
         self.block = self.stack[-1].home
 
+    def _in_prose(self) -> bool:
+        return self.open["p"] > 0 and not self.open["form"] and not self.stack[-1].silent
+
     def _start(self, tag: str, more: str) -> None:
         stack = self.stack
         inline = tag in _INLINE
+        if tag in _CONTROLS:
+            stack[-1].controls += 1
+        if tag in _IN_PROSE and self._in_prose():
+            return
         if inline:
             if tag == "br":
                 self.run.append(" ")
@@ -190,17 +212,22 @@ class _Page:
 
 
 def _total(page: _Page) -> None:
-    """Letters, letters in links and list items of every element, from below."""
+    """Letters, letters in links, headings, prose and list items of every element, from below."""
     for node in page.nodes:
-        node.chars = node.linked = node.items = 0
+        node.chars = node.linked = node.items = node.heads = node.prose = 0
     for node, text, linked in page.blocks:
         node.chars += len(text)
         node.linked += linked
+        node.heads += node.tag in _HEADINGS
+        if len(text) >= 25 and 2 * linked < len(text) and node.tag not in _HEADINGS:
+            node.prose += len(text) - linked
     for node in reversed(page.nodes):
         up = node.parent
         if up is not None:
             up.chars += node.chars
             up.linked += node.linked
+            up.heads += node.heads
+            up.prose += node.prose
             up.items += node.tag in ("li", "td") and node.chars > 0
             up.holds |= node.holds or node.tag in ("article", "main", "h1")
 
@@ -232,6 +259,30 @@ def _spared(page: _Page) -> set[int]:
         id(n) in holds or (n.within or not articles) and (id(n) in titled or 2 * n.chars > page.root.chars))}
 
 
+@lru_cache(maxsize=1 << 14)
+def _kind_of(name: str) -> int | None:
+    """The first kind of furniture that a whole name is; names beyond 48 letters are none."""
+    return next((k for k, pattern in enumerate(_NAMED) if pattern.fullmatch(name)), None) if len(name) <= 48 else None
+
+
+def _kind(names: str) -> int | None:
+    return min((k for k in map(_kind_of, names.split()) if k is not None), default=None)
+
+
+def _is_furniture(node: _Node, controls: dict[int, int]) -> bool:
+    """Whether an element is named as furniture and, where the name may be a section's, holds what furniture does."""
+    kind = _kind(node.names) if node.names else None
+    if kind is None:
+        return not node.within and (node.tag == "header" or any(len(n) <= 48 and _TOP.fullmatch(n) for n in node.names.split()) and not _OWN_TOP.search(node.names))
+    if kind == 0:
+        return True
+    plain = node.prose > 0 and 2 * node.linked < node.chars and not controls[id(node)]
+    if kind == 1:
+        return not (plain and node.heads)
+    # outside an article, teasers have prose too, but their headings are links
+    return not (plain and (node.within or node.heads and 10 * node.linked < node.chars))
+
+
 def _drop_furniture(page: _Page) -> None:
     """Mark elements named as furniture, unless they hold the article or, on a page without one, most text."""
     _total(page)
@@ -240,6 +291,10 @@ def _drop_furniture(page: _Page) -> None:
         node.silent |= node.parent is not None and node.parent.silent or node.tag in _CONTAINERS and id(node) not in spared
     page.blocks = [b for b in page.blocks if not b[0].silent]
     _total(page)
+    controls = {id(n): n.controls for n in page.nodes}
+    for node in reversed(page.nodes):
+        if node.parent is not None:
+            controls[id(node.parent)] += controls[id(node)]
     for node in page.nodes:
         up = node.parent
         if up is None:
@@ -247,12 +302,10 @@ def _drop_furniture(page: _Page) -> None:
         node.silent |= up.silent
         if node.silent or node.tag in ("html", "body", "article", "main") or node.tag in _INLINE and not node.names:
             continue
-        named = bool(_FURNITURE.search(node.names))
-        if not named and not node.within:
-            named = node.tag == "header" or bool(_TOP.search(node.names)) and not _OWN_TOP.search(node.names)
-        if named and not (node.holds and node.tag != "header") and (page.root.holds or 2 * node.chars <= page.root.chars):
+        if _is_furniture(node, controls) and not (node.holds and node.tag != "header") and (page.root.holds or 2 * node.chars <= page.root.chars):
             node.silent = True
-        if node.tag in ("ul", "ol", "table", "dl") and node.items >= 3 and node.linked >= 0.8 * node.chars:
+        # a list of links in an article is one of its own, like its references
+        if node.tag in ("ul", "ol", "table", "dl") and not node.within and node.items >= 3 and node.linked >= 0.8 * node.chars:
             node.silent = True
     page.blocks = [b for b in page.blocks if not b[0].silent]
     _total(page)

@@ -64,6 +64,42 @@ def test_headings_and_short_parts_beside_the_prose_stay(page, text):
     assert main_text(page) == text
 
 
+LINKS = "".join(f"<li><a href=x{n}>Author {n}, a title of a work, year</a></li>" for n in range(4))
+LINKED = "\n".join(f"Author {n}, a title of a work, year" for n in range(4))
+OWN = "<h2>Part</h2><p>What this part says, in prose, with no links at all, and long enough to be read.</p>"
+OWN_TEXT = "Part\nWhat this part says, in prose, with no links at all, and long enough to be read."
+
+
+@pytest.mark.parametrize("names", [
+    "id=recommendations", "id=multimodal-results", "class=commentary", "id=related-work", "id=social-history", "id=promotion",
+    "class=notice-period", "class=overlaying-strata", 'class="section menu"', "id=advice", "class=adaptation", "id=navigation-by-stars", "class=tagsoup"])
+def test_sections_of_an_article_stay_whatever_their_names_contain(names):
+    assert main_text(f"<body><nav>n</nav><article>{PROSE * 2}<section {names}>{OWN}</section>{PROSE}</article>") == "\n".join([WORDS] * 2 + [OWN_TEXT, WORDS])
+
+
+def test_a_list_of_references_stays():
+    assert main_text(f"<article>{PROSE}<h2>References</h2><ol>{LINKS}</ol></article>") == f"{WORDS}\nReferences\n{LINKED}"
+
+
+@pytest.mark.parametrize("part", [
+    "<div class=ad><p>Buy this now, it is the best, and cheap, and everyone has one.</p></div>", f"<section id=comments>{OWN}</section>", f"<ul class=menu>{LINKS}</ul>",
+    f"<div class=related-posts><h3>More</h3><ul>{LINKS}</ul></div>", "<div class=newsletter><h3>Join</h3><p>Our letter comes weekly, and is free, and short.</p><input></div>",
+    "<div id=cookieNotice><h3>Cookies</h3><p>We use cookies, and more of them, to make this better.</p></div>", f"<div class=topnav>{PROSE}</div>", f"<div class='sidebar left'>{PROSE}</div>",
+    "<div class=promotions><h3>Deals</h3><p>Give us your name, and your mail, for a deal of the day.</p><input></div>", "<div class=social-share><a href=x>Tell others</a></div>",
+    f"<div class=comment-list>{PROSE}</div>", "<div class=notice><p>This page has moved, and will be gone, in a short time.</p></div>", "<div class=breadcrumbs><a>a</a> &gt; b</div>"])
+@pytest.mark.parametrize("page", ["<body><article>{prose}{part}</article>", "<body><main>{prose}{part}</main>", "<body>{part}<div>{prose}</div>"])
+def test_menus_comments_and_adverts_go(part, page):
+    assert main_text(page.format(prose=PROSE * 4, part=part)) == "\n".join([WORDS] * 4)
+
+
+@pytest.mark.parametrize("inner, text", [
+    ("where <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> holds", "where x+1 holds"),
+    ("press <button>Go</button> and wait", "press Go and wait"), ("the <label>name</label> of it", "the name of it"),
+])
+def test_formulas_and_labels_in_a_sentence_stay(inner, text):
+    assert main_text(f"<article>{PROSE}<p>And so, {inner}, as they say.</p></article>") == f"{WORDS}\nAnd so, {text}, as they say."
+
+
 @pytest.mark.parametrize("page, text", [
     ("", ""), (" \n", ""), ("plain text, no markup", "plain text, no markup"), ("<p>cut <b", "cut"), ("a &am", "a &am"), ("<article></article>", ""),
     ("<script>x", ""), ("<!-- x", ""), ("</p></div>", ""), ("<article><h1>T</h1><p>Short.</article><div class=ad>A far longer text, with commas, that is an advert.</div>", "T\nShort."),
