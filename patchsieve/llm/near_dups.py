@@ -121,33 +121,35 @@ def _verify_stars(bounds):
     return run
 
 
-@lru_cache(maxsize=256)
-def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
+def _pairs(ones: np.ndarray, twos: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of two blocks, or of one with itself, in parts of about PAIRS_AT_ONCE."""
+    size = len(ones) if twos is None else len(twos)
+    step = max(1, PAIRS_AT_ONCE // max(size, 1))
+    for lo in range(0, len(ones), step):
+        part = ones[lo:lo + step]
+        if twos is None:
+            a, b = np.nonzero(np.arange(lo, lo + len(part))[:, None] < np.arange(size)[None])
+            yield part[a], ones[b]
+        else:
+            yield np.repeat(part, size), np.tile(twos, len(part))
 
 
 def _verify_blocks(bounds, percent: int):
     """Links between different components inside (key, i, j) groups: block i with block j.
 
-    Surviving pairs are verified from the most matches down, and only while their components are still
-    apart, so that a group gives fewer links than it has rows.
+    Pairs are taken in parts of bounded size, whatever the size of the blocks. The surviving pairs of a
+    part are verified from the most matches down, and only while their components are still apart, so that
+    a group gives fewer links than it has rows.
     """
     def links(sig, sets, node, comp, band, a, b):
-        x, y, matches = [], [], []
-        for lo in range(0, len(a), PAIRS_AT_ONCE):
-            one, two = a[lo:lo + PAIRS_AT_ONCE], b[lo:lo + PAIRS_AT_ONCE]
-            at, found = _survivors_at(sig, one, two, bounds)
-            one, two = one[at], two[at]
-            # a pair that shares several bands is dealt with in the first
-            alike = (sig[one] == sig[two]).reshape(-1, BANDS, ROWS).all(2)
-            new = alike.argmax(1) == band[one]
-            x.append(one[new])
-            y.append(two[new])
-            matches.append(found[new])
-        x, y, matches = np.concatenate(x), np.concatenate(y), np.concatenate(matches)
+        """Verified links of the pairs (a, b); comp is told of them."""
+        at, matches = _survivors_at(sig, a, b, bounds)
+        x, y = a[at], b[at]
+        # a pair that shares several bands is dealt with in the first
+        new = (sig[x] == sig[y]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[x]
+        x, y, matches = x[new], y[new], matches[new]
         order = np.argsort(-matches, kind="stable")
-        x, y = x[order], y[order]
-        comp, out = comp.copy(), []
+        x, y, out = x[order], y[order], []
         for lo in range(0, len(x), 4_096):
             one, two = x[lo:lo + 4_096], y[lo:lo + 4_096]
             apart = np.flatnonzero(comp[one] != comp[two])
@@ -160,26 +162,26 @@ def _verify_blocks(bounds, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in runs(batches, ["key", "i", "j"]):
             sig, sets, node = _matrix(rows.column("sig")), rows.column("set").combine_chunks(), rows.column("node").to_pylist()
-            comps, block = rows.column("comp").to_numpy(), rows.column("block").to_numpy()
-            same = (rows.column("i").to_numpy() == rows.column("j").to_numpy())[starts]
+            comp, block = rows.column("comp").to_numpy().copy(), rows.column("block").to_numpy()
             firsts, band = rows.column("i").to_numpy(), rows.column("key").to_numpy() & (BANDS - 1)
+            same = (firsts == rows.column("j").to_numpy())[starts]
             todo, size = [], 0
             for g, (s, e) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(node)])):
-                if same[g]:
-                    a, b = _triangle(e - s)
-                    a, b = a + s, b + s
-                else:
-                    first = block[s:e] == firsts[s]
-                    one, two = np.flatnonzero(first) + s, np.flatnonzero(~first) + s
-                    a, b = np.repeat(one, len(two)), np.tile(two, len(one))
-                apart = comps[a] != comps[b]
-                todo.append((a[apart], b[apart]))
-                size += len(todo[-1][0])
-                if size >= PAIRS_AT_ONCE or e == len(node):
-                    found = links(sig, sets, node, comps, band, *(np.concatenate(x) for x in zip(*todo))) if size else []
-                    one, two = zip(*found) if found else ((), ())
+                ones = np.arange(s, e) if same[g] else np.flatnonzero(block[s:e] == firsts[s]) + s
+                twos = None if same[g] else np.flatnonzero(block[s:e] != firsts[s]) + s
+                found = []
+                for a, b in _pairs(ones, twos):
+                    apart = comp[a] != comp[b]
+                    todo.append((a[apart], b[apart]))
+                    size += len(todo[-1][0])
+                    if size >= PAIRS_AT_ONCE:
+                        found += links(sig, sets, node, comp, band, *(np.concatenate(x) for x in zip(*todo)))
+                        todo, size = [], 0
+                if e == len(node) and size:
+                    found += links(sig, sets, node, comp, band, *(np.concatenate(x) for x in zip(*todo)))
+                if found:
+                    one, two = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
-                    todo, size = [], 0
     return run
 
 

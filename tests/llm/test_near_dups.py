@@ -89,3 +89,37 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(n, n + 1) for n in range(60)] + [(100, n) for n in range(101, 140)] + [(200, 200)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: 0 for n in range(61)} | {n: 100 for n in range(100, 140)}
+
+
+def test_blocks_of_many_rows_are_compared_in_bounded_parts(monkeypatch):
+    """Two blocks of rows that share a band and no more: their pairs never stand in memory at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from patchsieve.llm import near_dups
+
+    n = 3_000
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 30, (2 * n, MINIMA)).astype(np.uint32)
+    sig[:, :4] = 7
+    sets = [np.sort(rng.integers(0, 1 << 62, 26).astype(np.uint64)).tobytes() for _ in range(2 * n)]
+    sig[n + 5], sets[n + 5] = sig[5], sets[5]
+    sig[1], sets[1] = sig[0], sets[0]
+    ids = np.arange(2 * n)
+
+    def batch(i, j):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(len(rows), np.int64)), pa.array(np.full(len(rows), i)), pa.array(np.full(len(rows), j)), pa.array((rows >= n).astype(np.int64)),
+             pa.array(rows), pa.array(rows), pa.array([sig[r].tobytes() for r in rows]), pa.array([sets[r] for r in rows])],
+            names=["key", "i", "j", "block", "node", "comp", "sig", "set"])
+
+    run = near_dups._verify_blocks(least_matches(0.75, 1e-5), 75)
+    tracemalloc.start()
+    rows = ids
+    assert [r for b in run(iter([batch(0, 1)])) for r in b.to_pylist()] == [{"a": 5, "b": n + 5}]
+    rows = ids[:n]
+    assert [r for b in run(iter([batch(0, 0)])) for r in b.to_pylist()] == [{"a": 0, "b": 1}]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
