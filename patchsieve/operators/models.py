@@ -13,15 +13,16 @@ from patchsieve.operators import metrics as M
 from patchsieve.operators import populations as P
 from patchsieve.operators import ranking as R
 from patchsieve.operators.features import mean_vector
-from patchsieve.operators.frames import beside
+from patchsieve.operators.frames import beside, reused
 from patchsieve.operators.stats import unpivoted
 
 # fixed values: settings of the boosted trees at file and at change level
 FILE_TREES = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}
 CHANGE_TREES = {"maxIter": 100, "maxDepth": 4, "stepSize": 0.1}
+PAIR_PENALTY = 0.01  # fixed value: weight of the squared weights in the pairwise fit
 
 
-def _weighted(df: DataFrame, label: str, balanced: bool) -> DataFrame:
+def weighted(df: DataFrame, label: str, balanced: bool) -> DataFrame:
     """Class weights from one aggregate: n / (2 n_c), or negatives / positives on positives."""
     counts = df.agg(F.count(F.lit(1)).alias("__n"), F.sum(label).alias("__p"))
     n, p = F.col("__n"), F.col("__p")
@@ -40,7 +41,7 @@ def fit_balanced_logistic(train: DataFrame, features: list[str], label: str, max
         StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True),
         LogisticRegression(featuresCol="__x", labelCol=label, weightCol="__weight", maxIter=max_iter, standardization=False),
     ]
-    return Pipeline(stages=stages).fit(_weighted(train, label, balanced=True))
+    return Pipeline(stages=stages).fit(weighted(train, label, balanced=True))
 
 
 def fit_boosted_trees(train: DataFrame, features: list[str], label: str, seed: int = 42, **settings) -> PipelineModel:
@@ -48,7 +49,7 @@ def fit_boosted_trees(train: DataFrame, features: list[str], label: str, seed: i
         featuresCol="__raw", labelCol=label, weightCol="__weight", seed=seed, **{**FILE_TREES, **settings}
     )
     assembler = VectorAssembler(inputCols=features, outputCol="__raw")
-    return Pipeline(stages=[assembler, trees]).fit(_weighted(train, label, balanced=False))
+    return Pipeline(stages=[assembler, trees]).fit(weighted(train, label, balanced=False))
 
 
 _WORK = ("__raw", "__x", "rawPrediction", "probability", "prediction")
@@ -84,26 +85,34 @@ def commit_level_model(
     return evaluated.join(scores, group, "left").fillna(0.0, ["score"])
 
 
-def pairwise_ranker(
-    files: DataFrame, evaluated: DataFrame, group: list[str], seq: list[str], features: list[str], max_iter: int = 1000
-) -> DataFrame:
-    """Linear score fitted on differences of strong and weak files of a change.
-
-    Fitted on aligned pairs (linear in the files, every file at least once), in
-    both directions, without an intercept.
-    """
-    pairs = P.aligned_pairs(files, group, seq)
+def pair_gaps(files: DataFrame, group: list[str], seq: list[str], features: list[str], most: int = 1_000_000) -> DataFrame:
+    """(gap): feature differences of the strong and weak files of a change, for all pairs up to ``most``."""
+    pairs = P.strong_weak_pairs(files, group, seq, most)
     values = files.select(*group, F.struct(*seq).alias("__at"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
     def side(mark):
         return values.select(*group, F.col("__at").alias(mark), F.col("v").alias(f"{mark}_v"))
     both = pairs.join(side("s"), [*group, "s"]).join(side("w"), [*group, "w"])
-    gap = F.zip_with("s_v", "w_v", lambda a, b: a - b)
-    rows = both.select(F.explode(F.array(
-        F.struct(gap.alias("x"), F.lit(1.0).alias("label")),
-        F.struct(F.transform(gap, lambda g: -g).alias("x"), F.lit(0.0).alias("label")),
+    return both.select(F.zip_with("s_v", "w_v", lambda a, b: a - b).alias("gap"))
+
+
+def fit_pairwise(gaps: DataFrame, max_iter: int = 1000) -> list[float]:
+    """Weights of a logistic model on differences, in both directions, without an intercept."""
+    rows = gaps.select(F.explode(F.array(
+        F.struct(F.col("gap").alias("x"), F.lit(1.0).alias("label")),
+        F.struct(F.transform("gap", lambda g: -g).alias("x"), F.lit(0.0).alias("label")),
     )).alias("r")).select(array_to_vector("r.x").alias("x"), "r.label")
-    fitted = LogisticRegression(featuresCol="x", fitIntercept=False, maxIter=max_iter).fit(rows)
-    weights = [float(w) for w in fitted.coefficients.toArray()]
+    fitted = LogisticRegression(featuresCol="x", fitIntercept=False, maxIter=max_iter, regParam=PAIR_PENALTY, standardization=False, tol=1e-9).fit(rows)
+    return [float(w) for w in fitted.coefficients.toArray()]
+
+
+def pairwise_ranker(
+    files: DataFrame, evaluated: DataFrame, group: list[str], seq: list[str], features: list[str], most: int = 1_000_000
+) -> DataFrame:
+    """Linear score fitted on the differences of all strong and weak files of a change.
+
+    All pairs are fitted up to ``most``, a bounded part of them beyond; see ``strong_weak_pairs``.
+    """
+    weights = fit_pairwise(reused(pair_gaps(files, group, seq, features, most)))
     score = sum((F.lit(w) * F.col(f) for w, f in zip(weights, features)), F.lit(0.0))
     return evaluated.withColumn("score", score)
 
@@ -144,23 +153,35 @@ def allowed_strategy(name: str) -> str:
     return name
 
 
-def train_report(rows: DataFrame, features: list[str], label: str, split: str, seq: list[str], max_iter: int = 1000) -> DataFrame:
+def split_counts(rows: DataFrame, label: str, split: str, repo: str | None = None) -> DataFrame:
+    """Rows, positives, prevalence and the accuracy of the larger class per split; with ``repo`` its repositories, too."""
+    positive = F.col(label) == 1
+    n, p = F.count(F.lit(1)), F.count_if(positive)
+    # one row per split and repository first, so that distinct repositories need no second shuffle of the rows
+    per = rows.groupBy(split, *([repo] if repo else [])).agg(n.alias("__n"), p.alias("__p")).groupBy(split).agg(
+        F.sum("__n").alias("rows"), F.sum("__p").alias("positives"), F.count(F.lit(1)).alias("repositories"),
+        F.count_if(F.col("__p") > 0).alias("positive_repositories"))
+    n, p = F.col("rows"), F.col("positives")
+    out = per.withColumn("prevalence", M.share(p, n)).withColumn("majority_accuracy", M.share(F.greatest(p, n - p), n))
+    return out if repo else out.drop("repositories", "positive_repositories")
+
+
+def train_report(
+    rows: DataFrame, features: list[str], label: str, split: str, seq: list[str], max_iter: int = 1000, repo: str | None = None,
+) -> DataFrame:
     """Fit once on train; per split the areas, threshold metrics, baseline, counts and top cuts, in long form."""
     train = rows.where(F.col(split) == "train")
     model = fit_balanced_logistic(train, features, label, max_iter)
     scored = probability(model, rows).withColumn("positive", F.col(label) == 1)
+    def long(wide):
+        return unpivoted(wide, [split], [c for c in wide.columns if c != split], "metric")
     areas = M.ranking_areas(scored, "score", "positive", [split])
     cuts = M.threshold_metrics(scored, "score", "positive", by=[split])
-    p = F.col("tp") + F.col("fn")
-    n = p + F.col("fp") + F.col("tn")
-    base = cuts.withColumn("majority_accuracy", M.share(F.greatest(p, n - p), n))
-    wide = areas.join(base, split)
-    names = [c for c in wide.columns if c != split]
-    report = unpivoted(wide, [split], names, "metric")
-    tops = R.top_cut_capture(scored.where(F.col(split) == "test"), "score", "positive", seq).select(
-        F.lit("test").alias(split), F.concat(F.lit("captured_"), F.col("cut")).alias("metric"), F.col("captured").cast("double").alias("value")
+    tops = R.top_cut_capture(scored, "score", "positive", seq, by=[split]).select(
+        split, F.concat(F.lit("captured_"), F.col("cut")).alias("metric"), F.col("captured").cast("double").alias("value")
     )
     weights = feature_importance(model, features).select(
         F.lit("train").alias(split), F.concat(F.lit("importance_"), F.col("feature")).alias("metric"), F.col("importance").alias("value")
     )
-    return report.unionByName(tops).unionByName(weights)
+    counts = split_counts(rows, label, split, repo)
+    return long(areas.join(cuts, split)).unionByName(long(counts)).unionByName(tops).unionByName(weights)

@@ -167,6 +167,33 @@ def aligned_pairs(files: DataFrame, group: list[str], seq: list[str], strong=STR
     )
 
 
+def strong_weak_pairs(files: DataFrame, group: list[str], seq: list[str], most: int = 1_000_000, strong=STRONG, weak=WEAK) -> DataFrame:
+    """The pairs of a strong and a weak file of a change: (group, strong_seq, weak_seq).
+
+    The pairs of all changes are numbered through by running counts of their products; pair p of a
+    change is strong file p div w with weak file p mod w. Up to ``most`` pairs are given all; of more, every
+    k-th over all changes, so that no product is built and at most ``most`` rows come out.
+    """
+    sided = files.where(F.col("identity") & F.col("level").isin(strong, weak))
+    ranked = frame(sided.select(*group, *seq, "level"), [*group, "level"], [F.col(c) for c in seq], row="__i")
+    sizes = sided.groupBy(*group).agg(
+        F.count_if(F.col("level") == strong).alias("__s"), F.count_if(F.col("level") == weak).alias("__w")
+    ).where((F.col("__s") > 0) & (F.col("__w") > 0))
+    product = F.col("__s") * F.col("__w")
+    placed = beside(frame(sizes, [], [F.col(c) for c in group], sums={"__before": product}), sizes.agg(F.sum(product).alias("__all")))
+    step = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("__all") / most))
+    placed = placed.withColumn("__step", step).withColumn("__first", F.ceil(F.col("__before") / F.col("__step")) * F.col("__step"))
+    taken = placed.where(F.col("__first") < F.col("__before") + product).select(
+        *group, "__w", "__before", F.explode(F.sequence("__first", F.col("__before") + product - 1, F.col("__step"))).alias("__p"))
+    own = F.col("__p") - F.col("__before")
+    numbers = taken.select(*group, (F.floor(own / F.col("__w")) + 1).alias("__is"), (own % F.col("__w") + 1).alias("__iw"))
+
+    def side(level: str, mark: str) -> DataFrame:
+        return ranked.where(F.col("level") == level).select(*group, F.col("__i").alias(f"__i{mark}"), F.struct(*seq).alias(mark))
+
+    return numbers.join(side(strong, "s"), [*group, "__is"]).join(side(weak, "w"), [*group, "__iw"]).select(*group, "s", "w")
+
+
 def pair_stats(pairs: DataFrame, sha: str = "sha") -> DataFrame:
     return pairs.groupBy("category").agg(
         F.sum("pairs").alias("pairs"), F.count_distinct("repo").alias("repos"), F.count_distinct(sha).alias("commits")

@@ -161,26 +161,28 @@ def minmax_normalize(
 
 def top_cut_capture(
     df: DataFrame, score: str, positive: str, seq: list[str],
-    cuts: tuple[int, ...] = (10, 20, 50, 100), shares: tuple[int, ...] = (10, 20),
+    cuts: tuple[int, ...] = (10, 20, 50, 100), shares: tuple[int, ...] = (10, 20), by: list[str] | None = None,
 ) -> DataFrame:
-    """Positives among the first rows of the whole table, by count and by share (percent)."""
-    ranked = number_rows(df, [], [-F.col(score), *map(F.col, seq)], "__rank")
+    """Positives among the first rows, by count and by share (percent), of the whole table or of each ``by``."""
+    by = by or []
+    ranked = number_rows(df, by, [-F.col(score), *map(F.col, seq)], "__rank")
     # the share cuts need the row count, the fixed cuts do not
-    counts = df.agg(F.count(F.lit(1)).alias("__n"), F.count_if(positive).alias("__p"))
-    joined = beside(ranked.where(F.col(positive)), counts)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.count_if(positive).alias("__p"))
+    with_counts = lambda d, how: d.join(counts, by, how) if by else beside(d, counts)
     limits = {f"top_{k}": F.lit(k).cast("long") for k in cuts}
     for s in shares:
         limits[f"top_{s}_percent"] = F.greatest(F.lit(1).cast("long"), F.floor(F.col("__n") / (100 // s)))
-    hits = joined.agg(
+    hits = with_counts(ranked.where(F.col(positive)), "inner").groupBy(*by).agg(
         *[F.count_if(F.col("__rank") <= limit).alias(n) for n, limit in limits.items()]
     )
-    row = beside(hits, counts)
+    # a group without positives has no row among the hits
+    row = with_counts(hits, "right")
     long = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("cut"), F.least(limit, F.col("__n")).alias("rows"), F.col(n).alias("captured"))
+        F.struct(F.lit(n).alias("cut"), F.least(limit, F.col("__n")).alias("rows"), F.coalesce(n, F.lit(0)).cast("long").alias("captured"))
         for n, limit in limits.items()
     ])).alias("c")
-    return row.select(long, "__p").select(
-        "c.cut", "c.rows", "c.captured",
+    return row.select(*by, long, "__p").select(
+        *by, "c.cut", "c.rows", "c.captured",
         F.when(F.col("__p") > 0, F.lit(100.0) * F.col("c.captured") / F.col("__p")).alias("percent"),
     )
 

@@ -201,3 +201,25 @@ def test_draws_dealt_to_ranges_are_the_plain_draws(spark, monkeypatch, span):
                 drawn.append(((h * 69621 + 7919) % MODULUS * 48271 + 11) % MODULUS % len(values))
             known = [values[i] for i in (set(drawn) if once else drawn) if values[i] is not None]
             assert got[r] == pytest.approx(sum(known) / len(known) if known else 0.0)
+
+
+def test_strong_weak_pairs_are_all_or_every_kth(spark):
+    rnd = random.Random(9)
+    rows = [(f"c{g}", i, rnd.choice(["FILE_STRONG", "FILE_WEAK", "UNKNOWN"]), rnd.random() < 0.9) for g in range(30) for i in range(rnd.randrange(1, 14))]
+    df = spark.createDataFrame(rows, "sha string, seq int, level string, identity boolean")
+    want = [(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[3] and b[3] and a[2] == "FILE_STRONG" and b[2] == "FILE_WEAK"]
+    got = [(r.sha, r.s.seq, r.w.seq) for r in P.strong_weak_pairs(df, ["sha"], ["seq"]).collect()]
+    assert sorted(got) == sorted(want)
+    part = [(r.sha, r.s.seq, r.w.seq) for r in P.strong_weak_pairs(df, ["sha"], ["seq"], most=40).collect()]
+    step = -(-len(want) // 40)
+    assert len(part) == len(set(part)) == -(-len(want) // step) and set(part) <= set(want)
+    counted = {r.category: r.n for r in P.pair_counts(df, ["sha"]).groupBy("category").agg(F.sum("pairs").alias("n")).collect()}
+    assert len(want) in counted.values()
+
+
+def test_top_cuts_by_group(spark):
+    from patchsieve.operators.ranking import top_cut_capture
+    rows = [("a", n, float(n), n >= 28) for n in range(30)] + [("b", n, 0.0, False) for n in range(3)]
+    df = spark.createDataFrame(rows, "g string, seq int, score double, positive boolean")
+    got = {(r.g, r.cut): (r.rows, r.captured, r.percent) for r in top_cut_capture(df, "score", "positive", ["seq"], by=["g"]).collect()}
+    assert got["a", "top_10"] == (10, 2, 100.0) and got["a", "top_10_percent"] == (3, 2, 100.0) and got["b", "top_100"] == (3, 0, None) and len(got) == 12
