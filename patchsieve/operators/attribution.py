@@ -163,25 +163,30 @@ def reference_chain(edges: DataFrame) -> DataFrame:
     )
 
 
+_SOUGHT_AT_ONCE = 1_000  # names sought in one pass over a message
+
+
 def message_mentions(files: DataFrame, messages: DataFrame) -> DataFrame:
     """Per change: candidate paths its message names, and how far that goes.
 
-    A path counts if its name or stem, or a path part longer than three
-    characters, stands anywhere in the lower-cased message.
+    A path counts if its name or stem, or a path part longer than three characters, stands anywhere in the
+    lower-cased message. The distinct names of a change are sought together, so its message goes along once
+    for many of them and not once for each path; names and paths meet again without the text.
     """
-    said = F.lower("message")
-    has = lambda c: F.contains(said, F.lower(c))
     path = F.col("path")
-    named = has(P.basename(path)) | has(P.stem(path)) | F.exists(
-        F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: (F.length(p) > 3) & has(p)
-    )
-    # the text goes along once per path of its change, then only flags are kept
-    hits = files.select("sha", "path").distinct().join(messages.select("sha", "message"), "sha").select(
-        "sha", ((F.col("message") != "") & named).alias("named")
-    )
-    counts = hits.groupBy("sha").agg(F.count(F.lit(1)).alias("files"), F.count_if("named").alias("matched"))
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: F.length(p) > 3)
+    names = F.array_distinct(F.transform(F.concat(F.array(P.basename(path), P.stem(path)), parts), F.lower))
+    named = files.select("sha", "path").distinct().select("sha", "path", F.explode(names).alias("part"))
+    sizes = named.groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
+    sought = named.select("sha", "part").distinct().join(sizes, "sha").select(
+        "sha", "part", F.pmod(F.xxhash64("part"), F.ceil(F.col("n") / _SOUGHT_AT_ONCE)).alias("at"))
+    together = sought.groupBy("sha", "at").agg(F.collect_list("part").alias("parts"))
+    said = messages.where("message <> ''").select("sha", F.lower("message").alias("said"))
+    found = together.join(said, "sha").select("sha", F.explode(F.filter("parts", lambda p: F.contains(F.col("said"), p))).alias("part"))
+    matched = named.join(found, ["sha", "part"]).select("sha", "path").distinct().groupBy("sha").agg(F.count(F.lit(1)).alias("matched"))
+    counts = files.select("sha", "path").distinct().groupBy("sha").agg(F.count(F.lit(1)).alias("files"))
     words = messages.select("sha", F.array_join(M.mentioned_words(F.col("message")), ",").alias("words"))
-    return counts.join(words, "sha").select(
+    return counts.join(words, "sha").join(matched, "sha", "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long"))).select(
         "sha", "files", "matched", "words",
         F.when((F.col("matched") == F.col("files")) & (F.col("matched") > 0), "all_files_mentioned")
         .when(F.col("matched") > 0, "partial_files_mentioned").otherwise("none").alias("signal_level"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.functions import messages as M
+from patchsieve.operators.attribution import ranges_with_line
 from patchsieve.operators.frames import beside, frame, number_rows, reused
 from patchsieve.operators.history import DAY, micros
 
@@ -131,7 +132,8 @@ def line_overlap_attribution(
     same path, both hunks overlap (half open), and every line it adds inside the
     overlap (ends included) stands in the candidate's parent there. Positions are
     bucketed by the lookback, so a path that everyone touches still joins in
-    pieces of at most two buckets.
+    pieces of at most two buckets. Lines are known by a digest and looked up in one
+    ordered pass per file and digest.
     """
     small = fixes.where((F.col("n_files") <= OVERLAP_FILES) & (F.col("n_lines") <= OVERLAP_LINES))
     end = F.col("old_start") + F.col("old_count")
@@ -158,20 +160,18 @@ def line_overlap_attribution(
     put = added.select(
         *repo, "path", F.col("sha").alias("fix"), F.col("hunk").alias("fix_hunk"), "at", bare(F.col("text")).alias("text")
     )
-    lines = pairs.join(put, [*repo, "path", "fix", "fix_hunk"]).where(F.col("at").between(F.col("s"), F.col("e"))).drop("at")
-    before = parent.select(*repo, "sha", "path", "line_no", bare(F.col("text")).alias("text"), F.lit(1).alias("__in"))
-    right = before.alias("b")
-    left = lines.alias("l")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*repo, "sha", "path", "text")]
-    held = left.join(
-        right, [*same, F.col("b.line_no").between(F.col("l.s"), F.col("l.e"))], "left"
-    ).select("l.*", "__in")
-    per_line = held.groupBy(*repo, "path", "sha", "c_hunk", "fix", "fix_pos", "fix_hunk", "text").agg(
-        F.count("__in").alias("__in")
-    )
-    per_pair = per_line.groupBy(*repo, "path", "sha", "c_hunk", "fix", "fix_pos", "fix_hunk").agg(
-        F.min("__in").alias("__in")
-    )
+    pair = ["sha", "c_hunk", "fix", "fix_pos", "fix_hunk"]
+    # a text counts once for a pair, however often the fix adds it
+    lines = pairs.join(put, [*repo, "path", "fix", "fix_hunk"]).where(F.col("at").between(F.col("s"), F.col("e"))).select(
+        *repo, "path", *pair, "s", "e", F.md5("text").alias("__digest")
+    ).distinct().withColumn("name", F.concat_ws("|", "c_hunk", "fix", "fix_hunk"))
+    # the nearest line of that text from the start on decides; lines with a text that is everywhere are not paired
+    key = [*repo, "sha", "path", "__digest"]
+    before = parent.join(pairs.select(*repo, "sha", "path").distinct(), [*repo, "sha", "path"], "left_semi").select(
+        *repo, "sha", "path", F.md5(bare(F.col("text"))).alias("__digest"), F.col("line_no").alias("line"))
+    held = ranges_with_line(lines.select(*key, "name", F.col("s").alias("start"), F.col("e").alias("end")).distinct(), before, key)
+    per_pair = lines.join(held.select(*key, "name", F.col("start").alias("s"), F.col("end").alias("e"), "hit"), [*key, "name", "s", "e"]).groupBy(
+        *repo, "path", *pair).agg(F.min(F.col("hit").cast("int")).alias("__in"))
     return per_pair.where(F.col("__in") > 0).groupBy(*repo, "sha", "path").agg(F.min_by("fix", "fix_pos").alias("cause"))
 
 

@@ -214,7 +214,38 @@ def content_correspondence_exact(t):
     return out.select("conv_id", "turn", "exact_match_count", "correspondence_exists", "exact_match_ratio")
 
 
-@query("content_correspondence")
+# the greedy pass of the line pairs, one line of the left side a step
+GREEDY_SQL = r"""loose AS MATERIALIZED (
+  SELECT conv_id, turn, added, gone, [list_distinct(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) for x in list_sort(list_filter(added, lambda z: NOT list_contains(gone, z)))] AS l,
+    [list_distinct(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) for x in list_sort(list_filter(gone, lambda z: NOT list_contains(added, z)))] AS r FROM sets
+), greedy AS (
+  SELECT conv_id, turn, l, r, 0 AS i, []::BIGINT[] AS used FROM loose
+  UNION ALL
+  SELECT conv_id, turn, l, r, i + 1, CASE WHEN best[1] > 0.3 THEN list_append(used, -best[2]::BIGINT) ELSE used END FROM (
+    SELECT *, list_max([CASE WHEN list_contains(used, n) OR len(l[i + 1]) = 0 OR len(r[n]) = 0 THEN [0.0, -n]
+      ELSE [(len(list_intersect(l[i + 1], r[n])) / len(list_distinct(list_concat(l[i + 1], r[n]))))::DOUBLE, -n] END for n in range(1, len(r) + 1)]) AS best
+    FROM greedy WHERE i < len(l))
+)"""
+
+
+@query("content_correspondence_shared", f"""WITH RECURSIVE {TURNS_SQL.replace("sets AS (", "sets0 AS (")},
+sets AS (SELECT conv_id, turn, added, list_sort(list_distinct(list_concat(gone, [regexp_replace(x, '([a-z]+)$', 'else') for x in added], added[1:2]))) AS gone FROM sets0), {GREEDY_SQL},
+m AS (SELECT conv_id, turn, len(list_intersect(added, gone)) AS n, len(used) AS p, greatest(len(added), len(gone), 1) AS d FROM loose JOIN (SELECT conv_id, turn, used FROM greedy WHERE i = len(l)) USING (conv_id, turn))
+SELECT conv_id, turn, n AS exact_match_count, p AS partial_match_count, CASE WHEN n > 0 THEN 'exact_removal' WHEN p > 0 THEN 'partial_overlap' ELSE 'none' END AS correspondence_type,
+  round(n / d, 4) AS exact_match_ratio, round((n + p) / d, 4) AS partial_match_ratio FROM m""")
+def content_correspondence_shared(t):
+    """Sides that share lines and many words: what is gone holds two of the added lines and all of them with another last word."""
+    other = F.transform("added", lambda x: F.regexp_replace(x, "([a-z]+)$", "else"))
+    sets = line_sets(t).withColumn("gone", F.array_sort(F.array_distinct(F.concat("gone", other, F.slice("added", 1, 2)))))
+    out = A.content_correspondence(sets, "added", "gone")
+    return out.select("conv_id", "turn", "exact_match_count", "partial_match_count", "correspondence_type",
+                      "exact_match_ratio", "partial_match_ratio")
+
+
+@query("content_correspondence", f"""WITH RECURSIVE {TURNS_SQL}, {GREEDY_SQL},
+m AS (SELECT conv_id, turn, len(list_intersect(added, gone)) AS n, len(used) AS p, greatest(len(added), len(gone), 1) AS d FROM loose JOIN (SELECT conv_id, turn, used FROM greedy WHERE i = len(l)) USING (conv_id, turn))
+SELECT conv_id, turn, n AS exact_match_count, p AS partial_match_count, CASE WHEN n > 0 THEN 'exact_removal' WHEN p > 0 THEN 'partial_overlap' ELSE 'none' END AS correspondence_type,
+  round(n / d, 4) AS exact_match_ratio, round((n + p) / d, 4) AS partial_match_ratio FROM m""")
 def content_correspondence(t):
     out = A.content_correspondence(line_sets(t), "added", "gone")
     return out.select("conv_id", "turn", "exact_match_count", "partial_match_count", "correspondence_type",

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchsieve.operators import metrics as M
+from patchsieve.operators.evaluation import evaluation_report
 from patchsieve.operators.ranking import rank_priority
-from patchsieve.plans.metrics import aggregate_sql, counts_sql
+from patchsieve.plans.metrics import KS, aggregate_sql, counts_sql
+from patchsieve.plans.ranking import hash_sql
 from patchsieve.plans.registry import query, rounded
-from patchsieve.plans.stats import LABELED_SQL, labeled_rows
+from patchsieve.plans.stats import LABELED_SQL, labeled_rows, metric_list
 from patchsieve.session import new_folder
 from patchsieve.sources import contracts as C
 from patchsieve.sources import examples as X
@@ -231,3 +233,65 @@ def population_eval(t):
 def population_malformed(t):
     rows = examples(t).where((F.col("split") == "test") & (F.col("defect_label") != -1))
     return X.malformed_per_change(X.mark_malformed(rows, 16))
+
+
+_OVERALL = ["groups", "groups_with_positive", "coverage", "mean_files", "mrr", "mean_first_rank",
+            *[f"{m}_{k}" for k in KS for m in ("recall", "enrichment", "captured")], "median_first_rank", "median_reciprocal_rank"]
+
+
+def _long_sql(part: str, name: str, columns: list[str], source: str) -> str:
+    pairs = ", ".join(f"{{'metric': '{c}', 'value': ({c})::DOUBLE}}" for c in columns)
+    return f"SELECT '{part}' AS part, {name} AS name, e.metric, e.value FROM (SELECT *, unnest([{pairs}]) AS e FROM {source})"
+
+
+def _plain(sql: str) -> str:
+    """The aggregate without its rounding, which comes last here."""
+    return sql.replace("round(", "(").replace(", 6) AS", ") AS")
+
+
+_INTERVALS = metric_list(["mrr", "first_rank", *[f"{m}_{k}" for k in KS for m in ("recall", "enrichment", "captured")]])
+REPORT_SQL = f"""{EXAMPLES_SQL}, te0 AS (SELECT repo_name, commit_sha, file_path, defect_label = 1 AS positive, h = 0 AS binary_, q + round(x) AS total, supp % 97 = 3 AS malformed
+  FROM ex WHERE split = 'test' AND defect_label <> -1),
+ra AS (SELECT *, row_number() OVER (PARTITION BY repo_name, commit_sha ORDER BY binary_, CASE WHEN NOT binary_ THEN total END DESC, file_path) - 1 AS position,
+  count(*) FILTER (NOT binary_) OVER (PARTITION BY repo_name, commit_sha) AS n FROM te0 WHERE NOT malformed),
+sc AS (SELECT *, CASE WHEN binary_ THEN 0 ELSE 1 - position / greatest(n - 1, 1) END AS score FROM ra),
+{counts_sql('sc', 'score', 'repo_name, commit_sha', 'file_path')},
+pop AS (SELECT sum(n_files) AS files, sum(n_positive) AS positives, count(*) AS changes, count(DISTINCT repo_name) AS repositories, sum(n_positive) / sum(n_files) AS positive_rate FROM counts),
+bad AS (SELECT count(*) AS malformed_files, count(DISTINCT (repo_name, commit_sha)) AS changes_in_part FROM te0 WHERE malformed),
+o AS ({_plain(aggregate_sql())}), r AS ({_plain(aggregate_sql('repo_name'))}), rf AS (SELECT r.*, f.files FROM r JOIN (SELECT repo_name, sum(n_files) AS files FROM counts GROUP BY repo_name) f USING (repo_name)),
+tk AS (SELECT positive, row_number() OVER (ORDER BY score DESC, repo_name, commit_sha, file_path) AS rank FROM sc),
+gl AS (SELECT k, count(*) FILTER (positive AND rank <= k) AS hits, count(*) FILTER (positive AND rank <= k) / count(*) FILTER (positive) AS recall, count(*) FILTER (positive AND rank <= k) / k AS precision
+  FROM tk, (SELECT unnest([{', '.join(map(str, KS))}]) AS k) GROUP BY k),
+mi AS MATERIALIZED (SELECT row_number() OVER (ORDER BY repo_name, commit_sha) - 1 AS idx, {', '.join(f'{e} AS {n}' for n, e in _INTERVALS)} FROM counts),
+dr AS (SELECT r AS replicate, ({hash_sql('42::BIGINT', 'r', 'd')}) % (SELECT count(*) FROM mi) AS idx FROM (SELECT idx AS d FROM mi), (SELECT unnest(range(1000)) AS r)),
+rep AS (SELECT replicate, {', '.join(f'coalesce(avg({n}), 0) AS {n}' for n, _ in _INTERVALS)} FROM dr JOIN mi USING (idx) GROUP BY replicate),
+iv0 AS ({' UNION ALL '.join(f"SELECT '{n}' AS metric, {n} AS value FROM rep" for n, _ in _INTERVALS)}),
+iv AS (SELECT metric AS of_, avg(value) AS mean, quantile_cont(value, 0.025) AS ci_lower, quantile_cont(value, 0.975) AS ci_upper FROM iv0 GROUP BY metric),
+report AS MATERIALIZED (
+  {_long_sql('population', "'all'", ['files', 'positives', 'changes', 'repositories', 'positive_rate'], 'pop')}
+  UNION ALL {_long_sql('population', "'all'", ['malformed_files', 'changes_in_part'], 'bad')}
+  UNION ALL {_long_sql('overall', "'all'", _OVERALL, 'o')} UNION ALL {_long_sql('repository', 'repo_name', [*_OVERALL, 'files'], 'rf')}
+  UNION ALL SELECT 'global', 'all', e.metric || '_' || k, e.value FROM (SELECT k, unnest([{{'metric': 'hits', 'value': hits::DOUBLE}}, {{'metric': 'recall', 'value': recall}}, {{'metric': 'precision', 'value': precision}}]) AS e FROM gl)
+  UNION ALL {_long_sql('interval', 'of_', ['mean', 'ci_lower', 'ci_upper'], 'iv')}
+)"""
+
+
+@query("population_report", f"WITH {REPORT_SQL} SELECT part, name, metric, round(value, 5) AS value FROM report")
+def population_report(t):
+    """The test split scored and evaluated: overall, by repository, global and with intervals; broken vectors are counted."""
+    return rounded(_population_report(t).where("part <> 'digest'"), 5)
+
+
+@query("population_report_digest")
+def population_report_digest(t):
+    return _population_report(t).where("part = 'digest'").select("name")
+
+
+def _population_report(t):
+    rows = X.mark_malformed(examples(t).where((F.col("split") == "test") & (F.col("defect_label") != -1)), 16)
+    well = X.rebuild_files(X.check_supervised(rows.where(~F.col("malformed")))).withColumn("positive", F.col("defect_label") == 1)
+    scored = rank_priority(well, ["repo_name", "commit_sha"], "total_lines_changed", ["file_path"], "is_binary")
+    columns = ["repo_name", "commit_sha", "file_path", "positive"]
+    broken = rows.where("malformed").select(*columns[:3], (F.col("defect_label") == 1).alias("positive"), F.lit(0.0).alias("score"), F.lit(True).alias("malformed"))
+    every = scored.select(*columns, "score", F.lit(False).alias("malformed")).unionByName(broken)
+    return evaluation_report(every, "repo_name", ["commit_sha"], ["file_path"], "score", "positive", "malformed")

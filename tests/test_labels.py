@@ -121,3 +121,19 @@ def test_splits(spark):
     table = spark.createDataFrame([("other", "train")], "repo string, split string")
     with pytest.raises(Exception, match="no split for repository"):
         B.split_by_lookup(df, table, "repo").collect()
+
+
+def test_line_overlap_with_a_line_that_is_everywhere(spark):
+    """A hundred thousand blank lines on both sides: no line is paired with another."""
+    n = 100_000
+    hunks = spark.createDataFrame([(1, "c", 1, "p", 0, 0, n), (1, "f", 2, "p", 0, 0, n), (1, "d", 1, "q", 0, 0, n), (1, "f", 2, "q", 0, 0, n)],
+                                  "repo int, sha string, pos int, path string, hunk int, old_start int, old_count int")
+    fixes = spark.createDataFrame([(1, "f", 2, 9)], "repo int, sha string, n_files int, n_lines int")
+    lines = spark.range(n).select(F.lit(1).alias("repo"), F.col("id").cast("int").alias("at"), F.when(F.col("id") == 7, "seven").otherwise("\n").alias("text"))
+    added = lines.withColumn("path", F.explode(F.array(F.lit("p"), F.lit("q")))).select("repo", F.lit("f").alias("sha"), "path", F.lit(0).alias("hunk"), "at", "text")
+    parent = lines.select("repo", F.lit("c").alias("sha"), F.lit("p").alias("path"), F.col("at").alias("line_no"), "text").unionByName(
+        lines.where("at <> 7").select("repo", F.lit("d").alias("sha"), F.lit("q").alias("path"), F.col("at").alias("line_no"), "text"))
+    none = spark.createDataFrame([], "repo int, sha string")
+    out = B.line_overlap_attribution(hunks, fixes, added, parent, none, ["repo"])
+    # the file d lacks one of the lines that the fix adds
+    assert [(r["sha"], r["path"], r["cause"]) for r in out.collect()] == [("c", "p", "f")]
