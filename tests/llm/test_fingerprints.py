@@ -96,3 +96,50 @@ def test_search_in_cuts(spark):
     rows = spark.createDataFrame([(k, cuts) for k in range(25)], "key long, cuts array<bigint>")
     got = rows.select("key", _below("cuts", F.col("key"), 8, False).alias("less"), _below("cuts", F.col("key"), 8, True).alias("most")).collect()
     assert all((r.less, r.most) == (sum(c < r.key for c in cuts), sum(c <= r.key for c in cuts)) for r in got)
+
+
+def plain_likeness(one, two, orders=1_024):
+    """Share of independent orders whose two least numbered k-mers, in text order, are the same."""
+    import numpy as np
+    import xxhash
+
+    from patchsieve.llm.shingles import mix
+
+    salts = np.random.default_rng(5).integers(0, 1 << 64, orders, dtype=np.uint64)
+
+    def pairs(words):
+        seen, keys, names = {}, [], []
+        for n in range(len(words) - 2):
+            kmer = " ".join(words[n:n + 3])
+            seen[kmer] = seen.get(kmer, 0) + 1
+            names.append(xxhash.xxh64_intdigest(kmer))
+            keys.append(xxhash.xxh64_intdigest(f"{kmer} {seen[kmer]}"))
+        keys, names = np.array(keys, np.uint64), np.array(names, np.uint64)
+        least = np.array([np.sort(np.argpartition(mix(keys ^ s), 1)[:2]) for s in salts])
+        return names[least]
+
+    return float((pairs(one) == pairs(two)).all(1).mean())
+
+
+def test_estimates_follow_independent_orders(spark):
+    """The binned orders against a plain Order MinHash of independent ones; README has the error."""
+    import random
+
+    rows, want = [], []
+    for size in (20, 60, 200, 600, 2_000):
+        for seed in range(4):
+            rng = random.Random(size * 10 + seed)
+            words = [f"w{rng.randrange(size)}" for _ in range(size)]
+            few = [f"n{rng.random()}" if rng.random() < 0.03 * (seed + 1) else w for w in words]
+            cut = rng.randrange(size // 4, size // 2)
+            for other in (few, words[cut:] + words[:cut], words[:-(size // 3)] + few[:size // 3]):
+                rows.append((len(rows), size, " ".join(words), " ".join(other)))
+                want.append(plain_likeness(words, other))
+    df = spark.createDataFrame(rows, "n int, size int, a string, b string")
+    got = with_signature(with_signature(df, "a", "x"), "b", "y").select("n", "size", likeness(F.col("x"), F.col("y")).alias("near")).collect()
+    errors = {}
+    for r in got:
+        errors.setdefault(r["size"], []).append(r["near"] - want[r["n"]])
+    told = {s: (round(sum(e) / len(e), 3), round(sum(abs(x) for x in e) / len(e), 3)) for s, e in sorted(errors.items())}
+    print("mean error and mean absolute error by tokens:", told)
+    assert all(abs(bias) < 0.12 and off < 0.15 for bias, off in told.values()), told
