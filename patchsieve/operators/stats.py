@@ -546,6 +546,22 @@ def dataset_diversity(rows: DataFrame) -> DataFrame:
     )
 
 
+def diversity_breakdown(rows: DataFrame, by: tuple[str, ...] = ("repo", "label_source", "split")) -> DataFrame:
+    """(part, name, positive_commits, positive_files, largest_commit_files, commits_pct) per repository, source and split.
+
+    Positive files are folded to one row per change and combination first; a change counts once for each
+    of its sources. Each part is a grouping set of that fold, and the whole table (part ``all``) is one, too.
+    """
+    folded = rows.where(F.col("defect_label") == 1).groupBy("sha", *by).agg(F.count(F.lit(1)).alias("n"))
+    # a set at a time keeps a change's own columns and those of the set
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).cast("string").alias("name")) for c in by], F.struct(F.lit("all").alias("part"), F.lit("all").alias("name"))))
+    per_change = folded.select("sha", "n", parts.alias("p")).groupBy("p.part", "p.name", "sha").agg(F.sum("n").alias("n"))
+    out = per_change.groupBy("part", "name").agg(
+        F.count(F.lit(1)).alias("positive_commits"), F.sum("n").alias("positive_files"), F.max("n").alias("largest_commit_files"))
+    whole = out.where("part = 'all'").select(F.col("positive_commits").alias("__all"))
+    return beside(out, whole).withColumn("commits_pct", share(100.0 * F.col("positive_commits"), F.col("__all"))).drop("__all")
+
+
 def version_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Two one-row reports side by side, one row per number."""
     names = [n for n, kind in after.dtypes if kind in ("bigint", "int", "double")]

@@ -143,6 +143,50 @@ def validate_contract(t):
     return C.validate_contract(rows, ["commit_sha", "part"], "v1")
 
 
+# vectors of the full widths, with some rows that break a rule each
+def full_examples(t):
+    rows = examples(t)
+    q, x, h = (F.col("commit_features")[i] for i in range(3))
+    first = F.when(F.col("supp") % 71 == 2, F.lit(float("nan"))).when(F.col("supp") % 67 == 4, -q).otherwise(q)
+    vector = F.concat(F.array(first, x, h), F.array_repeat(F.lit(0.0), 26))
+    return rows.withColumn("commit_features", F.when(F.col("supp") % 83 == 1, F.slice(vector, 1, 28)).otherwise(vector))
+
+
+def full_experimental(t):
+    rows = experimental(t).join(examples(t).select(*X.KEY, "supp"), X.KEY)
+    e = F.col("experimental_features")
+    vector = F.when(F.col("supp") % 59 == 3, F.slice(e, 1, 5)).when(F.col("supp") % 61 == 5, F.lit(None)).when(
+        F.col("supp") % 53 == 7, F.transform(e, lambda v: -1 - v)).otherwise(e)
+    version = F.when(F.col("supp") % 47 == 9, "exp-4.4").otherwise(F.col("experimental_feature_version"))
+    path = F.when(F.col("supp") % 43 == 11, F.concat("file_path", F.lit(".x"))).otherwise(F.col("file_path"))
+    return rows.withColumn("experimental_features", vector).withColumn("experimental_feature_version", version).withColumn("file_path", path)
+
+
+@query("validate_contract_full", f"""WITH {EXAMPLES_SQL} SELECT count(*) AS rows, count(*) FILTER (defect_label = -1) AS ambiguous, count(*) FILTER (supp % 83 = 1) AS bad_change_size,
+ count(*) FILTER (supp % 97 = 3) AS bad_file_size, count(*) FILTER (supp % 90 = 5) AS bad_version, count(*) FILTER (supp % 97 = 3 OR (supp % 67 = 4 AND supp % 71 <> 2)) AS negative,
+ count(*) FILTER (supp % 71 = 2) AS not_a_number, 0 AS bad_sha, 0 AS duplicates FROM ex""")
+def validate_contract_full(t):
+    """Rows of the contract's widths: most pass every check, some break one."""
+    return C.validate_contract(full_examples(t), X.KEY, "v1")
+
+
+@query("validate_experimental", f"""WITH {EXP_SQL} SELECT count(*) AS rows, count(*) FILTER (supp % 59 = 3 OR supp % 61 = 5) AS bad_size, count(*) FILTER (supp % 47 = 9) AS bad_version,
+ count(*) FILTER (supp % 53 = 7 AND supp % 59 <> 3 AND supp % 61 <> 5) AS negative, 0 AS not_a_number, 0 AS duplicates, count(*) FILTER (supp % 43 = 11) AS unmatched FROM xp""")
+def validate_experimental(t):
+    return C.validate_experimental(full_experimental(t), examples(t), X.KEY, "exp-4.5a")
+
+
+@query("assemble_features_full", f"""WITH {EXP_SQL} SELECT e.commit_sha, e.file_path, e.supp % 97 = 3 AS malformed, CASE WHEN e.supp % 97 <> 3 THEN 29 + 16 + 6 END AS dims,
+ round(CASE WHEN e.supp % 97 <> 3 THEN e.q + e.x + e.h + 0.5 + (e.h = 0)::INT + (e.supp % 3 = 0)::INT + 2 * (e.q + round(e.x)) + coalesce(list_sum(f), 0) END, 4) AS total
+FROM ex e LEFT JOIN xp ON e.commit_sha = xp.commit_sha AND e.file_path = xp.file_path WHERE e.supp % 71 <> 2 AND e.supp % 67 <> 4 AND e.supp % 83 <> 1""")
+def assemble_features_full(t):
+    """Vectors of 29 + 16 + 6 values; a row with a malformed file vector stays and says so."""
+    rows = full_examples(t).where("supp % 71 <> 2 AND supp % 67 <> 4 AND supp % 83 <> 1")
+    out = X.assemble_features(rows, experimental(t), "E4", 16)
+    return out.select("commit_sha", "file_path", "malformed", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"),
+                      F.round(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
 @query("resume_todo", f"WITH {EXP_SQL} SELECT commit_sha, file_path FROM ex e WHERE NOT EXISTS (SELECT 1 FROM xp WHERE xp.commit_sha = e.commit_sha AND xp.file_path = e.file_path)")
 def resume_todo(t):
     return X.resume_todo(examples(t), experimental(t)).select(*X.KEY)
@@ -276,10 +320,10 @@ report AS MATERIALIZED (
 )"""
 
 
-@query("population_report", f"WITH {REPORT_SQL} SELECT part, name, metric, round(value, 5) AS value FROM report")
+@query("population_report", f"WITH {REPORT_SQL} SELECT part, name, metric, round(value, 6) AS value FROM report")
 def population_report(t):
     """The test split scored and evaluated: overall, by repository, global and with intervals; broken vectors are counted."""
-    return rounded(_population_report(t).where("part <> 'digest'"), 5)
+    return rounded(_population_report(t).where("part <> 'digest'"))
 
 
 @query("population_report_digest")

@@ -433,6 +433,18 @@ def dataset_diversity(t):
     return rounded(S.dataset_diversity(labeled_rows(t)))
 
 
+_BREAKDOWN_SQL = " UNION ALL ".join(
+    f"""SELECT '{part}' AS part, {name} AS name, count(*) AS positive_commits, sum(n)::BIGINT AS positive_files, max(n) AS largest_commit_files,
+ round(100.0 * count(*) / (SELECT count(DISTINCT sha) FROM lab WHERE defect_label = 1), 6) AS commits_pct
+ FROM (SELECT {column} AS c, sha, count(*) AS n FROM lab WHERE defect_label = 1 GROUP BY ALL) GROUP BY c"""
+    for part, column, name in (("repo", "repo", "c::VARCHAR"), ("label_source", "label_source", "c"), ("split", "split", "c"), ("all", "1", "'all'")))
+
+
+@query("diversity_breakdown", f"WITH {LABELED_SQL} {_BREAKDOWN_SQL}")
+def diversity_breakdown(t):
+    return rounded(S.diversity_breakdown(labeled_rows(t)))
+
+
 _V1 = "AND ts < TIMESTAMP '1998-01-01'"
 
 

@@ -9,7 +9,7 @@ from patchsieve.functions.paths import extension
 from patchsieve.operators.frames import beside, first_rows, percentiles
 from patchsieve.operators.metrics import share
 
-CHANGE_SIZE, FILE_SIZE, SHA_LENGTH = 29, 16, 40  # fixed values: lengths of the contract
+CHANGE_SIZE, FILE_SIZE, EXPERIMENTAL_SIZE, SHA_LENGTH = 29, 16, 6, 40  # fixed values: lengths of the contract
 ATTRIBUTED = ("explicit_sha_reference", "revert", "line_overlap", "ambiguous")
 
 
@@ -62,6 +62,29 @@ def validate_contract(
     return beside(counts, repeated)
 
 
+def validate_experimental(rows: DataFrame, base: DataFrame, key: list[str], version: str, size: int = EXPERIMENTAL_SIZE) -> DataFrame:
+    """One row of violation counts of the experimental vectors; all zero but the rows for a sound table.
+
+    ``unmatched`` counts rows without a row of ``base``, the examples that they describe.
+    """
+    vector = "experimental_features"
+    low = F.exists(vector, lambda x: x < 0)
+    bad_number = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # a null vector has no size
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.coalesce(F.size(vector) != size, F.lit(True))).alias("bad_size"),
+        F.count_if(F.coalesce(F.col("experimental_feature_version") != version, F.lit(True))).alias("bad_version"),
+        F.count_if(low).alias("negative"), F.count_if(bad_number).alias("not_a_number"),
+    )
+    keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    known = base.select(*key).distinct().withColumn("__known", F.lit(True))
+    checked = keys.join(known, key, "left").agg(
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum(F.when(F.col("__known").isNull(), F.col("n"))), F.lit(0)).alias("unmatched"))
+    return beside(counts, checked)
+
+
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One SHA-256 over the content, whatever the order and the partitions.
 
