@@ -423,6 +423,20 @@ def path_recommendation(row: DataFrame) -> DataFrame:
     )
 
 
+def recommendation_inputs(selection: DataFrame, seen: DataFrame, negative: DataFrame, splits: int = 3) -> DataFrame:
+    """The row that ``pu_recommendation`` judges, from one row of each analysis.
+
+    ``selection``  see ``selection_dependence``      ``negative``  negatives (defensible ones)
+    ``seen``       observed, others (files with and without a signal), s (splits with a signal)
+    Whether selection is at random cannot be tested without a negative. The two-sample statistics need both
+    kinds of files, ranking metrics a signal.
+    """
+    c = F.col
+    return beside(beside(selection, seen), negative).select(
+        "negatives", "observed", "signal_ratio", (splits - c("s")).alias("empty_splits"), "notable_count", (c("negatives") == 0).alias("selection_untestable"),
+        "repo_severity", (((c("observed") > 0) & (c("others") > 0)).cast("int") * 2 + (c("observed") > 0).cast("int")).alias("diagnostics"))
+
+
 def pu_recommendation(row: DataFrame) -> DataFrame:
     """Rule on the number of concerns: 4 stop, 2 restrict (one row)."""
     c = F.col

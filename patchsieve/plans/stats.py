@@ -345,6 +345,24 @@ def pu_recommendation(t):
     return rounded(S.pu_recommendation(row).drop("selection_untestable", "diagnostics"))
 
 
+# every input from the tables: defensible negatives, notable differences, what of selection can be tested, diagnostics at hand
+@query("pu_recommendation_computed", f"""WITH {CONC_SQL}, {COVER_SQL}, {CATEGORY_SQL}, {LINKS_SQL.replace("files AS (", "lfiles AS (").replace("FROM files", "FROM lfiles")},
+neg AS (SELECT count(*) FILTER (status <> 'CANDIDATE_NEGATIVE') AS negatives FROM (SELECT 'CANDIDATE_NEGATIVE' AS status FROM ctrl c WHERE NOT EXISTS (SELECT 1 FROM paths p WHERE p.sha = c.sha AND p.path = c.path))),
+k0 AS (SELECT (SELECT count(*) FROM cover WHERE notable) + (SELECT count(*) FROM cat WHERE observed > 0 AND unlabeled > 0 AND (os / us > 3 OR os / us < 0.33)) AS notable_count),
+o AS (SELECT count(*) FILTER (positive) AS observed, count(*) FILTER (NOT positive) AS others, count(DISTINCT l) FILTER (positive) AS s FROM (SELECT positive, line % 3 AS l FROM files)),
+i AS (SELECT negatives, observed, with_signal / total AS signal_ratio, 3 - s AS empty_splits, notable_count, negatives = 0 AS selection_untestable,
+  CASE WHEN top_5_share > .7 THEN 'high' WHEN top_5_share > .5 THEN 'medium' ELSE 'low' END AS repo_severity, (observed > 0 AND others > 0)::INT * 2 + (observed > 0)::INT AS diagnostics FROM conc, o, neg, k0),
+k AS (SELECT *, (signal_ratio < .2)::INT + empty_splits + (notable_count > 5)::INT + selection_untestable::INT + (repo_severity = 'high')::INT + (diagnostics < 3)::INT AS concerns FROM i)
+SELECT negatives, observed, round(signal_ratio, 6) AS signal_ratio, empty_splits, notable_count, selection_untestable, repo_severity, diagnostics, concerns,
+ CASE WHEN negatives > 0 THEN 'BINARY_SUPERVISION_NOT_SUPPORTED' WHEN observed = 0 OR concerns >= 4 THEN 'IMPROVE_ATTRIBUTION_FIRST' WHEN concerns >= 2 THEN 'PU_LEARNING_FEASIBLE_WITH_RESTRICTIONS' ELSE 'PU_LEARNING_FEASIBLE' END AS recommendation FROM k""")
+def pu_recommendation_computed(t):
+    seen = files(t).agg(
+        F.count_if("positive").alias("observed"), F.count_if(~F.col("positive")).alias("others"),
+        F.count_distinct(F.when(F.col("positive"), F.col("line") % 3)).alias("s"))
+    negative = A.candidate_negatives(links(t), linked_files(t)).agg(F.count_if(F.col("status") != "CANDIDATE_NEGATIVE").alias("negatives"))
+    return rounded(S.pu_recommendation(S.recommendation_inputs(_selection(t), seen, negative)))
+
+
 # ---- label composition ----------------------------------------------------------------------
 
 LABELED_SQL = REPO_FILES_SQL + """, lab AS (SELECT repo, cid AS sha, part AS path, ts, line, supp, CASE WHEN excluded THEN -1 WHEN positive THEN 1 ELSE 0 END AS defect_label,
