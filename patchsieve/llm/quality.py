@@ -1,7 +1,7 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives and unlabelled texts train a small network on language-neutral features of whole
-texts. Two bounded samples reach the driver as feature rows only; everything else is distributed.
+Trusted positives and unlabelled texts train a small network on features of whole texts: byte classes,
+sizes, repetition, and the words themselves, hashed to a fixed number of shares. Two bounded samples reach the driver as feature rows only; everything else is distributed.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ _CLASS = np.full(256, len(_GROUPS), np.uint8)
 for _n, _members in enumerate(_GROUPS):
     _CLASS[list(_members)] = _n
 CLASSES = len(_GROUPS) + 1
-FEATURES = CLASSES + 8
+WORD_BITS = 4  # words fall into so many shares, as a power of two, by the upper bits of their hash
+COUNTS = CLASSES + 8
+FEATURES = COUNTS + (1 << WORD_BITS)
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """One row per text: shares of byte classes, sizes, and how often words and word groups repeat."""
+    """One row per text: shares of byte classes, sizes, how often words and word groups repeat, shares of hashed words."""
     texts = strings(texts)
     raw, at = utf8(texts)
     out = np.zeros((len(texts), FEATURES), np.float32)
@@ -43,7 +45,7 @@ def features(texts: pa.Array) -> np.ndarray:
             size = hi - lo
             for part in range(lo, hi, 1 << 20):
                 out[row, :CLASSES] += np.bincount(_CLASS[raw[part:min(part + (1 << 20), hi)]], minlength=CLASSES)
-            tail = out[row, CLASSES:]
+            tail = out[row, CLASSES:COUNTS]
             out[row, :CLASSES] /= max(size, 1)
             tail[0], tail[1] = np.log1p(size), np.log1p(n)
             if n:
@@ -53,6 +55,7 @@ def features(texts: pa.Array) -> np.ndarray:
                 tail[3] = len(new) / n
                 tail[4] = np.diff(np.append(new, n)).max() / n
                 tail[5] = len(new) / np.sqrt(n)
+                out[row, COUNTS:] = np.bincount((h[word:word + n] >> _U(64 - WORD_BITS)).view(np.int64), minlength=1 << WORD_BITS) / n
             if n > 2:
                 tri = np.sort(wide[word:word + n - 2])
                 tail[6] = 1 + np.count_nonzero(tri[1:] != tri[:-1])

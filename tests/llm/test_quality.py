@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from corpus import documents, none
 
-from patchsieve.llm.quality import FEATURES, class_prior, features, fit, quality
+from patchsieve.llm.quality import FEATURES, class_prior, features, fit, quality, train, with_scores
 
 FOLDER = "/root/testdata/sf0.01"
 LABELS = "doc_id long, quality int, toxic int"
@@ -46,3 +46,18 @@ def test_cases(spark):
     empty = spark.createDataFrame([], LABELS)
     assert {r.score for r in quality(docs, empty).collect()} == {0.5}
     assert quality(none(spark), labels).count() == 0
+
+
+def test_words_themselves_count(spark):
+    """A text and the same text with other letters have the same classes, sizes and repetition, but not the same score."""
+    import codecs
+
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    texts = [r.text for r in docs.where("lang = 'en' AND n_chars BETWEEN 800 AND 3000").orderBy("doc_id").limit(40).collect()]
+    turned = [codecs.encode(t, "rot13") for t in texts]
+    one, two = features(pa.array(texts)), features(pa.array(turned))
+    assert np.allclose(one[:, :33], two[:, :33]) and all(abs(a - b).max() > 0.01 for a, b in zip(one[:, 33:], two[:, 33:]))
+    network, prior = train(docs, labels)
+    scored = with_scores(spark.createDataFrame(list(enumerate(texts + turned)), "doc_id long, text string"), network, prior)
+    score = {r.doc_id: r.score for r in scored.collect()}
+    assert np.mean([score[n] != score[n + len(texts)] for n in range(len(texts))]) > 0.9
