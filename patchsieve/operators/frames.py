@@ -220,6 +220,35 @@ def with_previous(
     return _by_group(out, carried, [*group, "__slice"], "left").select(*columns, F.when(F.col("__slice").isNull(), F.col("__own")).otherwise(recent).alias(name))
 
 
+def with_last(df: DataFrame, group: list[str], order: list[Column], n: int, entry: Column, name: str) -> DataFrame:
+    """Add the last n entries up to each row, oldest first, as an array; rows whose entry is null are not counted.
+
+    Entries are numbered in order; those of a row are the n last numbers so far. In a group that is cut, a
+    slice is handed the last n entries before it, found among the last n of every slice.
+    """
+    columns = df.columns
+    splits = _splits(df, group, order)
+    slices = Window.partitionBy(*_group_columns(group), "__slice")
+    whole = Window.partitionBy(*_group_columns(group))
+    names = _order_names(order)
+    cut = _sliced(df.withColumn("__e", entry).where(F.col("__e").isNotNull()), group, order, splits, "inner")
+    last = cut.withColumn("__back", F.row_number().over(slices.orderBy(F.desc("__o")))).where(F.col("__back") <= n)
+    ends = last.withColumn("__ends", F.collect_list("__e").over(whole.orderBy("__o").rowsBetween(1 - n, 0))).where(F.col("__back") == 1)
+    # a slice without entries has no row here, so a slice looks for the nearest one before it that has
+    ends = ends.select(*group, F.col("__slice").alias("__from"), "__ends")
+    out = _sliced(df.withColumn("__e", entry), group, order, splits, "left")
+    counted = out.withColumn("__k", F.count("__e").over(slices.orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.collect_list("__e").over(slices.orderBy("__k").rangeBetween(1 - n, 0))
+    counted = counted.select(*columns, "__slice", own.alias("__own"))
+    carried = ends.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__from", "__ends"))).alias("__all"))
+    before = F.filter("__all", lambda x: x["__from"] < F.col("__slice"))
+    carry = F.try_element_at(before, F.lit(-1))["__ends"]
+    both = F.concat(F.coalesce(carry, F.slice("__own", 1, 0)), "__own")
+    recent = F.slice(both, F.greatest(F.lit(1), F.size(both) - n + 1), n)
+    joined = _by_group(counted, carried, group, "left")
+    return joined.select(*columns, F.when(F.col("__slice").isNull(), F.col("__own")).otherwise(recent).alias(name))
+
+
 def first_rows(df: DataFrame, group: list[str], order: list[Column], k: int, name="row") -> DataFrame:
     """First k rows per group; Spark keeps only k rows per group before the shuffle."""
     w = Window.partitionBy(*_group_columns(group)).orderBy(*order)

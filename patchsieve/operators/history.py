@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.operators.diffs import NO_FILE
-from patchsieve.operators.frames import frame, reused, with_previous
+from patchsieve.operators.frames import frame, reused, with_last
 
 DAY = 86400
 
@@ -98,26 +98,21 @@ def recent_history(
     not after the candidate's ``ts``; then, of these, only the ones whose ``ts``
     is strictly before. Positions follow the committed time, so the first step is
     one prefix of that order: up to the earlier of the candidate's two times, and
-    within equal times up to its position. Every touch carries its last n touches
-    as a small array; one ordered pass hands the array on to the candidates.
+    within equal times up to its position. One ordered pass over touches and candidates
+    gives every candidate the last n touches before it.
     """
     nothing = F.lit(None)
     entry = "array<struct<ts:timestamp,loose_fix:boolean>>"
-    seen = with_previous(
-        touches.select(*keys, *pos, "ts", "committed", "loose_fix"),
-        keys, [F.col("committed"), *map(F.col, pos)], n,
-        F.struct(F.col("ts").cast("timestamp").alias("ts"), "loose_fix"), "__past",
-    ).select(
-        *keys, *pos, F.col("committed").cast("timestamp").alias("__at"), F.lit(1).alias("__touch"),
-        nothing.cast("timestamp").alias("ts"), F.col("__past").cast(entry).alias("__past"),
+    seen = touches.select(
+        *keys, *pos, F.col("committed").cast("timestamp").alias("__at"), F.lit(1).alias("__touch"), nothing.cast("timestamp").alias("ts"),
+        F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("loose_fix").cast("boolean").alias("loose_fix")).alias("__entry"),
     )
     asked = candidates.select(*keys, *pos, "ts", "committed").distinct().select(
         *keys, *pos, F.least("ts", "committed").cast("timestamp").alias("__at"), F.lit(0).alias("__touch"),
-        F.col("ts").cast("timestamp").alias("ts"), nothing.cast(entry).alias("__past"),
+        F.col("ts").cast("timestamp").alias("ts"), nothing.cast("struct<ts:timestamp,loose_fix:boolean>").alias("__entry"),
     )
-    met = frame(
-        seen.unionByName(asked), keys, [F.col("__at"), *map(F.col, pos), F.col("__touch")],
-        lasts={"__found": F.col("__past")},
+    met = with_last(
+        seen.unionByName(asked), keys, [F.col("__at"), *map(F.col, pos), F.col("__touch")], n, F.col("__entry"), "__found",
     ).where(F.col("__touch") == 0)
     earlier = F.filter(F.coalesce("__found", F.array().cast(entry)), lambda x: x["ts"] < F.col("ts"))
     met = met.withColumn("__found", earlier)

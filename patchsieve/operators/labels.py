@@ -195,19 +195,20 @@ def ambiguous_evidence(
     nearest = frame(
         once, [*repo, "path"], [-F.col("pos")], lasts={"fix": F.when(F.col("is_fix"), F.col("pos"))}
     )
-    first = nearest.groupBy(*repo, "pos").agg(F.min("fix").alias("fix")).where(
+    # two compact tables, a few numbers for each change, so that the plans of what follows stay small
+    first = reused(nearest.groupBy(*repo, "pos").agg(F.min("fix").alias("fix")).where(
         F.col("fix") - F.col("pos") <= window
-    )
-    timed = frame(
+    ))
+    timed = reused(frame(
         changes.select(*repo, "pos", "ts"), repo, [F.col("pos")],
         maxes={"__latest": micros(F.col("ts"))}, inclusive=True,
-    ).withColumn("__us", micros(F.col("ts")))
+    ).withColumn("__us", micros(F.col("ts"))))
     at_fix = timed.select(
         *repo, F.col("pos").alias("fix"), F.col("__us").alias("__fix_us"), F.col("__latest").alias("__fix_latest")
     )
     probes = first.join(timed.select(*repo, "pos", "__us"), [*repo, "pos"]).join(at_fix, [*repo, "fix"])
     cut = F.col("__us") + F.lit((days + 1) * DAY * 1_000_000).cast("long")
-    probes = reused(probes.withColumn("__cut", cut))
+    probes = probes.withColumn("__cut", cut)
     reached = F.col("__cut").isNull() | F.col("__fix_latest").isNull() | (F.col("__fix_latest") < F.col("__cut"))
     past = F.col("__fix_us") >= F.col("__cut")
     sure = probes.where(reached).select(*repo, "pos")

@@ -124,6 +124,20 @@ def test_previous_rows_cross_slice_ends(spark, slices, group, n):
     assert len(got) == 900
 
 
+@pytest.mark.parametrize("group", [["g"], []])
+@pytest.mark.parametrize("n", [1, 5, 50])
+def test_last_entries_leave_out_rows_without_one(spark, slices, group, n):
+    df = rows(spark)
+    out = frames.with_last(df, group, [F.col("seq")], n, F.col("mark"), "p")
+    got = {r["seq"]: list(r["p"]) for r in out.collect()}
+    groups = {}
+    for r in sorted(df.collect(), key=lambda r: r["seq"]):
+        members = groups.setdefault(r["g"] if group else None, [])
+        members += [r["mark"]] * (r["mark"] is not None)
+        assert got[r["seq"]] == members[-n:]
+    assert len(got) == 900
+
+
 def test_summary_equals_builtin(spark, slices):
     df = rows(spark).withColumn("x", F.col("v") * F.col("seq"))
     moments = {m: m for m in ("count", "mean", "std", "min", "max")}
