@@ -48,7 +48,7 @@ def within_group_metrics(
     A group without positives has recall 0 and counts as captured.
     """
     counts = group_counts(
-        rank_in_group(df, group, score, [F.col(c) for c in seq]), group, positive, budgets
+        rank_in_group(df.select(*group, *seq, score, positive), group, score, [F.col(c) for c in seq]), group, positive, budgets
     )
     return per_budget(counts, group, budgets)
 

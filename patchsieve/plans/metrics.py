@@ -39,7 +39,7 @@ def long_sql(keep: str, source: str = "counts") -> str:
 
 def counts(t):
     return M.group_counts(
-        M.rank_in_group(ranked(t), ["cid"], "score", [F.col(c) for c in SEQ]), ["cid"], "positive"
+        M.rank_in_group(ranked(t).select("cid", *SEQ, "score", "positive"), ["cid"], "score", [F.col(c) for c in SEQ]), ["cid"], "positive"
     )
 
 
@@ -170,7 +170,7 @@ REPO_COUNTS_SQL = REPO_FILES_SQL + ", " + counts_sql("repo_files", "total", "rep
 
 
 def repo_counts(t):
-    base = M.rank_in_group(repo_files(t), ["repo", "cid"], "total", [F.col(c) for c in SEQ])
+    base = M.rank_in_group(repo_files(t).select("repo", "cid", *SEQ, "total", "positive"), ["repo", "cid"], "total", [F.col(c) for c in SEQ])
     return M.group_counts(base, ["repo", "cid"], "positive")
 
 
@@ -227,7 +227,7 @@ def dominance(t):
 
 def flagship(t):
     """Rank, evaluate within each change, aggregate."""
-    scored = rank_priority(files(t), ["cid"], "total", SEQ, "excluded")
+    scored = rank_priority(files(t), ["cid"], "total", SEQ, "excluded").select("cid", *SEQ, "score", "positive")
     by_rank = M.rank_in_group(scored, ["cid"], "score", [F.col(c) for c in SEQ])
     return rounded(M.aggregate_group_metrics(M.group_counts(by_rank, ["cid"], "positive")))
 

@@ -164,14 +164,14 @@ def full_experimental(t):
 
 @query("validate_contract_full", f"""WITH {EXAMPLES_SQL} SELECT count(*) AS rows, count(*) FILTER (defect_label = -1) AS ambiguous, count(*) FILTER (supp % 83 = 1) AS bad_change_size,
  count(*) FILTER (supp % 97 = 3) AS bad_file_size, count(*) FILTER (supp % 90 = 5) AS bad_version, count(*) FILTER (supp % 97 = 3 OR (supp % 67 = 4 AND supp % 71 <> 2)) AS negative,
- count(*) FILTER (supp % 71 = 2) AS not_a_number, 0 AS bad_sha, 0 AS duplicates FROM ex""")
+ count(*) FILTER (supp % 71 = 2) AS not_a_number, 0 AS bad_sha, count(*) - count(DISTINCT (commit_sha, file_path)) AS duplicates FROM ex""")
 def validate_contract_full(t):
     """Rows of the contract's widths: most pass every check, some break one."""
     return C.validate_contract(full_examples(t), X.KEY, "v1")
 
 
 @query("validate_experimental", f"""WITH {EXP_SQL} SELECT count(*) AS rows, count(*) FILTER (supp % 59 = 3 OR supp % 61 = 5) AS bad_size, count(*) FILTER (supp % 47 = 9) AS bad_version,
- count(*) FILTER (supp % 53 = 7 AND supp % 59 <> 3 AND supp % 61 <> 5) AS negative, 0 AS not_a_number, 0 AS duplicates, count(*) FILTER (supp % 43 = 11) AS unmatched FROM xp""")
+ count(*) FILTER (supp % 53 = 7 AND supp % 59 <> 3 AND supp % 61 <> 5) AS negative, 0 AS not_a_number, count(*) - count(DISTINCT (commit_sha, file_path)) AS duplicates, count(*) FILTER (supp % 43 = 11) AS unmatched FROM xp""")
 def validate_experimental(t):
     return C.validate_experimental(full_experimental(t), examples(t), X.KEY, "exp-4.5a")
 

@@ -28,7 +28,7 @@ def customer_files(t):
 
 
 def customer_counts(t, score):
-    ranked = M.rank_in_group(customer_files(t), ["cust"], score, [F.col(c) for c in ["cid", *SEQ]])
+    ranked = M.rank_in_group(customer_files(t).select("cust", "cid", *SEQ, score, "positive"), ["cust"], score, [F.col(c) for c in ["cid", *SEQ]])
     return M.group_counts(ranked, ["cust"], "positive")
 
 
