@@ -123,6 +123,7 @@ def file_evidence(pairs: DataFrame, sides: DataFrame, pair_partially: bool = Tru
 
 def rationale() -> Column:
     """Why a file has its level, in words."""
+    # fixed values: the texts of the rationale
     c = F.col
     content = F.when(c("correspondence_exists"), F.format_string("content correspondence (%d exact, %d partial)", "exact_match_count", "partial_match_count"))
     region = F.when(c("overlap_exists"), F.format_string("region overlap (%d lines)", "overlap_lines"))
