@@ -85,14 +85,11 @@ def commit_level_model(
     return evaluated.join(scores, group, "left").fillna(0.0, ["score"])
 
 
-def pair_gaps(files: DataFrame, group: list[str], seq: list[str], features: list[str], most: int = 1_000_000) -> DataFrame:
-    """(gap): feature differences of the strong and weak files of a change, for all pairs up to ``most``."""
-    pairs = P.strong_weak_pairs(files, group, seq, most)
-    values = files.select(*group, F.struct(*seq).alias("__at"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
-    def side(mark):
-        return values.select(*group, F.col("__at").alias(mark), F.col("v").alias(f"{mark}_v"))
-    both = pairs.join(side("s"), [*group, "s"]).join(side("w"), [*group, "w"])
-    return both.select(F.zip_with("s_v", "w_v", lambda a, b: a - b).alias("gap"))
+def pair_gaps(files: DataFrame, group: list[str], seq: list[str], features: list[str], most: int | None = None) -> DataFrame:
+    """(gap): feature differences of the strong and weak files of a change, for all pairs or, if given, ``most`` at most."""
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    pairs = P.strong_weak_pairs(files.withColumn("__v", vector), group, seq, most, also=["__v"])
+    return pairs.select(F.zip_with("s.__v", "w.__v", lambda a, b: a - b).alias("gap"))
 
 
 def fit_pairwise(gaps: DataFrame, max_iter: int = 1000) -> list[float]:
@@ -106,11 +103,11 @@ def fit_pairwise(gaps: DataFrame, max_iter: int = 1000) -> list[float]:
 
 
 def pairwise_ranker(
-    files: DataFrame, evaluated: DataFrame, group: list[str], seq: list[str], features: list[str], most: int = 1_000_000
+    files: DataFrame, evaluated: DataFrame, group: list[str], seq: list[str], features: list[str], most: int | None = None
 ) -> DataFrame:
     """Linear score fitted on the differences of all strong and weak files of a change.
 
-    All pairs are fitted up to ``most``, a bounded part of them beyond; see ``strong_weak_pairs``.
+    ``most`` bounds the pairs, see ``strong_weak_pairs``; without it all are fitted.
     """
     weights = fit_pairwise(reused(pair_gaps(files, group, seq, features, most)))
     score = sum((F.lit(w) * F.col(f) for w, f in zip(weights, features)), F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchsieve.operators.attribution import COMMIT_ONLY, MODERATE, PARTIAL, STRONG, UNKNOWN, WEAK
 from patchsieve.operators.diffs import NO_FILE
-from patchsieve.operators.frames import beside, first_rows, frame, reused
+from patchsieve.operators.frames import beside, first_rows, frame, reused, spread
 from patchsieve.operators.history import DAY, micros
 from patchsieve.operators.metrics import share
 from patchsieve.operators.stats import distribution
@@ -167,15 +167,27 @@ def aligned_pairs(files: DataFrame, group: list[str], seq: list[str], strong=STR
     )
 
 
-def strong_weak_pairs(files: DataFrame, group: list[str], seq: list[str], most: int = 1_000_000, strong=STRONG, weak=WEAK) -> DataFrame:
-    """The pairs of a strong and a weak file of a change: (group, strong_seq, weak_seq).
+def strong_weak_pairs(
+    files: DataFrame, group: list[str], seq: list[str], most: int | None = None, strong=STRONG, weak=WEAK, also: list[str] | None = None,
+) -> DataFrame:
+    """The pairs of a strong and a weak file of a change: (group, s, w), structs of ``seq`` and the columns of ``also``.
 
-    The pairs of all changes are numbered through by running counts of their products; pair p of a
-    change is strong file p div w with weak file p mod w. Up to ``most`` pairs are given all; of more, every
-    k-th over all changes, so that no product is built and at most ``most`` rows come out.
+    All pairs are given: every strong file is dealt the numbers of the weak files and meets them one by one, so no
+    task holds a product. With ``most``, the pairs of all changes are numbered through by running counts of their
+    products (pair p of a change is strong file p div w with weak file p mod w); up to ``most`` pairs are given
+    all, of more every k-th over all changes, so at most ``most`` rows come out.
     """
+    file = F.struct(*seq, *(also or []))
+    if most is None:
+        own = files.where(F.col("identity") & F.col("level").isin(strong, weak)).select(*group, *seq, "level", *(also or []))
+        is_weak = (F.col("level") == weak).cast("long")
+        placed = reused(frame(own, group, [F.col(c) for c in seq], sums={"__iw": is_weak}, totals={"__w": is_weak}, inclusive=True))
+        dealt = spread(placed.where((F.col("level") == strong) & (F.col("__w") > 0)).select(*group, file.alias("s"), "__w"))
+        dealt = dealt.select(*group, "s", F.explode(F.sequence(F.lit(1).cast("long"), "__w")).alias("__iw"))
+        others = placed.where(F.col("level") == weak).select(*group, "__iw", file.alias("w"))
+        return dealt.join(others, [*group, "__iw"]).select(*group, "s", "w")
     sided = files.where(F.col("identity") & F.col("level").isin(strong, weak))
-    ranked = frame(sided.select(*group, *seq, "level"), [*group, "level"], [F.col(c) for c in seq], row="__i")
+    ranked = frame(sided.select(*group, *seq, "level", *(also or [])), [*group, "level"], [F.col(c) for c in seq], row="__i")
     sizes = sided.groupBy(*group).agg(
         F.count_if(F.col("level") == strong).alias("__s"), F.count_if(F.col("level") == weak).alias("__w")
     ).where((F.col("__s") > 0) & (F.col("__w") > 0))
@@ -189,7 +201,7 @@ def strong_weak_pairs(files: DataFrame, group: list[str], seq: list[str], most:
     numbers = taken.select(*group, (F.floor(own / F.col("__w")) + 1).alias("__is"), (own % F.col("__w") + 1).alias("__iw"))
 
     def side(level: str, mark: str) -> DataFrame:
-        return ranked.where(F.col("level") == level).select(*group, F.col("__i").alias(f"__i{mark}"), F.struct(*seq).alias(mark))
+        return ranked.where(F.col("level") == level).select(*group, F.col("__i").alias(f"__i{mark}"), file.alias(mark))
 
     return numbers.join(side(strong, "s"), [*group, "__is"]).join(side(weak, "w"), [*group, "__iw"]).select(*group, "s", "w")
 
