@@ -68,7 +68,7 @@ def margin(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFram
 def pu_ranker(train: DataFrame, evaluated: DataFrame, features: list[str], label: str, split: list[str] | None = None) -> DataFrame:
     """Positive against unlabeled: margin scaled to 0 .. 1 within each evaluated split."""
     scored = margin(fit_balanced_logistic(train, features, label), evaluated, "__margin")
-    return R.minmax_normalize(scored, "__margin", "score", split, tolerance=0.0).drop("__margin")
+    return R.minmax_normalize(scored, "__margin", "score", split, tolerance=0.0, few=True).drop("__margin")
 
 
 def commit_level_model(

@@ -144,12 +144,15 @@ def rank_predictions(df: DataFrame, group: list[str], score: str, seq: list[str]
 
 
 def minmax_normalize(
-    df: DataFrame, value: str, name: str, group: list[str] | None = None, tolerance: float = 1e-12
+    df: DataFrame, value: str, name: str, group: list[str] | None = None, tolerance: float = 1e-12, few: bool = False
 ) -> DataFrame:
-    """(x - min) / (max - min); a spread within ``tolerance`` gives 0.5."""
+    """(x - min) / (max - min); a spread within ``tolerance`` gives 0.5.
+
+    ``few`` groups hold much of the table each: their ends travel to the rows, as rows sorted by group would fill few tasks.
+    """
     group = group or []
     ends = df.groupBy(*group).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    joined = df.join(ends, group) if group else beside(df, ends)
+    joined = df.join(F.broadcast(ends) if few else ends, group) if group else beside(df, ends)
     spread = F.col("__hi") - F.col("__lo")
     return joined.withColumn(
         name,

@@ -3,6 +3,12 @@ from pyspark.sql import functions as F
 from patchsieve.operators import models as L
 
 
+def table(spark, n=3000):
+    df = spark.range(n).select(
+        "id", (F.col("id") * 7 % 13).alias("a"), (F.col("id") * 5 % 11).cast("double").alias("b"), (F.col("id") % 3 == 0).alias("c"))
+    return df.withColumn("label", ((F.col("a") > 6) & (F.col("b") < 8) | F.col("c") & (F.col("b") > 3)).cast("double"))
+
+
 def test_all_pairs_of_a_large_change_are_fitted(spark):
     df = spark.range(2100).select(
         F.lit(1).alias("c"), F.col("id").alias("f"), F.lit(True).alias("identity"), (F.col("id") * 3 % 17).alias("a"),
@@ -12,3 +18,13 @@ def test_all_pairs_of_a_large_change_are_fitted(spark):
     rows = df.collect()
     want = sum(r.a for r in rows[:1100]) * 1000 - sum(r.a for r in rows[1100:]) * 1100
     assert gaps.agg(F.sum(F.col("gap")[0])).first()[0] == want
+
+
+def test_rows_are_not_dealt_by_split(spark, capsys):
+    df = table(spark).withColumn("split", F.when(F.col("id") % 10 < 7, "train").otherwise("test"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        L.pu_ranker(df.where("split = 'train'"), df, ["a", "b"], "label", ["split"]).explain("formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in capsys.readouterr().out
