@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, QuantileDiscretizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +13,14 @@ from patchsieve.operators import metrics as M
 from patchsieve.operators import populations as P
 from patchsieve.operators import ranking as R
 from patchsieve.operators.features import mean_vector
-from patchsieve.operators.frames import beside, reused
+from patchsieve.operators.frames import beside, reused, written
 from patchsieve.operators.stats import unpivoted
 
 # fixed values: settings of the boosted trees at file and at change level
 FILE_TREES = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}
 CHANGE_TREES = {"maxIter": 100, "maxDepth": 4, "stepSize": 0.1}
+BINS = 32  # fixed value: bins of a feature that trees split between
+_BIN = "__bin_"
 PAIR_PENALTY = 0.01  # fixed value: weight of the squared weights in the pairwise fit
 
 
@@ -44,20 +46,45 @@ def fit_balanced_logistic(train: DataFrame, features: list[str], label: str, max
     return Pipeline(stages=stages).fit(weighted(train, label, balanced=True))
 
 
+def binned(train: DataFrame, features: list[str], label: str) -> tuple[Bucketizer, DataFrame]:
+    """The bins of the features (``__bin_...``), and the weighted training rows with one row per bins and label.
+
+    Trees split between bins only, so rows of equal bins and label always take the same way; one row with their
+    summed weight gives the same trees, and the fit does not grow with the rows.
+    """
+    names = [_BIN + f for f in features]
+    rows = weighted(train.select(*features, label), label, balanced=False)
+    bins = QuantileDiscretizer(inputCols=features, outputCols=names, numBuckets=BINS, relativeError=1e-4).fit(rows)
+    equal = bins.transform(rows).groupBy(*names, label).agg(F.sum("__weight").alias("__weight"))
+    # other metadata than the bucketizer's, which call the bins categories without an order
+    ordered = [F.col(n).alias(n, metadata={"bin_of": f}) for n, f in zip(names, features)]
+    return bins, reused(equal.select(*ordered, label, "__weight"))
+
+
 def fit_boosted_trees(train: DataFrame, features: list[str], label: str, seed: int = 42, **settings) -> PipelineModel:
+    bins, rows = binned(train, features, label)
     trees = GBTClassifier(
-        featuresCol="__raw", labelCol=label, weightCol="__weight", seed=seed, **{**FILE_TREES, **settings}
+        featuresCol="__raw", labelCol=label, weightCol="__weight", maxBins=BINS, seed=seed, **{**FILE_TREES, **settings}
     )
-    assembler = VectorAssembler(inputCols=features, outputCol="__raw")
-    return Pipeline(stages=[assembler, trees]).fit(weighted(train, label, balanced=False))
+    assembler = VectorAssembler(inputCols=[_BIN + f for f in features], outputCol="__raw")
+    return PipelineModel([bins, assembler, trees.fit(assembler.transform(rows))])
 
 
 _WORK = ("__raw", "__x", "rawPrediction", "probability", "prediction")
 
 
 def probability(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
-    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    return out.drop(*_WORK)
+    """The probability of label 1. A model on bins scores each set of bins once, and rows look theirs up."""
+    first = model.stages[0]
+    if isinstance(first, Bucketizer):
+        bins, rows = first.getOutputCols(), first.transform(df)
+        each = _scored(PipelineModel(model.stages[1:]), rows.select(*bins).distinct(), name)
+        return rows.join(written(each, "scores"), bins).drop(*bins)
+    return _scored(model, df, name)
+
+
+def _scored(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop(*_WORK)
 
 
 def margin(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:

@@ -1,3 +1,7 @@
+import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from patchsieve.operators import models as L
@@ -9,6 +13,21 @@ def table(spark, n=3000):
     return df.withColumn("label", ((F.col("a") > 6) & (F.col("b") < 8) | F.col("c") & (F.col("b") > 3)).cast("double"))
 
 
+def test_trees_on_bins_equal_trees_on_rows(spark):
+    df = table(spark)
+    _, rows = L.binned(df, ["a", "b"], "label")
+    assert rows.count() <= 13 * 11 * 2 and rows.agg(F.sum("__weight")).first()[0] == pytest.approx(
+        L.weighted(df, "label", False).agg(F.sum("__weight")).first()[0])
+    settings = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.1}
+    got = L.probability(L.fit_boosted_trees(df, ["a", "b"], "label", **settings), df)
+    assert got.columns == [*df.columns, "score"] and got.count() == df.count()
+    plain = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="__raw"), GBTClassifier(
+        featuresCol="__raw", labelCol="label", weightCol="__weight", seed=42, **settings)]).fit(L.weighted(df, "label", False))
+    want = L.probability(plain, df).select("id", F.col("score").alias("want"))
+    worst = got.join(want, "id").agg(F.max(F.abs(F.col("score") - F.col("want")))).first()[0]
+    assert worst < 1e-9
+
+
 def test_all_pairs_of_a_large_change_are_fitted(spark):
     df = spark.range(2100).select(
         F.lit(1).alias("c"), F.col("id").alias("f"), F.lit(True).alias("identity"), (F.col("id") * 3 % 17).alias("a"),
