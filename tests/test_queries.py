@@ -69,3 +69,10 @@ def test_no_evidence_is_shuffled(spark, capsys, name):
     sections = capsys.readouterr().out.split("\n\n")
     exchanged = [x.split("Input ", 1)[1].splitlines()[0] for x in sections if ") Exchange" in x and "Input " in x]
     assert exchanged and not any(c in x for x in exchanged for c in ("evidence#", "history#", "__cheap#"))
+
+
+def test_status_pattern_collects_nothing(spark, capsys):
+    """A change is one row of marks: links meet two rows, and no set is collected."""
+    entry.queries()["status_pattern"](spark, FOLDER).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "collect_set" not in plan and "Union" not in plan
