@@ -70,19 +70,18 @@ def validate_experimental(rows: DataFrame, base: DataFrame, key: list[str], vers
     vector = "experimental_features"
     low = F.exists(vector, lambda x: x < 0)
     bad_number = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # a null vector has no size
-    counts = rows.agg(
-        F.count(F.lit(1)).alias("rows"),
+    # one pass over the rows: the counts of a key, then of all; a null vector has no size
+    keys = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
         F.count_if(F.coalesce(F.size(vector) != size, F.lit(True))).alias("bad_size"),
         F.count_if(F.coalesce(F.col("experimental_feature_version") != version, F.lit(True))).alias("bad_version"),
         F.count_if(low).alias("negative"), F.count_if(bad_number).alias("not_a_number"),
     )
-    keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     known = base.select(*key).distinct().withColumn("__known", F.lit(True))
-    checked = keys.join(known, key, "left").agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
-        F.coalesce(F.sum(F.when(F.col("__known").isNull(), F.col("n"))), F.lit(0)).alias("unmatched"))
-    return beside(counts, checked)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return keys.join(known, key, "left").agg(
+        total("n").alias("rows"), *[total(c).alias(c) for c in ("bad_size", "bad_version", "negative", "not_a_number")],
+        total(F.col("n") - 1).alias("duplicates"), total(F.when(F.col("__known").isNull(), F.col("n"))).alias("unmatched"))
 
 
 def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
