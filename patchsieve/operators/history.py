@@ -116,8 +116,25 @@ def recent_history(
     met = with_last(
         seen.unionByName(asked), keys, [F.col("__at"), *map(F.col, pos), F.col("__touch")], n, F.col("__entry"), "__found",
     ).where(F.col("__touch") == 0)
-    earlier = F.filter(F.coalesce("__found", F.array().cast(entry)), lambda x: x["ts"] < F.col("ts"))
-    met = met.withColumn("__found", earlier)
+    return _found(met.withColumn("__found", F.coalesce("__found", F.array().cast(entry))), keys, pos)
+
+
+def recent_history_of_touches(touches: DataFrame, keys: list[str], pos: list[str], n: int = 5) -> DataFrame:
+    """``recent_history`` of the touches themselves, for touches whose ``ts`` is not before their ``committed`` time.
+
+    Positions follow the committed time and are told once, so a touch stands at its own place in the order, right
+    after the touches that it is asked about: one row is both sides, and half as many rows are shuffled and sorted.
+    """
+    entry = F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("loose_fix").cast("boolean").alias("loose_fix"))
+    rows = touches.select(*keys, *pos, entry.alias("__entry"))
+    met = with_last(rows, keys, [F.col(c) for c in pos], n + 1, F.col("__entry"), "__found")
+    own = F.element_at("__found", -1)["ts"]
+    return _found(met.select(*keys, *pos, own.alias("ts"), F.slice("__found", 1, F.size("__found") - 1).alias("__found")), keys, pos)
+
+
+def _found(met: DataFrame, keys: list[str], pos: list[str]) -> DataFrame:
+    """What is told of the last touches (``__found``) whose time is before ``ts``."""
+    met = met.withColumn("__found", F.filter("__found", lambda x: x["ts"] < F.col("ts")))
     newest = F.try_element_at(F.col("__found"), F.lit(-1))["ts"]
     return met.select(
         *keys, *pos, F.size("__found").cast("long").alias("recent_commits"),

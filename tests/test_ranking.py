@@ -161,3 +161,27 @@ def test_evidence_meets_the_past_of_files_on_one_side_only(spark):
     own, root = ["lines_changed", "test_file", "change_concentration"], ["root_commit"]
     assert kinds(E.merge_evidence(facts, past, ["f"])) == {1: own, 2: own + root, 3: root}
     assert kinds(E.investigation_view(facts, past, ["f"])) == {1: own, 2: own + root}
+
+
+def test_touches_are_their_own_candidates(spark, capsys):
+    day = F.timestamp_seconds(F.floor(F.col("id") / 3) * 43200)
+    t = spark.range(400).select(
+        F.lit("r").alias("repo"), (F.col("id") % 2).alias("path"), day.alias("day"), F.col("id").alias("cid"), day.alias("ts"), day.alias("committed"),
+        (F.col("id") % 3 == 0).alias("loose_fix"))
+    keys, pos = ["repo", "path"], ["day", "cid"]
+    spark.conf.set("patchsieve.sliceRows", "40")
+    try:
+        want = sorted(H.recent_history(t, t, keys, pos, distinct=True).collect())
+        got = H.recent_history_of_touches(t, keys, pos)
+        assert sorted(got.collect()) == want and len(want) == 400
+        got.explain()
+    finally:
+        spark.conf.unset("patchsieve.sliceRows")
+    assert "Union" not in capsys.readouterr().out
+
+
+def test_recent_history_of_the_lines_reads_a_touch_once(spark, capsys):
+    from patchsieve.plans.catalog import QUERIES
+
+    QUERIES["merge_evidence"](spark, "/root/testdata/sf0.001").explain()
+    assert "Union" not in capsys.readouterr().out
