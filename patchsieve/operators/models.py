@@ -20,6 +20,7 @@ from patchsieve.operators.stats import unpivoted
 FILE_TREES = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1}
 CHANGE_TREES = {"maxIter": 100, "maxDepth": 4, "stepSize": 0.1}
 BINS = 32  # fixed value: bins of a feature that trees split between
+TREE_ROWS = 40_000  # fixed value: rows a task of a tree fit has; a fit is many short jobs
 _BIN = "__bin_"
 PAIR_PENALTY = 0.01  # fixed value: weight of the squared weights in the pairwise fit
 
@@ -58,7 +59,8 @@ def binned(train: DataFrame, features: list[str], label: str) -> tuple[Bucketize
     equal = bins.transform(rows).groupBy(*names, label).agg(F.sum("__weight").alias("__weight"))
     # other metadata than the bucketizer's, which call the bins categories without an order
     ordered = [F.col(n).alias(n, metadata={"bin_of": f}) for n, f in zip(names, features)]
-    return bins, reused(equal.select(*ordered, label, "__weight"))
+    kept = reused(equal.select(*ordered, label, "__weight"))
+    return bins, kept.coalesce(kept.count() // TREE_ROWS + 1)
 
 
 def fit_boosted_trees(train: DataFrame, features: list[str], label: str, seed: int = 42, **settings) -> PipelineModel:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchsieve.operators import metrics as M
 from patchsieve.operators import models as L
-from patchsieve.operators.frames import beside, reused
+from patchsieve.operators.frames import beside, reused, written
 from patchsieve.operators.ranking import rank_priority
 from patchsieve.operators.ranking import top_cut_capture as top_cuts
 from patchsieve.plans.bindings import FILES_SQL, RANKED_SQL, REPO_FILES_SQL, SEQ
@@ -24,6 +24,11 @@ def rows_of(t):
     )
 
 
+def fit_rows(t, *also):
+    """What a fit and its evaluation read many times, joined once and written."""
+    return written(rows_of(t).select("split", "label", *FEATURES, *also), "rows")
+
+
 def _train(rows):
     return rows.where(F.col("split") == "train")
 
@@ -34,7 +39,7 @@ def _by_split(scored):
 
 @query("balanced_logistic")
 def balanced_logistic(t):
-    rows = rows_of(t)
+    rows = fit_rows(t)
     return _by_split(L.probability(L.fit_balanced_logistic(_train(rows), FEATURES, "label"), rows))
 
 
@@ -61,7 +66,7 @@ def balanced_logistic_fit(t):
 FROM files GROUP BY 1""")
 def pu_ranker_bounds(t):
     """Margins are scaled to 0 .. 1 within every split."""
-    rows = rows_of(t)
+    rows = fit_rows(t)
     scored = L.pu_ranker(_train(rows), rows, FEATURES, "label", ["split"])
     return rounded(scored.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("label").cast("long").alias("positives"), F.min("score").alias("least"), F.max("score").alias("largest")))
@@ -69,13 +74,13 @@ def pu_ranker_bounds(t):
 
 @query("pu_ranker")
 def pu_ranker(t):
-    rows = rows_of(t)
+    rows = fit_rows(t)
     return _by_split(L.pu_ranker(_train(rows), rows, FEATURES, "label", ["split"]))
 
 
 @query("boosted_trees")
 def boosted_trees(t):
-    rows = rows_of(t)
+    rows = fit_rows(t)
     return _by_split(L.probability(L.fit_boosted_trees(_train(rows), FEATURES, "label"), rows))
 
 
@@ -123,7 +128,7 @@ _SCORE_ROWS_SQL = f"SELECT {_SPLIT_SQL} AS split, count(*) AS rows, count(*) FIL
 
 @query("boosted_trees_rows", f"WITH {FILES_SQL} {_SCORE_ROWS_SQL}")
 def boosted_trees_rows(t):
-    rows = rows_of(t)
+    rows = fit_rows(t)
     return _score_rows(L.probability(L.fit_boosted_trees(_train(rows), FEATURES, "label"), rows))
 
 
@@ -166,7 +171,7 @@ def importance_ranks(t):
 
 @query("feature_importance")
 def feature_importance(t):
-    rows = _train(rows_of(t))
+    rows = _train(fit_rows(t))
     linear = L.feature_importance(L.fit_balanced_logistic(rows, FEATURES, "label"), FEATURES, "logistic")
     trees = L.feature_importance(L.fit_boosted_trees(rows, FEATURES, "label"), FEATURES, "trees")
     return linear.unionByName(trees)

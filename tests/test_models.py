@@ -47,3 +47,21 @@ def test_rows_are_not_dealt_by_split(spark, capsys):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in capsys.readouterr().out
+
+
+def test_a_tree_fit_has_few_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _, rows = L.binned(table(spark), ["a", "b"], "label")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows.rdd.getNumPartitions() == 1
+
+
+def test_fits_read_rows_that_are_joined_once(spark, capsys):
+    from patchsieve.plans.models import FEATURES, fit_rows
+    from patchsieve.plans.registry import Tables
+
+    rows = fit_rows(Tables(spark, "/root/testdata/sf0.001"))
+    rows.explain()
+    assert rows.columns == ["split", "label", *FEATURES] and "Join" not in capsys.readouterr().out
