@@ -7,12 +7,14 @@ position within the repository), ``message`` and, where needed, ``ts``,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchsieve.functions import messages as M
 from patchsieve.operators.attribution import ranges_with_line
-from patchsieve.operators.frames import beside, frame, number_rows, reused
+from patchsieve.operators.frames import beside, frame, number_rows, reused, written
 from patchsieve.operators.history import DAY, micros
 
 # fixed values: thresholds of the label rules
@@ -129,22 +131,24 @@ def revert_attribution(changes: DataFrame, repo: list[str], explicit: DataFrame)
 
 
 def line_overlap_attribution(
-    hunks: DataFrame, fixes: DataFrame, added: DataFrame, parent: DataFrame, positive: DataFrame,
-    repo: list[str], lookback: int = LOOKBACK,
+    hunks: DataFrame, fixes: DataFrame, added: DataFrame, parent: DataFrame | Callable[[DataFrame], DataFrame],
+    positive: DataFrame, repo: list[str], lookback: int = LOOKBACK,
 ) -> DataFrame:
     """(repo, sha, path, cause): files whose lines a small later fix puts back.
 
     ``hunks``   repo, sha, pos, path, hunk, old_start, old_count
     ``fixes``   repo, sha, n_files, n_lines (active fixes)
     ``added``   repo, sha, path, hunk, at, text: added lines at their old-file line
-    ``parent``  repo, sha, path, line_no, text: the file before the change
+    ``parent``  repo, sha, path, line_no, text: the file before the change; or a function that gives these
+                lines for a table of (repo, sha, path), so that no line of a file without a pair is shuffled
 
     The fix lies within ``lookback`` positions after the candidate, touches the
     same path, both hunks overlap (half open), and every line it adds inside the
     overlap (ends included) stands in the candidate's parent there. Positions are
     bucketed by the lookback, so a path that everyone touches still joins in
     pieces of at most two buckets. Lines are known by a digest and looked up in one
-    ordered pass per file and digest.
+    ordered pass per file and digest. Pairs are numbered and written once, and only
+    their numbers go through that pass.
     """
     small = fixes.where((F.col("n_files") <= OVERLAP_FILES) & (F.col("n_lines") <= OVERLAP_LINES))
     end = F.col("old_start") + F.col("old_count")
@@ -160,29 +164,30 @@ def line_overlap_attribution(
         *repo, "path", "sha", "pos", F.col("hunk").alias("c_hunk"), F.col("old_start").alias("c_start"),
         end.alias("c_end"), bucket(F.col("pos")).alias("__b"),
     )
-    pairs = probes.join(candidates, [*repo, "path", "__b"]).where(
+    pairs = written(probes.join(candidates, [*repo, "path", "__b"]).where(
         F.col("pos").between(F.col("fix_pos") - lookback, F.col("fix_pos") - 1)
         & (F.col("c_start") < F.col("f_end")) & (F.col("f_start") < F.col("c_end"))
     ).select(
-        *repo, "path", "sha", "c_hunk", "fix", "fix_pos", "fix_hunk",
+        *repo, "path", "sha", "c_hunk", "fix", "fix_pos", "fix_hunk", F.monotonically_increasing_id().alias("name"),
         F.greatest("c_start", "f_start").alias("s"), F.least("c_end", "f_end").alias("e"),
-    )
-    bare = lambda c: F.regexp_replace(c, r"[\r\n]+\z", "")
+    ), "pairs")
+    digest = lambda c: F.unhex(F.md5(F.regexp_replace(c, r"[\r\n]+\z", "")))
     put = added.select(
-        *repo, "path", F.col("sha").alias("fix"), F.col("hunk").alias("fix_hunk"), "at", bare(F.col("text")).alias("text")
+        *repo, "path", F.col("sha").alias("fix"), F.col("hunk").alias("fix_hunk"), "at", digest(F.col("text")).alias("__digest")
     )
-    pair = ["sha", "c_hunk", "fix", "fix_pos", "fix_hunk"]
     # a text counts once for a pair, however often the fix adds it
-    lines = pairs.join(put, [*repo, "path", "fix", "fix_hunk"]).where(F.col("at").between(F.col("s"), F.col("e"))).select(
-        *repo, "path", *pair, "s", "e", F.md5("text").alias("__digest")
-    ).distinct().withColumn("name", F.concat_ws("|", "c_hunk", "fix", "fix_hunk"))
+    lines = pairs.join(put, [*repo, "path", "fix", "fix_hunk"]).where(
+        F.col("at").between(F.col("s"), F.col("e")) & F.col("__digest").isNotNull()
+    ).select(
+        *repo, "sha", "path", "fix", "fix_hunk", "name", "s", "e", "__digest").distinct()
     # the nearest line of that text from the start on decides; lines with a text that is everywhere are not paired
     key = [*repo, "sha", "path", "__digest"]
-    before = parent.join(pairs.select(*repo, "sha", "path").distinct(), [*repo, "sha", "path"], "left_semi").select(
-        *repo, "sha", "path", F.md5(bare(F.col("text"))).alias("__digest"), F.col("line_no").alias("line"))
-    held = ranges_with_line(lines.select(*key, "name", F.col("s").alias("start"), F.col("e").alias("end")).distinct(), before, key)
-    per_pair = lines.join(held.select(*key, "name", F.col("start").alias("s"), F.col("end").alias("e"), "hit"), [*key, "name", "s", "e"]).groupBy(
-        *repo, "path", *pair).agg(F.min(F.col("hit").cast("int")).alias("__in"))
+    wanted = pairs.select(*repo, "sha", "path").distinct()
+    found = parent(wanted) if callable(parent) else parent.join(wanted, [*repo, "sha", "path"], "left_semi")
+    before = found.select(*repo, "sha", "path", digest(F.col("text")).alias("__digest"), F.col("line_no").alias("line"))
+    held = ranges_with_line(lines.select(*key, "name", F.col("s").alias("start"), F.col("e").alias("end")), before, key)
+    per_row = held.groupBy("name").agg(F.min(F.col("hit").cast("int")).alias("__in"))
+    per_pair = pairs.join(per_row, "name").groupBy(*repo, "path", "sha", "c_hunk", "fix", "fix_pos", "fix_hunk").agg(F.min("__in").alias("__in"))
     return per_pair.where(F.col("__in") > 0).groupBy(*repo, "sha", "path").agg(F.min_by("fix", "fix_pos").alias("cause"))
 
 

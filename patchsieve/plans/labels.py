@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchsieve.functions import messages as M
 from patchsieve.operators import labels as B
-from patchsieve.operators.frames import number_rows, reused
+from patchsieve.operators.frames import number_rows, reused, written
 from patchsieve.plans.functions import FIX_SQL
 from patchsieve.plans.registry import query
 
@@ -157,23 +157,28 @@ def hunk_tables(t):
         t.orders.select(c("o_orderkey").alias("sha"), "o_orderdate", (c("o_orderpriority") == "1-URGENT").alias("is_fix")),
         [], [c("o_orderdate"), c("sha")], "pos",
     )
-    hunks = t.lineitem.join(ords, c("l_orderkey") == c("sha")).select(
+    # the changes are numbered and met by their hunks once
+    hunks = written(t.lineitem.join(ords, c("l_orderkey") == c("sha")).select(
         F.lit(0).alias("repo"), "sha", "pos", (c("l_partkey") % 400).alias("path"),
         (c("l_linenumber") * 1000000 + c("l_partkey") * 10 + c("l_suppkey") % 10).alias("hunk"),
         (c("l_linenumber") * 10).alias("old_start"), (c("l_quantity").cast("long") % 8 + 1).alias("old_count"),
         c("l_suppkey").alias("supp"), "is_fix",
-    )
-    sizes = hunks.join(t.lineitem.groupBy(c("l_orderkey").alias("sha")).agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum(c("l_quantity").cast("long")).alias("n_lines")), "sha")
-    fixes = sizes.where("is_fix").select("repo", "sha", "n_files", "n_lines").distinct()
+    ), "hunks")
+    sizes = t.lineitem.groupBy(c("l_orderkey").alias("sha")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(c("l_quantity").cast("long")).alias("n_lines"))
+    fixes = hunks.where("is_fix").select("repo", "sha").distinct().join(sizes, "sha").select("repo", "sha", "n_files", "n_lines")
     text = lambda at, more: F.concat(F.lit("L"), (at * 7 + c("path") + more) % 4)
     added = hunks.where("is_fix").select(
         "repo", "sha", "path", "hunk", F.explode(F.sequence(c("old_start"), c("old_start") + 2)).alias("at")
     ).withColumn("text", text(c("at"), 0))
-    parent = hunks.select(
-        "repo", "sha", "path", "supp", F.explode(F.sequence(c("old_start"), c("old_start") + 9)).alias("line_no")
-    ).withColumn("text", text(c("line_no"), c("supp") % 3))
-    positive = ords.where(c("sha") % 10 == 0).select(F.lit(0).alias("repo"), "sha")
+
+    def parent(wanted):
+        """The lines of the files before the change, made only for those that are asked for."""
+        return hunks.join(wanted, ["repo", "sha", "path"], "left_semi").select(
+            "repo", "sha", "path", "supp", F.explode(F.sequence(c("old_start"), c("old_start") + 9)).alias("line_no")
+        ).withColumn("text", text(c("line_no"), c("supp") % 3))
+
+    positive = t.orders.where(c("o_orderkey") % 10 == 0).select(F.lit(0).alias("repo"), c("o_orderkey").alias("sha"))
     return hunks, fixes, added, parent, positive
 
 

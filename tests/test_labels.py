@@ -156,3 +156,35 @@ def test_what_is_read_off_a_message_stands_for_it(spark):
     for rule in (B.revert_map, B.explicit_attribution):
         want = rule(c, ["repo"]).collect()
         assert want and rule(read, ["repo"]).collect() == want
+
+
+def test_lines_before_a_change_are_asked_for_by_file(spark):
+    """A function gives the lines of the files that have a pair; nothing is asked of the others."""
+    hunks = spark.createDataFrame(
+        [(1, "c", 1, "p", 0, 5, 3), (1, "f", 2, "p", 0, 6, 2), (1, "other", 1, "q", 0, 5, 3)],
+        "repo int, sha string, pos int, path string, hunk int, old_start int, old_count int")
+    fixes = spark.createDataFrame([(1, "f", 1, 3)], "repo int, sha string, n_files int, n_lines int")
+    added = spark.createDataFrame([(1, "f", "p", 0, 8, "two\n"), (1, "f", "p", 0, 7, None)], "repo int, sha string, path string, hunk int, at int, text string")
+    lines = spark.createDataFrame([(1, "c", "p", 8, "two"), (1, "other", "q", 8, "two")], "repo int, sha string, path string, line_no int, text string")
+    none = spark.createDataFrame([], "repo int, sha string")
+    asked = []
+
+    def parent(wanted):
+        asked.extend((r["sha"], r["path"]) for r in wanted.collect())
+        return lines.join(wanted, ["repo", "sha", "path"], "left_semi")
+
+    for before in (lines, parent):
+        out = B.line_overlap_attribution(hunks, fixes, added, before, none, ["repo"]).collect()
+        assert [(r["sha"], r["path"], r["cause"]) for r in out] == [("c", "p", "f")]
+    assert asked == [("c", "p")]
+
+
+def test_changes_are_numbered_once_for_their_hunks(spark, capsys):
+    """Hunks are read from where they were written: what is made of them numbers no change again."""
+    from patchsieve.plans.labels import hunk_tables
+    from patchsieve.plans.registry import Tables
+
+    hunks, fixes, added, *_ = hunk_tables(Tables(spark, "/root/testdata/sf0.001"))
+    for table in (hunks, fixes, added):
+        table.explain()
+    assert "Window" not in capsys.readouterr().out
