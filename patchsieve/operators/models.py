@@ -195,10 +195,15 @@ def split_counts(rows: DataFrame, label: str, split: str, repo: str | None = Non
 def train_report(
     rows: DataFrame, features: list[str], label: str, split: str, seq: list[str], max_iter: int = 1000, repo: str | None = None,
 ) -> DataFrame:
-    """Fit once on train; per split the areas, threshold metrics, baseline, counts and top cuts, in long form."""
+    """Fit once on train; per split the areas, threshold metrics, baseline, counts and top cuts, in long form.
+
+    The fit and the counts read the rows several times, the metrics the scores: both are written once.
+    """
+    used = dict.fromkeys([split, label, *features, *seq, *([repo] if repo else [])])
+    rows = written(rows.select(*used), "rows")
     train = rows.where(F.col(split) == "train")
     model = fit_balanced_logistic(train, features, label, max_iter)
-    scored = probability(model, rows).withColumn("positive", F.col(label) == 1)
+    scored = written(probability(model, rows).select(split, (F.col(label) == 1).alias("positive"), "score", *seq), "scored")
     def long(wide):
         return unpivoted(wide, [split], [c for c in wide.columns if c != split], "metric")
     areas = M.ranking_areas(scored, "score", "positive", [split])

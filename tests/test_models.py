@@ -65,3 +65,14 @@ def test_fits_read_rows_that_are_joined_once(spark, capsys):
     rows = fit_rows(Tables(spark, "/root/testdata/sf0.001"))
     rows.explain()
     assert rows.columns == ["split", "label", *FEATURES] and "Join" not in capsys.readouterr().out
+
+
+def test_a_report_reads_rows_and_scores_where_they_were_written(spark):
+    """The joins of the rows and the scores of the model are made once, not for every metric."""
+    from patchsieve.plans.models import train_report
+    from patchsieve.plans.registry import Tables
+
+    out = train_report(Tables(spark, "/root/testdata/sf0.001"))
+    read = out.inputFiles()
+    assert read and not any(f.endswith(("lineitem.parquet", "orders.parquet", "customer.parquet")) for f in read)
+    assert {"train", "validation", "test"} == {r["split"] for r in out.select("split").distinct().collect()}
