@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,12 +123,26 @@ def historical_evidence(df: DataFrame, name: str = "history") -> DataFrame:
 PAST = ["eligible", "has_parent", "recent_commits", "recent_bug_fixes", "days_since_last_change", "history_unavailable"]
 
 
-def _met(facts: DataFrame, past: DataFrame, keys: list[str], how: str, derived: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+def _apart(rows: DataFrame, keys: list[str], again: str) -> DataFrame:
+    """Rows that hold both sides, as a full outer join gives them: sides whose key holds a null do not meet."""
+    unkeyed = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    own, past = F.array(F.lit(1)), F.array(F.lit(2))
+    sides = F.when(F.col("eligible") & unkeyed, F.when(F.col(again), past).otherwise(F.concat(own, past))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("__side", F.explode(sides))
+    return rows.withColumns({"__change": F.col("__side") != 2, "eligible": F.col("eligible") & (F.col("__side") != 1)}).drop("__side", again)
+
+
+def _met(
+    facts: DataFrame, past: DataFrame | None, keys: list[str], how: str, derived: Callable[[DataFrame], DataFrame] | None, again: str = ""
+) -> DataFrame:
     """Both sides meet as plain values and entries are made of the joined rows, so no text is shuffled.
 
     ``derived`` adds what follows from the plain values of a row, which need not be shuffled either.
     """
-    both = facts.withColumn("__change", F.lit(True)).join(past.select(*keys, *PAST), keys, how)
+    if past is None:
+        both = _apart(facts, keys, again)
+    else:
+        both = facts.withColumn("__change", F.lit(True)).join(past.select(*keys, *PAST), keys, how)
     both = derived(both) if derived else both
     told = historical_evidence(cheap_evidence(both, "__cheap"), "__history")
     empty = F.array().cast(f"array<{ENTRY}>")
@@ -136,13 +151,15 @@ def _met(facts: DataFrame, past: DataFrame, keys: list[str], how: str, derived:
 
 
 def merge_evidence(
-    facts: DataFrame, past: DataFrame, keys: list[str], derived: Callable[[DataFrame], DataFrame] | None = None
+    facts: DataFrame, past: DataFrame | None, keys: list[str], derived: Callable[[DataFrame], DataFrame] | None = None, again: str = ""
 ) -> DataFrame:
     """Entries of the change first, then those of its past, per file; a file of one side has that side's.
 
     ``facts`` (after ``derived``) has the columns of ``cheap_evidence``, ``past`` those of ``historical_evidence``.
+    Without ``past`` the rows of ``facts`` hold both, ``eligible`` (never null) tells which have a past, and ``again`` marks the
+    second and further rows of a file with several.
     """
-    return _met(facts, past, keys, "full_outer", derived)
+    return _met(facts, past, keys, "full_outer", derived, again)
 
 
 def evidence_rows(df: DataFrame, keys: list[str], name: str = "evidence") -> DataFrame:

@@ -116,7 +116,7 @@ def recent_history(
     met = with_last(
         seen.unionByName(asked), keys, [F.col("__at"), *map(F.col, pos), F.col("__touch")], n, F.col("__entry"), "__found",
     ).where(F.col("__touch") == 0)
-    return _found(met.withColumn("__found", F.coalesce("__found", F.array().cast(entry))), keys, pos)
+    return _found(met.withColumn("__found", F.coalesce("__found", F.array().cast(entry))), [*keys, *pos])
 
 
 def recent_history_of_touches(touches: DataFrame, keys: list[str], pos: list[str], n: int = 5) -> DataFrame:
@@ -129,15 +129,31 @@ def recent_history_of_touches(touches: DataFrame, keys: list[str], pos: list[str
     rows = touches.select(*keys, *pos, entry.alias("__entry"))
     met = with_last(rows, keys, [F.col(c) for c in pos], n + 1, F.col("__entry"), "__found")
     own = F.element_at("__found", -1)["ts"]
-    return _found(met.select(*keys, *pos, own.alias("ts"), F.slice("__found", 1, F.size("__found") - 1).alias("__found")), keys, pos)
+    return _found(met.select(*keys, *pos, own.alias("ts"), F.slice("__found", 1, F.size("__found") - 1).alias("__found")), [*keys, *pos])
 
 
-def _found(met: DataFrame, keys: list[str], pos: list[str]) -> DataFrame:
+def recent_history_of_rows(
+    rows: DataFrame, keys: list[str], pos: list[Column], ts: Column, loose: Column, counted: Column,
+    sample: DataFrame, by: list[str], n: int = 5,
+) -> DataFrame:
+    """``recent_history_of_touches`` where a touch may have several rows, which all keep their columns.
+
+    One row of a touch is ``counted`` and all are told its history; rows of no touch are told nothing of use. Positions and times
+    are expressions, made where the rows are dealt. ``sample`` has about the counted rows and is cheap to read (see ``with_last``).
+    """
+    entry = F.struct(ts.cast("timestamp").alias("ts"), loose.alias("loose_fix"))
+    order = [*pos, F.when(counted, 0).otherwise(1)]
+    met = with_last(rows, keys, order, n + 1, F.when(counted, entry), "__found", sample, by)
+    found = F.slice("__found", 1, F.greatest(F.size("__found") - 1, F.lit(0)))
+    return _found(met.select(*rows.columns, ts.cast("timestamp").alias("ts"), found.alias("__found")), rows.columns)
+
+
+def _found(met: DataFrame, columns: list[str]) -> DataFrame:
     """What is told of the last touches (``__found``) whose time is before ``ts``."""
     met = met.withColumn("__found", F.filter("__found", lambda x: x["ts"] < F.col("ts")))
     newest = F.try_element_at(F.col("__found"), F.lit(-1))["ts"]
     return met.select(
-        *keys, *pos, F.size("__found").cast("long").alias("recent_commits"),
+        *columns, F.size("__found").cast("long").alias("recent_commits"),
         F.size(F.filter("__found", lambda x: x["loose_fix"])).cast("long").alias("recent_bug_fixes"),
         F.when(newest.isNotNull(), whole_days(F.col("ts"), newest)).alias("days_since_last_change"),
         (F.size("__found") == 0).alias("history_unavailable"),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchsieve.operators.frames import beside, first_rows, frame, number_rows, reused
+from patchsieve.operators.frames import beside, first_rows, frame, number_rows, number_within, reused
 
 MODULUS = 2147483647  # fixed value: prime below 2**31, so products fit in a bigint
 
@@ -25,11 +25,13 @@ def _one_minus_share(position: Column, n: Column) -> Column:
 
 
 def rank_priority(
-    df: DataFrame, group: list[str], value: str, seq: list[str], excluded: str, totals: dict[str, Column] | None = None
+    df: DataFrame, group: list[str], value: str, seq: list[str], excluded: str, totals: dict[str, Column] | None = None,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """Order a group by size, excluded rows last in input order; score 1 .. 0 by rank.
 
     Adds ``position`` (0-based), ``n_ranked`` and ``score``, and sums over the whole group named in ``totals``.
+    ``sample`` is that of ``frames.frame``.
     """
     out = frame(
         df,
@@ -37,6 +39,7 @@ def rank_priority(
         [F.col(excluded), F.when(~F.col(excluded), -F.col(value)), *map(F.col, seq)],
         row="__row",
         totals={"n_ranked": F.when(F.col(excluded), 0).otherwise(1).cast("long"), **(totals or {})},
+        sample=sample,
     )
     position = F.col("__row") - 1
     return out.withColumn("position", position).withColumn(
@@ -247,9 +250,16 @@ def priority_summary(banded: DataFrame, group: list[str], excluded: str, evidenc
 
 
 def top_k_eligible(
-    df: DataFrame, group: list[str], seq: list[str], excluded: str, deleted: Column, k: int = 10
+    df: DataFrame, group: list[str], seq: list[str], excluded: str, deleted: Column, k: int = 10, mark: str | None = None
 ) -> DataFrame:
-    """First k rows per group in input order, leaving out excluded and deleted rows."""
+    """First k rows per group in input order, leaving out excluded and deleted rows.
+
+    With ``mark`` all rows stay, and a column of that name tells which these are.
+    """
+    if mark:
+        able = F.coalesce(~F.col(excluded) & ~deleted, F.lit(False))
+        placed = number_within(df.withColumn("__able", able), [*group, "__able"], [F.col(c) for c in seq], "slot")
+        return placed.withColumn(mark, F.col("__able") & (F.col("slot") <= k)).drop("__able", "slot")
     return first_rows(df.where(~F.col(excluded) & ~deleted), group, [F.col(c) for c in seq], k, "slot")
 
 

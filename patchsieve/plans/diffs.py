@@ -284,11 +284,15 @@ def part_lines(t):
         c("l_orderkey").alias("cid"), c("l_linenumber").alias("line"), c("l_partkey").alias("part"), c("l_suppkey").alias("supp"),
         q.alias("lines_added"), d.alias("lines_deleted"), F.round(c("l_discount") * 100).cast("long").alias("hunk_count"),
         (c("p_size") % 3 == 0).alias("is_test_file"),
-        F.when(c("p_type") == "ECONOMY", "python").when(c("p_type") == "STANDARD", "go").when(c("p_type") == "PROMO", "rust")
-        .when(c("p_type") == "SMALL", "java").otherwise("unknown").alias("language_name"),
+        part_language().alias("language_name"),
     )
 
 
+def part_language():
+    c = F.col("p_type")
+    return F.when(c == "ECONOMY", "python").when(c == "STANDARD", "go").when(c == "PROMO", "rust").when(c == "SMALL", "java").otherwise("unknown")
+
+
 def file_status():
     d = F.col("lines_deleted")
     return F.when(d % 5 == 0, "added").when(d % 5 == 1, "deleted").when(d % 5 == 2, "modified").when(d % 5 == 3, "renamed").otherwise("binary")
